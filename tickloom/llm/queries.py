@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import chat, fingerprint, mixing
+from tickloom.llm import chat, fingerprint, language, mixing, toxicity
 from tickloom.llm.common import small_batches, table
 
 
@@ -18,11 +18,18 @@ def _docs(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str],
     return query
 
 
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return toxicity.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": _docs(mixing.op1),
         "op3_chat": lambda spark, d: chat.op3(table(spark, d, "conversations")),
+        "op4_language": _docs(language.op4),
         "op9_fingerprint": _docs(fingerprint.op9),
+        "op10_toxicity": _toxicity,
     }
 
 
