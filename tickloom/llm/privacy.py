@@ -47,6 +47,9 @@ ENDINGS = {"latin": {"m": ["n", "r", "s", "k", "d"], "f": ["na", "la", "ra", "sa
 
 _GENDER = {t.lower(): g for g, ts in TITLES.items() for t in ts}
 _CAP = r"[^\W\d_a-zà-ÿа-я][\w'’-]*"
+# A class first lets the search skip to the letters that titles begin with; the look behind then asks for a word's begin.
+_FIRST = "".join(sorted({t[0] for ts in TITLES.values() for t in ts}))
+_TITLED = rf"(?P<t>[{_FIRST}](?<!\w.)(?:" + "|".join(sorted({re.escape(t[1:]) for ts in TITLES.values() for t in ts}, key=len, reverse=True)) + r"))\.?[ \u00a0]"
 _RULES = [
     ("email", re.compile(r"[\w.%+-]*[\w%+]@[\w-]+(?:\.[\w-]+)+")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
@@ -56,12 +59,12 @@ _RULES = [
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])")),
     ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-]|\.\d)|(?<![\w.])\+\d{8,15}(?!\w)")),
-    ("name", re.compile(r"(?<!\w)(?P<t>" + "|".join(sorted((re.escape(t) for t in _GENDER), key=len, reverse=True)) + r")\.?[  ](?P<x>" + _CAP + r"(?: " + _CAP + r"){0,2})", re.I)),
+    ("name", re.compile(_TITLED + r"(?P<x>" + _CAP + r"(?: " + _CAP + r"){0,2})")),
 ]
 KINDS = list(dict.fromkeys(k for k, _ in _RULES))
 _SOME = re.compile(r"[0-9@]")
-_SECRET = re.compile(r"(?i)token|passw|pwd|secret|api.?key|AKIA|ASIA|ghp_|gho_|sk-|xox")
-_TITLE = re.compile(r"(?<!\w)(?:" + "|".join(sorted((re.escape(t) for t in _GENDER), key=len, reverse=True)) + r")\.?[  ]", re.I)
+_SECRET = ("token", "passw", "pwd", "secret", "api", "akia", "asia", "ghp_", "gho_", "sk-", "xox")
+_TITLE = re.compile(_TITLED)
 FOUND = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("norm", T.StringType())]))
 
 
@@ -89,6 +92,8 @@ def normal(kind: str, text: str, title: str = "") -> str | None:
     if kind == "name":
         if any(not w[0].isupper() for w in text.split()):
             return None
+        if title.lower() not in _GENDER:
+            return None
         return _GENDER[title.lower()] + ":" + unicodedata.normalize("NFC", text).lower()
     return text.lower() if kind == "secret" else text
 
@@ -97,7 +102,9 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
     """Mentions in order, without overlaps: start, end, kind, normal form."""
     if not text:
         return []
-    some, secret = _SOME.search(text), _SECRET.search(text)
+    some = _SOME.search(text)
+    low = text.lower()
+    secret = any(w in low for w in _SECRET)
     title = _TITLE.search(text)
     if not (some or secret or title):
         return []
