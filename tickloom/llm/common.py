@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 import numpy as np
@@ -47,3 +48,62 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     return x
+
+
+class WordHashes:
+    """64-bit hashes of a text's words (runs without ASCII white space), remembered by word. One for each Python worker."""
+
+    def __init__(self, most: int = 300_000):
+        self.memo: dict[bytes, int] = {}
+        self.most = most
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        words = (text or "").encode("utf-8", "surrogatepass").split()
+        memo = self.memo
+        if len(memo) > self.most:
+            memo.clear()
+        try:
+            out = [memo[w] for w in words]
+        except KeyError:
+            for w in words:
+                if w not in memo:
+                    memo[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+            out = [memo[w] for w in words]
+        return np.array(out, np.uint64)
+
+
+def run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n words; none if there are fewer."""
+    m = len(hashes) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    h = np.zeros(m, np.uint64)
+    for k in range(n):
+        h = mix64(h ^ hashes[k : k + m]) + np.uint64(k + 1)
+    return h
+
+
+def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """(a, b) longs -> node, root: the least node of each connected component. Alternating large and small stars; each
+    round is two joins and sums on edges, no neighbour list is ever gathered."""
+
+    def star(e: DataFrame, large: bool) -> DataFrame:
+        both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low")) if large else both.where("b < a").groupBy("a").agg(F.min("b").alias("low"))
+        pick = both.where("b > a") if large else both.where("b < a")
+        moved = pick.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        if not large:
+            moved = moved.unionByName(low.select("a", F.col("low").alias("b")))
+        return moved.where("a <> b").distinct()
+
+    e, before = cut(edges.where("a <> b").select("a", "b").distinct()), None
+    for _ in range(rounds):
+        e = cut(star(star(e, True), False))
+        state = e.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("b").cast("decimal(38,0)")), F.lit(0)).alias("s"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        if state == before:
+            break
+        before = state
+    else:
+        raise RuntimeError("components did not settle")
+    stars = e.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
+    return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())

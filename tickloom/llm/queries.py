@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import chat, fingerprint, language, mixing, toxicity
+from tickloom.llm import chat, decontaminate, fingerprint, jaccard, language, mixing, privacy, tokencount, toxicity
 from tickloom.llm.common import small_batches, table
 
 
@@ -23,15 +23,24 @@ def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return decontaminate.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": _docs(mixing.op1),
         "op3_chat": lambda spark, d: chat.op3(table(spark, d, "conversations")),
         "op4_language": _docs(language.op4),
+        "op5_decontaminate": _contamination,
+        "op6_privacy": _docs(privacy.op6),
+        "op7_jaccard": _docs(jaccard.op7),
+        "op8_tokens": _docs(tokencount.op8),
         "op9_fingerprint": _docs(fingerprint.op9),
         "op10_toxicity": _toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": chat.OP3_SQL}
+    return {"op3_chat": chat.OP3_SQL, "op5_decontaminate": decontaminate.OP5_SQL}
