@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import chat, decontaminate, fingerprint, jaccard, language, mixing, privacy, tokencount, toxicity
+from tickloom.llm import chat, decontaminate, fingerprint, jaccard, language, mixing, privacy, substring, tokencount, toxicity
 from tickloom.llm.common import small_batches, table
 
 
@@ -31,6 +31,7 @@ def _contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": _docs(mixing.op1),
+        "op2_substring": _docs(substring.op2),
         "op3_chat": lambda spark, d: chat.op3(table(spark, d, "conversations")),
         "op4_language": _docs(language.op4),
         "op5_decontaminate": _contamination,
@@ -43,4 +44,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": chat.OP3_SQL, "op5_decontaminate": decontaminate.OP5_SQL}
+    return {"op2_substring": substring.OP2_SQL, "op3_chat": chat.OP3_SQL, "op5_decontaminate": decontaminate.OP5_SQL}
