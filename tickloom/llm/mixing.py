@@ -240,3 +240,8 @@ def mix_documents(docs: DataFrame, seed: int = 17, repeats: int = 3) -> DataFram
 def op1(docs: DataFrame) -> DataFrame:
     """The mixing query's columns. The text is read twice and never shuffled."""
     return mix_documents(docs.select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents that it takes, with how often (copies) and what for (size, source_size, target, taken)."""
+    return mix_documents(docs).where(F.col("copies") > 0).select(*docs.columns, "size", "source_size", "target", "copies", "taken")
