@@ -152,7 +152,7 @@ _W11 = f"({_S} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)"
 query("pivots", with_bars(f"SELECT symbol, ts, count(*) OVER {_W11} = 11 AND high = max(high) OVER {_W11} AS high_pivot, count(*) OVER {_W11} = 11 AND low = min(low) OVER {_W11} AS low_pivot FROM bars"))(lambda s, d: hourly(s, d).select("symbol", "ts", candles.pivot("high").alias("high_pivot"), candles.pivot("low").alias("low_pivot")))
 query("turning_points", with_bars(f"SELECT symbol, ts, coalesce(lag(close, 3) OVER ({_S}) = max(close) OVER {_f(7)} AND bar_seq >= 7, false) AS top, coalesce(lag(close, 3) OVER ({_S}) = min(close) OVER {_f(7)} AND bar_seq >= 7, false) AS bottom FROM bars"))(lambda s, d: hourly(s, d).select("symbol", "ts", chartpatterns.turning("top", 3).alias("top"), chartpatterns.turning("bottom", 3).alias("bottom")))
 _W7 = f"({_S} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"
-query("pivot_classes", with_bars(f", p AS (SELECT *, CAST(count(*) OVER {_W7} = 7 AND low = min(low) OVER {_W7} AS INT) + 2 * CAST(count(*) OVER {_W7} = 7 AND high = max(high) OVER {_W7} AS INT) AS pv FROM bars) SELECT symbol, ts, pv AS "pivot", round(CASE pv WHEN 1 THEN low - 0.001 WHEN 2 THEN high + 0.001 END, 6) AS pivot_pos FROM p"))(lambda s, d: _bare(chartpatterns.pivots(hourly(s, d)), "pivot", "pivot_pos"))
+query("pivot_classes", with_bars(f", p AS (SELECT *, CAST(count(*) OVER {_W7} = 7 AND low = min(low) OVER {_W7} AS INT) + 2 * CAST(count(*) OVER {_W7} = 7 AND high = max(high) OVER {_W7} AS INT) AS pv FROM bars) SELECT symbol, ts, pv AS pivot_class, round(CASE pv WHEN 1 THEN low - 0.001 WHEN 2 THEN high + 0.001 END, 6) AS pivot_pos FROM p"))(lambda s, d: chartpatterns.pivots(hourly(s, d)).select("symbol", "ts", F.col("pivot").alias("pivot_class"), "pivot_pos"))
 query("double_tops_bottoms")(lambda s, d: _bare(chartpatterns.doubles(hourly(s, d), lookback=30, kind="both", count=3, tops_max_ratio=5.0, bottoms_min_ratio=0.1), "double_type", "chart_type", "double_idx", "double_point"))
 query("head_shoulders")(lambda s, d: chartpatterns.head_shoulders(hourly(s, d), 3))
 query("head_shoulders_early")(lambda s, d: chartpatterns.head_shoulders(hourly(s, d), 3, early=True, log_prices=False))
