@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import kernels as K
 from tickloom.functions import windows as W
-from tickloom.operators import asof, candles, chartpatterns, compact, flags, indicators, metrics, renko, search, simulate, structure, tradefilter
+from tickloom.operators import asof, candles, chartpatterns, compact, flags, indicators, longseries, metrics, renko, search, simulate, structure, tradefilter
 from tickloom.plans import spec, strategies
 from tickloom.sources import bars as B
 from tickloom.sources import feed, store
@@ -57,6 +57,16 @@ def test_ewma_over_a_gap():
     assert np.allclose(K.ewma_adjusted(x, 5), pd.Series(x).ewm(span=5).mean(), equal_nan=True)
 
 
+def test_blocks_match_the_kernel(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=97)
+    x[rng.random(97) < 0.4] = np.nan
+    x[20:45] = np.nan
+    b = make(spark, list(range(97))).drop("close").join(spark.createDataFrame([(i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)], "bar_seq long, close double"), "bar_seq")
+    got = longseries.ewma_blocks(b, "close", 0.3, "e", 10).orderBy("bar_seq").toPandas()["e"].to_numpy(float)
+    assert np.allclose(got, K.ewma(x, 0.3), equal_nan=True)
+
+
 def test_rank_with_ties(spark):
     b = make(spark, [1, 2, 2, 3, 2])
     assert b.select(W.rrank("close", 5).alias("r"), "bar_seq").orderBy("bar_seq").collect()[-1]["r"] == pytest.approx(0.6)

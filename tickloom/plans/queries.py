@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions import windows as W
-from tickloom.operators import candles, chartpatterns, compact, flags, indicators, insights, metrics, renko, search, simulate, structure, tradefilter
+from tickloom.operators import candles, chartpatterns, compact, flags, indicators, insights, longseries, metrics, renko, search, simulate, structure, tradefilter
 from tickloom.operators.asof import asof, equity_from_trades
 from tickloom.plans import spec, strategies
 from tickloom.sources import bars as B
@@ -126,6 +126,7 @@ def _first(n: str, a: str, x: str) -> str:
 
 
 query("ema_9", _walk("close AS v", _ew("v", "0.2", "b.close"), "round(v, 6) AS ema"))(lambda s, d: _bare(indicators.compute("ema", hourly(s, d), period=9), "ema"))
+query("ema_9_blocks", _walk("close AS v", _ew("v", "0.2", "b.close"), "round(v, 6) AS ema"))(lambda s, d: _bare(longseries.ewma_blocks(hourly(s, d), "close", 0.2, "ema", 100), "ema"))
 query("rsi_14", _walk("NULL::DOUBLE AS g, NULL::DOUBLE AS l", f"{_first('g', '1.0/14', 'greatest(b.dc, 0)')}, {_first('l', '1.0/14', 'greatest(-b.dc, 0)')}", "round(100 - 100 / (1 + g / nullif(l, 0)), 6) AS rsi"))(lambda s, d: _bare(indicators.compute("rsi", hourly(s, d)), "rsi"))
 query("macd", _walk("close AS f, close AS s, 0.0::DOUBLE AS g", f"{_ew('f', '2.0/13', 'b.close')}, {_ew('s', '2.0/27', 'b.close')}, e.g + 0.2 * (({_ew('f', '2.0/13', 'b.close')}) - ({_ew('s', '2.0/27', 'b.close')}) - e.g)", "round(f - s, 6) AS macd, round(g, 6) AS macd_signal, round(f - s - g, 6) AS macd_hist"))(lambda s, d: _bare(indicators.compute("macd", hourly(s, d)), "macd", "macd_signal", "macd_hist"))
 query("atr_14", _walk("tr AS v", _ew("v", "1.0/14", "b.tr"), "round(v, 6) AS atr"))(lambda s, d: _bare(indicators.compute("atr", hourly(s, d)), "atr"))
