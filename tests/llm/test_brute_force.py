@@ -298,6 +298,11 @@ def test_surrogates_keep_type_and_stay_apart(spark):
     assert [r["text"] for r in privacy.replaced(df, b"other").orderBy("doc_id").collect()] != got
 
 
+def test_neighbours_are_found_apart():
+    text = "at 4665471787434696 86.227.24.100 and +1 (605) 555-9305 4078918989542222 42 x"
+    assert [(k, text[a:b]) for a, b, k, _ in privacy.find(text)] == [("card", "4665471787434696"), ("ip", "86.227.24.100"), ("phone", "+1 (605) 555-9305"), ("card", "4078918989542222")]
+
+
 def test_collisions_are_drawn_anew(spark):
     rows = [("ip", f"10.0.{i}.{j}") for i in range(8) for j in range(1, 100)] + [("name", f"m:a{chr(97 + i)}{chr(97 + j)}") for i in range(26) for j in range(26)]
     got = privacy.assign(spark.createDataFrame(rows, "kind string, norm string"), b"k").toPandas()

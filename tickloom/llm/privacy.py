@@ -57,7 +57,7 @@ _RULES = [
     ("secret", re.compile(r"(?<![A-Za-z0-9])(?P<x>(?:AKIA|ASIA)[A-Z0-9]{12,}|(?:ghp_|gho_|sk-|xox[abp]-)[A-Za-z0-9_-]{10,}|(?=[A-Fa-f]*\d)[0-9A-Fa-f]{32,})(?![A-Za-z0-9])")),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
-    ("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])")),
+    ("card", re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?P<s>[ -])\d{4}(?P=s)\d{4}(?P=s)\d{1,7}|\d{4}(?P<u>[ -])\d{6}(?P=u)\d{5})(?![\w-]|\.\d)")),
     ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-]|\.\d)|(?<![\w.])\+\d{8,15}(?!\w)")),
     ("name", re.compile(_TITLED + r"(?P<x>" + _CAP + r"(?: " + _CAP + r"){0,2})")),
 ]
