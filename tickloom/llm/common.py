@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
 
 import numpy as np
@@ -50,26 +49,43 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes:
-    """64-bit hashes of a text's words (runs without ASCII white space), remembered by word. One for each Python worker."""
-
-    def __init__(self, most: int = 300_000):
-        self.memo: dict[bytes, int] = {}
-        self.most = most
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        memo = self.memo
-        if len(memo) > self.most:
-            memo.clear()
-        try:
-            out = [memo[w] for w in words]
-        except KeyError:
-            for w in words:
-                if w not in memo:
-                    memo[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-            out = [memo[w] for w in words]
-        return np.array(out, np.uint64)
+_P = 0xC2B2AE3D27D4EB4F
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+class Powers:
+    """Powers of an odd number modulo 2**64, and of its inverse; grows as needed. With them the sum over a run of a
+    running polynomial sum, brought to the run's begin, is the run's hash."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up) < n:
+            k = len(self.up)
+            self.up = np.concatenate((self.up, self.up * np.uint64(pow(self.base, k, 1 << 64))))
+            self.down = np.concatenate((self.down, self.down * np.uint64(pow(self.inverse, k, 1 << 64))))
+        return self.up, self.down
+
+
+_POWERS = Powers(_P)
+
+
+def polynomial_runs(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run values[start:end], from the values alone."""
+    up, down = _POWERS(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=total[1:])
+    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of a text's words (runs without ASCII white space)."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACE[raw], prepend=True, append=True))
+    return polynomial_runs(raw + np.uint64(1), edge[::2], edge[1::2])
 
 
 def run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import WordHashes, components, cut, mix64, run_hashes, text_key
+from tickloom.llm.common import components, cut, mix64, run_hashes, text_key, word_hashes
 
 SHINGLE = 5
 LIKE = 0.8
@@ -73,12 +73,11 @@ def tokens(shingles: np.ndarray) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = WordHashes()
     for b in batches:
         ids, keys, texts = (b.column(i) for i in range(3))
         sets, toks, ns = [], [], []
         for t in texts.to_pylist():
-            s = shingle_set(words(t))
+            s = shingle_set(word_hashes(t))
             # Two different sums of the hashes stand for the set.
             sets.append(np.array([mix64(s).sum(), mix64(s ^ np.uint64(0xABCDEF0123456789)).sum()], np.uint64).tobytes() if len(s) else None)
             toks.append(tokens(s).tobytes() if len(s) else None)
@@ -207,13 +206,12 @@ def shared(sets: list[np.ndarray]) -> np.ndarray:
 
 def _exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(group, part, side, rid, text), sorted -> rid, root (least rid linked here), n_links (each pair once over all parts)."""
-    words = WordHashes()
     got: list[tuple[int, int, int]] = []
     for t in _groups(batches, 2):
         rid, first = np.unique(t.column(3).to_numpy(), return_index=True)
         side = t.column(2).to_numpy()[first]
         texts = t.column(4).take(pa.array(first)).to_pylist()
-        sets = [shingle_set(words(x)) for x in texts]
+        sets = [shingle_set(word_hashes(x)) for x in texts]
         if len(rid) < 2:
             got += [(int(r), int(r), 0) for r in rid]
             continue

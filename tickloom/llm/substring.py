@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import WordHashes, cut, mix64, text_key
+from tickloom.llm.common import cut, mix64, polynomial_runs, text_key, word_hashes
 
 WINDOW = 35
 ANCHOR = 8
@@ -204,11 +204,10 @@ def repeated(texts: list[np.ndarray], weights: np.ndarray, window: int = WINDOW)
 
 
 def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = WordHashes()
     for b in batches:
         got = []
         for t in b.column(0).to_pylist():
-            h = words(t)
+            h = word_hashes(t)
             if len(h) >= WINDOW:
                 place, g = anchors(h)
                 got.append(g[place[segments(place)[0]]])
@@ -217,64 +216,68 @@ def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
 
-def _pieces(h: np.ndarray, known: np.ndarray | None, hot: np.ndarray, at: np.ndarray | None = None) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
-    """A text's segments whose anchor repeats: route, id, first window, number of windows, word hashes. known: sorted
+def _pieces(h: np.ndarray, known: np.ndarray | None, hot: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, ...] | None:
+    """A text's segments whose anchor repeats: route, id, first window and number of windows of each. known: sorted
     anchors, or None with ``at``: the first windows of the segments to take."""
     place, g = anchors(h)
     first, count = segments(place)
     a = g[place[first]]
-    if known is not None:
-        pick = np.flatnonzero(known[np.minimum(np.searchsorted(known, a), len(known) - 1)] == a) if len(known) else []
-    else:
+    if known is None:
         pick = np.flatnonzero(np.isin(first, at))
+    else:
+        pick = np.flatnonzero(known[np.minimum(np.searchsorted(known, a), len(known) - 1)] == a) if len(known) else first[:0]
     if not len(pick):
-        return
-    # The id of a segment: its words' hash.
-    power = np.cumprod(np.full(2 * WINDOW, 0x9E3779B97F4A7C15, np.uint64))
-    many = np.isin(a, hot)
-    for i in pick.tolist():
-        s, n = int(first[i]), int(count[i])
-        spans = [(s + j, 1) for j in range(n)] if many[i] else [(s, n)]
-        for start, m in spans:
-            w = h[start : start + m + WINDOW - 1]
-            sid = int(mix64((w * power[: len(w)]).sum(keepdims=True) + np.uint64(len(w)))[0])
-            # Also of the way it is cut: place of the anchor in it.
-            sid ^= int(place[s]) - start
-            route = int(a[i])
-            if many[i]:
-                ends = np.array([route ^ (int(place[s]) - start), _roll(w[:ANCHOR], ANCHOR)[0], _roll(w[-ANCHOR:], ANCHOR)[0]], np.uint64)
-                route = int(mix64(mix64(mix64(ends[:1]) ^ ends[1:2]) ^ ends[2:3])[0])
-            yield route, sid, start, m, w
-
-
-def _signed(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64))
+        return None
+    route, start, m = a[pick], first[pick], count[pick]
+    spot = place[start]
+    if len(hot) and (many := np.isin(route, hot)).any():
+        each = np.where(many, m, 1)
+        row = np.repeat(np.arange(len(pick)), each)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+        many, spot = many[row], spot[row]
+        start, m = start[row] + step, np.where(many, 1, m[row])
+        ends = mix64(mix64(mix64(route[row] ^ (spot - start).astype(np.uint64)) ^ g[start]) ^ g[start + WINDOW - ANCHOR])
+        route = np.where(many, ends, route[row])
+    # A segment's id: its words, and the anchor's place in it.
+    sid = polynomial_runs(h, start, start + m + WINDOW - 1) ^ (spot - start).astype(np.uint64)
+    return route, sid, start, m
 
 
 def _emit(rows: Iterator[tuple[bytes, np.ndarray, np.ndarray | None]], known: np.ndarray | None, hot: np.ndarray, with_words: bool) -> Iterator[pa.RecordBatch]:
+    """With words: the segments, each once with its number (as far as memory goes; sums later do the rest). Else where
+    each text has which."""
     seen: dict[tuple[int, int], list] = {}
-    out: list[tuple[bytes, int, int, int, int]] = []
+    out: list[tuple[bytes, tuple[np.ndarray, ...]]] = []
+    held = 0
 
     def flush() -> pa.RecordBatch:
         if with_words:
-            ks = list(seen)
-            return pa.RecordBatch.from_arrays([_signed([k[0] for k in ks]), _signed([k[1] for k in ks]), pa.array([seen[k][0] for k in ks], pa.int64()), pa.array([seen[k][1].tobytes() for k in ks], pa.binary())], ["route", "sid", "n", "words"])
-        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), _signed([o[1] for o in out]), _signed([o[2] for o in out]), pa.array([o[3] for o in out], pa.int32()), pa.array([o[4] for o in out], pa.int32())], ["k", "route", "sid", "start", "m"])
+            keys = np.array(list(seen), np.uint64).reshape(-1, 2).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.binary())], ["route", "sid", "n", "words"])
+        rep = pa.array(np.repeat(np.arange(len(out)), [len(x[0]) for _, x in out]) if out else np.zeros(0, np.int64))
+        cols = [np.concatenate([x[i] for _, x in out]) if out else np.zeros(0, np.uint64) for i in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()).take(rep), pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), pa.array(cols[2].astype(np.int32))], ["k", "route", "sid", "start"])
 
     for k, h, at in rows:
-        for route, sid, start, m, w in _pieces(h, known, hot, at):
-            if with_words:
-                held = seen.get((route, sid))
-                if held:
-                    held[0] += 1
+        got = _pieces(h, known, hot, at)
+        if got is None:
+            continue
+        if with_words:
+            for key, start, m in zip(zip(got[0].tolist(), got[1].tolist(), strict=True), got[2].tolist(), got[3].tolist(), strict=True):
+                one = seen.get(key)
+                if one:
+                    one[0] += 1
                 else:
-                    seen[route, sid] = [1, w]
-            else:
-                out.append((k, route, sid, start, m))
-        if len(seen) > 40_000 or len(out) > 100_000:
+                    seen[key] = [1, h[start : start + m + WINDOW - 1].tobytes()]
+            held = len(seen)
+        else:
+            out.append((k, got))
+            held += len(got[0])
+        if held > 60_000:
             yield flush()
             seen.clear()
             out.clear()
+            held = 0
     yield flush()
 
 
@@ -315,8 +318,7 @@ def passages(docs: DataFrame, max_broadcast: int = MAX_BROADCAST, hot: int = HOT
 
         def pieces(with_words: bool):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                words = WordHashes()
-                rows = ((k, h, None) for b in batches for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if len(h := words(t)) >= WINDOW)
+                rows = ((k, h, None) for b in batches for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if len(h := word_hashes(t)) >= WINDOW)
                 yield from _emit(rows, *shared.value, with_words)
 
             return run
@@ -325,11 +327,10 @@ def passages(docs: DataFrame, max_broadcast: int = MAX_BROADCAST, hot: int = HOT
     else:
         # Where anchors that repeat are, by text; then the texts that have any, once each.
         def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = WordHashes()
             for b in batches:
                 ks, hs, fs = [], [], []
                 for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    h = words(t)
+                    h = word_hashes(t)
                     if len(h) >= WINDOW:
                         place, g = anchors(h)
                         first = segments(place)[0]
@@ -343,8 +344,7 @@ def passages(docs: DataFrame, max_broadcast: int = MAX_BROADCAST, hot: int = HOT
 
         def pieces(with_words: bool):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                words = WordHashes()
-                rows = ((k, words(t), np.array(at)) for b in batches for k, t, at in zip(*(c.to_pylist() for c in b.columns), strict=True))
+                rows = ((k, word_hashes(t), np.array(at)) for b in batches for k, t, at in zip(*(c.to_pylist() for c in b.columns), strict=True))
                 yield from _emit(rows, None, hots, with_words)
 
             return run
@@ -352,7 +352,7 @@ def passages(docs: DataFrame, max_broadcast: int = MAX_BROADCAST, hot: int = HOT
     distinct = source.mapInArrow(pieces(True), "route long, sid long, n long, words binary").groupBy("route", "sid").agg(F.sum("n").alias("n"), F.min("words").alias("words"))
     # Exchanged by route alone: the sum above and the search below share it.
     found = distinct.repartition("route").sortWithinPartitions("route").mapInArrow(_search, "route long, sid long, mask long")
-    mine = source.mapInArrow(pieces(False), "k binary, route long, sid long, start int, m int").select("k", "route", "sid", "start").distinct()
+    mine = source.mapInArrow(pieces(False), "k binary, route long, sid long, start int").distinct()
     return mine.join(found, ["route", "sid"]).groupBy("k").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
 
 
