@@ -7,8 +7,8 @@ one node; at a node each token is chosen with probability 1 / (likeness *
 COORDS), the same choice for all sets there, and a set goes on to the children
 of the chosen tokens it has. So near sets stay together in about one child a
 level while others part. Nodes of at most LIMIT sets are leaves; leaves (and what
-is left at DEPTH) are compared by brute force on the tokens. ``runs_for`` says
-how many runs reach the target recall.
+is left at DEPTH) are compared by brute force on the tokens' low bytes.
+``runs_for`` says how many runs reach the target recall.
 
 Leaves yield candidate groups (connected by tokens shared), linear in their rows.
 Then each group's sets are compared exactly, once: every link of likeness 0.8 or
@@ -38,9 +38,11 @@ SHINGLE = 5
 LIKE = 0.8
 COORDS = 64
 DEPTH = 4
-LIMIT = 200
-BLOCK = 400
+LIMIT = 1500
+BLOCK = 500
 RECALL = 0.999
+#: Sets with candidates whose keys may be broadcast, at about 80 bytes each; more are joined by shuffle.
+MAX_BROADCAST = 500_000
 #: Share of tokens from which a leaf's pair is a candidate: five standard deviations under LIKE.
 TOKENS_LIKE = LIKE - 5 * math.sqrt(LIKE * (1 - LIKE) / COORDS)
 _A = (mix64(np.arange(1, COORDS + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
@@ -75,14 +77,16 @@ def tokens(shingles: np.ndarray) -> np.ndarray:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, keys, texts = (b.column(i) for i in range(3))
-        sets, toks, ns = [], [], []
+        sets, toks, lows, ns = [], [], [], []
         for t in texts.to_pylist():
             s = shingle_set(word_hashes(t))
             # Two different sums of the hashes stand for the set.
             sets.append(np.array([mix64(s).sum(), mix64(s ^ np.uint64(0xABCDEF0123456789)).sum()], np.uint64).tobytes() if len(s) else None)
-            toks.append(tokens(s).tobytes() if len(s) else None)
+            tok = tokens(s)
+            toks.append(tok.tobytes() if len(s) else None)
+            lows.append(tok.astype(np.uint8).tobytes() if len(s) else None)
             ns.append(len(s))
-        yield pa.RecordBatch.from_arrays([ids, keys, pa.array(sets, pa.binary()), pa.array(toks, pa.binary()), pa.array(ns, pa.int32())], ["doc_id", "k", "set_key", "tokens", "n"])
+        yield pa.RecordBatch.from_arrays([ids, keys, pa.array(sets, pa.binary()), pa.array(toks, pa.binary()), pa.array(lows, pa.binary()), pa.array(ns, pa.int32())], ["doc_id", "k", "set_key", "tokens", "low", "n"])
 
 
 def _chosen(path: np.ndarray) -> np.ndarray:
@@ -91,16 +95,20 @@ def _chosen(path: np.ndarray) -> np.ndarray:
     return u < np.uint64(int(2**64 / (LIKE * COORDS)))
 
 
-def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, tokens, path) -> the same for each child."""
+def _descend(batches: Iterator[pa.RecordBatch], first: int, runs: int, depth: int) -> Iterator[pa.RecordBatch]:
+    """(rid, tokens) -> the nodes that each set comes to in these runs: rid, path, parent, depth."""
+    roots = mix64(np.arange(5000 + first, 5000 + runs, dtype=np.uint64))
     for b in batches:
-        rid, path = np.asarray(b.column(0)), np.asarray(b.column(2)).view(np.uint64)
-        if not len(rid):
-            continue
-        tok = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, COORDS)
-        row, c = np.nonzero(_chosen(path))
-        child = mix64(path[row] ^ mix64(tok[row, c].astype(np.uint64) << np.uint64(8) | c.astype(np.uint64))).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(rid[row]), b.column(1).take(pa.array(row)), pa.array(child)], ["rid", "tokens", "path"])
+        for at_ in range(0, b.num_rows, 256):  # a node's choices are COORDS numbers: a few sets at a time
+            some = b.slice(at_, 256)
+            rid = np.asarray(some.column(0))
+            tok = np.frombuffer(b"".join(some.column(1).to_pylist()), np.uint32).reshape(-1, COORDS)
+            row, path = np.repeat(np.arange(len(rid)), len(roots)), np.tile(roots, len(rid))
+            for d in range(1, depth + 1):
+                at, c = np.nonzero(_chosen(path))
+                parent, row = path[at], row[at]
+                path = mix64(parent ^ mix64(tok[row, c].astype(np.uint64) << np.uint64(8) | c.astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(rid[row]), pa.array(path.view(np.int64)), pa.array(parent.view(np.int64)), pa.array(np.full(len(row), d, np.int32))], ["rid", "path", "parent", "depth"])
 
 
 def _dealt(rows: DataFrame, key: str, size: str, rid: str, block: int) -> DataFrame:
@@ -152,7 +160,7 @@ def _roots(near: np.ndarray) -> np.ndarray:
 
 
 def _leaf_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, part, side, rid, tokens), sorted -> edges from each row to its component's first row."""
+    """(path, part, side, rid, low bytes of the tokens), sorted -> edges from each row to its component's first row."""
     a, b_ = [], []
 
     def out() -> pa.RecordBatch:
@@ -162,12 +170,17 @@ def _leaf_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if t.num_rows < 2:
             continue
         rid = t.column(3).to_numpy()
-        tok = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint32).reshape(-1, COORDS)
+        tok = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8).reshape(-1, COORDS)
         same = np.zeros((len(rid), len(rid)), np.uint8)
         for c in range(COORDS):
             same += tok[:, c][:, None] == tok[:, c][None, :]
-        root = _roots(same >= TOKENS_LIKE * COORDS)
+        near = same >= TOKENS_LIKE * COORDS
+        root = _roots(near)
         moved = root != np.arange(len(rid))
+        side = t.column(2).to_numpy()
+        if side.any():  # a pair of blocks: what a block links in itself it links where it meets itself
+            own = _roots(near & (side[:, None] == side[None, :]))
+            moved &= own == np.arange(len(rid))
         a += rid[moved].tolist()
         b_ += rid[root[moved]].tolist()
         if len(a) > 50_000:
@@ -233,44 +246,50 @@ def _links(got: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in range(3)], ["rid", "root", "n_links"])
 
 
-def _candidates(sets: DataFrame, runs: int) -> DataFrame:
-    """Edges between sets that share a leaf and enough tokens."""
-    starts = F.explode(F.array(*[F.lit(int(x)) for x in mix64(np.arange(5000, 5000 + runs, dtype=np.uint64)).view(np.int64)]))
-    level = sets.select("rid", "tokens", starts.alias("path"))
-    edges = None
-    for depth in range(1, DEPTH + 1):
-        level = level.mapInArrow(_children, "rid long, tokens binary, path long")
-        if depth > 1:
-            level = cut(level)
-        counts = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        level = level.join(counts, "path").select("rid", "tokens", "path", "n")
-        if depth > 1:
-            level = cut(level)
-        leaf = level if depth == DEPTH else level.where(F.col("n") <= LIMIT)
-        rows = _dealt(leaf, "path", "n", "rid", BLOCK).select("path", "part", "side", "rid", "tokens")
-        found = rows.repartition("path", "part").sortWithinPartitions("path", "part").mapInArrow(_leaf_links, "a long, b long").distinct()
-        edges = found if edges is None else edges.unionByName(found)
-        level = level.where(F.col("n") > LIMIT).select("rid", "tokens", "path")
-        if depth < DEPTH:
-            level = cut(level)
-            if level.isEmpty():
-                break
-    return edges
+def _candidates(sets: DataFrame, recall: float) -> DataFrame:
+    """(rid, tokens, low) -> edges between sets that share a leaf and enough tokens.
+
+    Pairs that a leaf of the first level can show need few runs. Only sets that come to a larger node there go on, with
+    all runs that DEPTH levels ask for: a pair whose common nodes are all large has both of its sets among them. What is
+    shuffled by node is the node and the set's number.
+    """
+    nodes = "rid long, path long, parent long, depth int"
+    few = runs_for(recall, 1)
+    level = sets.select("rid", "tokens").mapInArrow(lambda b: _descend(b, 0, few, 1), nodes).select("rid", "path")
+    counts = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+    level = cut(level.join(counts, "path"))
+    leaves = level.where(F.col("n") <= LIMIT)
+    large = level.where(F.col("n") > LIMIT).select("rid").distinct()
+    if not large.isEmpty():
+        some = sets.join(large, "rid").select("rid", "tokens")
+        tree = cut(some.mapInArrow(lambda b: _descend(b, 0, runs_for(recall, DEPTH), DEPTH), nodes))
+        for depth in range(1, DEPTH + 1):
+            level = tree.where(F.col("depth") == depth)
+            if depth > 1:
+                level = cut(level.join(counts.where(F.col("n") > LIMIT).select(F.col("path").alias("parent")), "parent").select("rid", "path"))
+            counts = cut(level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
+            wanted = counts if depth == DEPTH else counts.where(F.col("n") <= LIMIT)
+            leaves = leaves.unionByName(level.join(wanted, "path").select("rid", "path", "n"))
+    rows = leaves.select("path", "rid", "n").join(sets.select("rid", "low"), "rid")
+    rows = _dealt(rows, "path", "n", "rid", BLOCK).select("path", "part", "side", "rid", "low")
+    return rows.repartition("path", "part").sortWithinPartitions("path", "part").mapInArrow(_leaf_links, "a long, b long").distinct()
 
 
 def joined(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """(doc_id, text) -> a row per document: doc_id, k (text key), class_id, set_id, n_links, n_copies, first (the row that
     stands for its class; fully repeated rows share it)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("k"), "text")
-    feats = cut(rows.mapInArrow(_features, "doc_id long, k binary, set_key binary, tokens binary, n int"))
+    feats = cut(rows.mapInArrow(_features, "doc_id long, k binary, set_key binary, tokens binary, low binary, n int"))
     full = feats.where(F.col("n") > 0)
-    sets = full.groupBy("set_key").agg(F.min(F.struct("doc_id", "k")).alias("r"), F.min("tokens").alias("tokens"), F.count("*").alias("n_copies"))
-    sets = cut(sets.select(F.monotonically_increasing_id().alias("rid"), "set_key", F.col("r.doc_id").alias("set_id"), F.col("r.k").alias("rk"), "tokens", "n_copies"))
-    groups = components(_candidates(sets.select("rid", "tokens"), runs_for(recall, DEPTH)))
+    sets = full.groupBy("set_key").agg(F.min(F.struct("doc_id", "k")).alias("r"), F.min("tokens").alias("tokens"), F.min("low").alias("low"), F.count("*").alias("n_copies"))
+    sets = cut(sets.select(F.monotonically_increasing_id().alias("rid"), "set_key", F.col("r.doc_id").alias("set_id"), F.col("r.k").alias("rk"), "tokens", "low", "n_copies"))
+    groups = components(_candidates(sets, recall))
     groups = cut(groups.select(F.col("node").alias("rid"), F.col("root").alias("g")))
     sizes = groups.groupBy("g").agg(F.count("*").alias("size"))
-    wanted = groups.join(sizes, "g").join(sets.select("rid", "set_id", "rk"), "rid")
-    # Only the texts that stand for a set with candidates move, once (hot groups: once for each pair of blocks).
+    wanted = cut(groups.join(sizes, "g").join(sets.select("rid", "set_id", "rk"), "rid"))
+    # Only the texts that stand for a set with candidates move (hot groups: once for each pair of blocks).
+    if wanted.count() <= MAX_BROADCAST:
+        wanted = F.broadcast(wanted)
     texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["set_id"]) & (rows["k"] == wanted["rk"])).select("g", "size", "rid", "text")
     parts = _dealt(texts, "g", "size", "rid", BLOCK).select("g", "part", "side", "rid", "text")
     links = cut(parts.repartition("g", "part").sortWithinPartitions("g", "part").mapInArrow(_exact_links, "rid long, root long, n_links long"))
@@ -290,8 +309,29 @@ def op7(docs: DataFrame) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class; texts without words stay."""
-    keep = joined(docs).where("first").select(F.col("doc_id").alias("__d"), F.col("k").alias("__k")).distinct()
-    k = text_key(F.col("text"))
-    left = docs.withColumn("__key", k).join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & F.col("__key").eqNullSafe(F.col("__k"))).drop("__d", "__k")
-    # Fully repeated rows are copies too.
-    return left.select(docs.columns).dropDuplicates(["doc_id", "text"])
+    first = joined(docs).where("first").groupBy(F.col("doc_id").alias("__d"), F.col("k").alias("__k")).agg(F.count("*").alias("__n"))
+    left = docs.withColumn("__key", text_key(F.col("text"))).join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & F.col("__key").eqNullSafe(F.col("__k")))
+    # Fully repeated rows are copies too; only these need to meet.
+    once = left.where("__n = 1").select(docs.columns)
+    return once.unionByName(left.where("__n > 1").dropDuplicates(["__d", "__k"]).select(docs.columns))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+), keyed AS (
+  SELECT r, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS k FROM sh GROUP BY r
+), sets AS MATERIALIZED (
+  SELECT k, min(doc_id) AS set_id, min(r) AS r, any_value(n) AS n, count(*) AS copies FROM keyed JOIN d USING (r) GROUP BY k
+), rs AS MATERIALIZED (SELECT sets.k, s FROM sh JOIN sets USING (r)),
+link AS MATERIALIZED (
+  SELECT p.a, p.b FROM (SELECT x.k AS a, y.k AS b, count(*) AS c FROM rs x JOIN rs y ON x.s = y.s AND x.k <> y.k GROUP BY 1, 2) p
+  JOIN sets u ON u.k = p.a JOIN sets v ON v.k = p.b WHERE p.c >= 0.8 * (u.n + v.n - p.c)
+), reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+root AS (SELECT s.k, least(s.set_id, min(t.set_id)) AS class_id FROM sets s LEFT JOIN reach ON reach.a = s.k LEFT JOIN sets t ON t.k = reach.b GROUP BY s.k, s.set_id),
+cnt AS (SELECT a AS k, count(*) AS n_links FROM link GROUP BY 1)
+SELECT d.doc_id, coalesce(root.class_id, d.doc_id) AS class_id, coalesce(sets.set_id, d.doc_id) AS set_id, CAST(coalesce(cnt.n_links, 0) AS BIGINT) AS n_links, CAST(coalesce(sets.copies, 1) AS BIGINT) AS n_copies
+FROM d LEFT JOIN keyed USING (r) LEFT JOIN sets ON sets.k = keyed.k LEFT JOIN root ON root.k = keyed.k LEFT JOIN cnt ON cnt.k = keyed.k
+"""
