@@ -44,4 +44,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring": substring.OP2_SQL, "op3_chat": chat.OP3_SQL, "op5_decontaminate": decontaminate.OP5_SQL}
+    return {"op2_substring": substring.OP2_SQL, "op3_chat": chat.OP3_SQL, "op5_decontaminate": decontaminate.OP5_SQL, "op7_jaccard": jaccard.OP7_SQL}
