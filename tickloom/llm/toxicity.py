@@ -40,12 +40,13 @@ from tickloom.llm.common import cut, text_key
 MAX_ROWS = 12_000
 MAX_FEATURES = 20_000
 PREFIXES = (3, 4, 5, 6, 7)
-PRIOR = 500.0
+#: The prior's weight, as a share of the labelled documents.
+PRIOR = 0.03
 MIN_Z = 5.0
 #: A feature is held by so many toxic documents at least, and by such a share of them.
 MIN_DOCS = 4
 MIN_SHARE = 0.01
-MIN_ODDS = 1.0
+MIN_ODDS = 2.5
 TOP_SCORE = 8.0
 DRIFT = 0.5
 P_MAX = 0.05
@@ -192,8 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model | None:
     nt, nc = float(total["t"]), float(total["c"])
     # Log-odds with the pooled rate as the prior; z by the variance of the two counts.
     rate = (F.col("t") + F.col("c")) / (nt + nc)
-    a_t, a_c = (F.col(k) + rate * PRIOR * m / (nt + nc) for k, m in (("t", nt), ("c", nc)))
-    odds = F.log(a_t / F.greatest(F.lit(nt * (1 + PRIOR / (nt + nc))) - a_t, F.lit(0.5))) - F.log(a_c / F.greatest(F.lit(nc * (1 + PRIOR / (nt + nc))) - a_c, F.lit(0.5)))
+    a_t, a_c = (F.col(k) + rate * PRIOR * m for k, m in (("t", nt), ("c", nc)))
+    odds = F.log(a_t / F.greatest(F.lit(nt * (1 + PRIOR)) - a_t, F.lit(0.5))) - F.log(a_c / F.greatest(F.lit(nc * (1 + PRIOR)) - a_c, F.lit(0.5)))
     z = odds / F.sqrt(1 / a_t + 1 / a_c)
     # Rare on both sides, the prior holds the odds near 0; add how far the counts are from the pooled rate.
     far = (F.col("t") - nt * rate) / F.sqrt(nt * rate * (1 - F.least(rate, F.lit(0.999))) * nc / (nt + nc))
