@@ -6,7 +6,9 @@ value is null until its frame holds n values that aren't null (``full``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEYS = ["symbol", "tf"]
@@ -117,3 +119,16 @@ def cross_up(a: Column, b: Column, a1: Column, b1: Column) -> Column:
 
 def cross_down(a: Column, b: Column, a1: Column, b1: Column) -> Column:
     return (a < b) & (a1 >= b1)
+
+
+def in_blocks(bars: DataFrame, f: Callable[[DataFrame], DataFrame], back: int, ahead: int = 0, block: int = 1_000_000) -> DataFrame:
+    """f over runs of ``block`` bars instead of whole series, for one long series must not be one task.
+
+    f may look ``back`` bars back and ``ahead`` bars ahead; so many bars of the neighbours go with each run, and their
+    rows are dropped again. f sees the run in ``tf`` (the windows' key) and keeps symbol, tf and bar_seq.
+    """
+    own, at = F.floor(F.col("bar_seq") / block).cast("long"), F.pmod(F.col("bar_seq"), F.lit(block))
+    runs = F.array_compact(F.array(own, F.when(at >= block - back, own + 1), F.when((at < ahead) & (own > 0), own - 1)))
+    rows = bars.withColumn("__run", F.explode(runs)).withColumn("tf", F.concat("tf", F.lit("#"), F.col("__run").cast("string"))).drop("__run")
+    out = f(rows)
+    return out.where(F.substring_index("tf", "#", -1).cast("long") == own).withColumn("tf", F.substring_index("tf", "#", 1))

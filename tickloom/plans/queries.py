@@ -97,6 +97,7 @@ query("sma_20", with_bars(f"SELECT symbol, ts, round({_full('avg', 'close', 20)}
 query("wma_20", with_bars("SELECT symbol, ts, round((" + " + ".join(f"lag(close, {k}) OVER ({_S}) * {20 - k}" for k in range(20)) + ") / 210, 6) AS wma FROM bars"))(lambda s, d: _bare(indicators.compute("wma", hourly(s, d)), "wma"))
 _M, _SD = _full("avg", "close", 20), _full("stddev_samp", "close", 20)
 query("bollinger_20", with_bars(f"SELECT symbol, ts, round(m, 6) AS bb_middle, round(m + 2 * s, 6) AS bb_upper, round(m - 2 * s, 6) AS bb_lower, round(4 * s / nullif(m, 0), 6) AS bb_width FROM (SELECT *, {_M} AS m, {_SD} AS s FROM bars)"))(lambda s, d: _bare(indicators.compute("bollinger_bands", hourly(s, d)), "bb_middle", "bb_upper", "bb_lower", "bb_width"))
+query("bollinger_20_blocks", SQL["bollinger_20"])(lambda s, d: _bare(W.in_blocks(hourly(s, d), lambda b: indicators.compute("bollinger_bands", b), back=19, block=100), "bb_middle", "bb_upper", "bb_lower", "bb_width"))
 query("stochastic_14", with_bars(f", k AS (SELECT *, 100 * (close - {_full('min', 'low', 14)}) / nullif({_full('max', 'high', 14)} - {_full('min', 'low', 14)}, 0) AS k FROM bars) SELECT symbol, ts, round(k, 6) AS stoch_k, round({_full('avg', 'k', 3)}, 6) AS stoch_d FROM k"))(lambda s, d: _bare(indicators.compute("stochastic", hourly(s, d)), "stoch_k", "stoch_d"))
 query("roc_12", with_bars(f"SELECT symbol, ts, round((close / nullif(lag(close, 12) OVER ({_S}), 0) - 1) * 100, 6) AS roc FROM bars"))(lambda s, d: _bare(indicators.compute("roc", hourly(s, d)), "roc"))
 _DAY = "(PARTITION BY symbol, CAST(ts AS DATE) ORDER BY bar_seq ROWS UNBOUNDED PRECEDING)"
@@ -151,6 +152,7 @@ _BODY = "(CASE WHEN open = close THEN 1e-9 ELSE abs(close - open) END)"
 query("pin_bar", with_bars(f"SELECT symbol, ts, (least(open, close) - low) / {_BODY} >= 2 AND high - greatest(open, close) < {_BODY} AS bullish, (high - greatest(open, close)) / {_BODY} >= 2 AND least(open, close) - low < {_BODY} AS bearish FROM bars"))(lambda s, d: hourly(s, d).select("symbol", "ts", candles.pin_bar("bullish").alias("bullish"), candles.pin_bar("bearish").alias("bearish")))
 _W11 = f"({_S} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)"
 query("pivots", with_bars(f"SELECT symbol, ts, count(*) OVER {_W11} = 11 AND high = max(high) OVER {_W11} AS high_pivot, count(*) OVER {_W11} = 11 AND low = min(low) OVER {_W11} AS low_pivot FROM bars"))(lambda s, d: hourly(s, d).select("symbol", "ts", candles.pivot("high").alias("high_pivot"), candles.pivot("low").alias("low_pivot")))
+query("pivots_blocks", SQL["pivots"])(lambda s, d: W.in_blocks(hourly(s, d), lambda b: b.withColumns({"high_pivot": candles.pivot("high"), "low_pivot": candles.pivot("low")}), back=5, ahead=5, block=64).select("symbol", "ts", "high_pivot", "low_pivot"))
 query("turning_points", with_bars(f"SELECT symbol, ts, coalesce(lag(close, 3) OVER ({_S}) = max(close) OVER {_f(7)} AND bar_seq >= 7, false) AS top, coalesce(lag(close, 3) OVER ({_S}) = min(close) OVER {_f(7)} AND bar_seq >= 7, false) AS bottom FROM bars"))(lambda s, d: hourly(s, d).select("symbol", "ts", chartpatterns.turning("top", 3).alias("top"), chartpatterns.turning("bottom", 3).alias("bottom")))
 _W7 = f"({_S} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"
 query("pivot_classes", with_bars(f", p AS (SELECT *, CAST(count(*) OVER {_W7} = 7 AND low = min(low) OVER {_W7} AS INT) + 2 * CAST(count(*) OVER {_W7} = 7 AND high = max(high) OVER {_W7} AS INT) AS pv FROM bars) SELECT symbol, ts, pv AS pivot_class, round(CASE pv WHEN 1 THEN low - 0.001 WHEN 2 THEN high + 0.001 END, 6) AS pivot_pos FROM p"))(lambda s, d: chartpatterns.pivots(hourly(s, d)).select("symbol", "ts", F.col("pivot").alias("pivot_class"), "pivot_pos"))
