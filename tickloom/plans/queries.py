@@ -156,6 +156,8 @@ query("pivots_blocks", SQL["pivots"])(lambda s, d: W.in_blocks(hourly(s, d), lam
 query("turning_points", with_bars(f"SELECT symbol, ts, coalesce(lag(close, 3) OVER ({_S}) = max(close) OVER {_f(7)} AND bar_seq >= 7, false) AS top, coalesce(lag(close, 3) OVER ({_S}) = min(close) OVER {_f(7)} AND bar_seq >= 7, false) AS bottom FROM bars"))(lambda s, d: hourly(s, d).select("symbol", "ts", chartpatterns.turning("top", 3).alias("top"), chartpatterns.turning("bottom", 3).alias("bottom")))
 _W7 = f"({_S} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"
 query("pivot_classes", with_bars(f", p AS (SELECT *, CAST(count(*) OVER {_W7} = 7 AND low = min(low) OVER {_W7} AS INT) + 2 * CAST(count(*) OVER {_W7} = 7 AND high = max(high) OVER {_W7} AS INT) AS pv FROM bars) SELECT symbol, ts, pv AS pivot_class, round(CASE pv WHEN 1 THEN low - 0.001 WHEN 2 THEN high + 0.001 END, 6) AS pivot_pos FROM p"))(lambda s, d: chartpatterns.pivots(hourly(s, d)).select("symbol", "ts", F.col("pivot").alias("pivot_class"), "pivot_pos"))
+_DBL = f", p AS (SELECT *, CAST(count(*) OVER {_W7} = 7 AND low = min(low) OVER {_W7} AS INT) + 2 * CAST(count(*) OVER {_W7} = 7 AND high = max(high) OVER {_W7} AS INT) AS pv FROM bars), g AS (SELECT *, list_filter(list(CASE WHEN pv <> 0 THEN {{'p': CASE pv WHEN 1 THEN low - 0.001 WHEN 2 THEN high + 0.001 END}} END) OVER {_f(31)}, lambda v: v IS NOT NULL) AS x FROM p), v AS (SELECT *, x[1].p AS a, x[2].p AS b, x[3].p AS c, x[4].p AS d, x[5].p AS e, bar_seq >= 30 AND len(x) = 5 AS five FROM g)"
+query("double_types", with_bars(f"{_DBL} SELECT symbol, ts, CASE WHEN coalesce(five AND b < d AND b / d >= 0.1 AND least(a, c, e) > greatest(b, d) AND a + c + e IS NOT NULL, false) THEN 'bottoms' WHEN coalesce(five AND b > d AND b / d <= 5 AND b / a >= 1.012 AND d / c >= 1.012 AND greatest(a, c, e) < least(b, d) AND a + c + e IS NOT NULL, false) THEN 'tops' ELSE '' END AS double_type FROM v"))(lambda s, d: _bare(chartpatterns.doubles(hourly(s, d), lookback=30, kind="both", count=3, tops_max_ratio=5.0, bottoms_min_ratio=0.1), "double_type"))
 query("double_tops_bottoms")(lambda s, d: _bare(chartpatterns.doubles(hourly(s, d), lookback=30, kind="both", count=3, tops_max_ratio=5.0, bottoms_min_ratio=0.1), "double_type", "chart_type", "double_idx", "double_point"))
 query("head_shoulders")(lambda s, d: chartpatterns.head_shoulders(hourly(s, d), 3))
 query("head_shoulders_early")(lambda s, d: chartpatterns.head_shoulders(hourly(s, d), 3, early=True, log_prices=False))
@@ -167,6 +169,9 @@ query("renko_auto")(lambda s, d: renko.renko(hourly(s, d)))
 
 _SWING = f", p AS (SELECT *, CAST(coalesce(bar_seq >= 16 AND lag(high, 8) OVER ({_S}) > max(high) OVER {_f(8, 9)} AND lag(high, 8) OVER ({_S}) >= max(high) OVER {_f(8)}, false) AS INT) AS is_pivot_high, CAST(coalesce(bar_seq >= 16 AND lag(low, 8) OVER ({_S}) < min(low) OVER {_f(8, 9)} AND lag(low, 8) OVER ({_S}) <= min(low) OVER {_f(8)}, false) AS INT) AS is_pivot_low FROM bars), q AS (SELECT *, last_value(CASE WHEN is_pivot_high = 1 THEN high END IGNORE NULLS) OVER ({_S} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ph, last_value(CASE WHEN is_pivot_low = 1 THEN low END IGNORE NULLS) OVER ({_S} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pl, list(CASE WHEN is_pivot_high = 1 THEN high END) OVER ({_S} ROWS BETWEEN 23 PRECEDING AND 1 PRECEDING) AS hs, list(CASE WHEN is_pivot_low = 1 THEN low END) OVER ({_S} ROWS BETWEEN 23 PRECEDING AND 1 PRECEDING) AS ls FROM p)"
 query("structure_swings", with_bars(f"{_SWING} SELECT symbol, ts, is_pivot_high, is_pivot_low, CAST(coalesce(is_pivot_high = 1 AND high > ph, false) AS INT) AS is_hh, CAST(coalesce(is_pivot_high = 1 AND high <= ph, false) AS INT) AS is_lh, CAST(coalesce(is_pivot_low = 1 AND low > pl, false) AS INT) AS is_hl, CAST(coalesce(is_pivot_low = 1 AND low <= pl, false) AS INT) AS is_ll, CAST(coalesce(len(list_filter(hs, lambda v: v IS NOT NULL AND high > v AND close < v)) > 0, false) AS INT) AS is_sweep_bearish, CAST(coalesce(len(list_filter(ls, lambda v: v IS NOT NULL AND low < v AND close > v)) > 0, false) AS INT) AS is_sweep_bullish FROM q"))(lambda s, d: _bare(structure.market_structure(hourly(s, d)), "is_pivot_high", "is_pivot_low", "is_hh", "is_lh", "is_hl", "is_ll", "is_sweep_bearish", "is_sweep_bullish"))
+_NEAR = "last_value(CASE WHEN is_pivot_{0} = 1 THEN {0} END IGNORE NULLS) OVER (" + _S + " ROWS BETWEEN 49 PRECEDING AND 1 PRECEDING)"
+_BREAKS = f"{_SWING}, n AS (SELECT *, CASE WHEN bar_seq >= 50 THEN {_NEAR.format('high')} END AS nh, CASE WHEN bar_seq >= 50 THEN {_NEAR.format('low')} END AS nl FROM q), x AS MATERIALIZED (SELECT symbol, ts, bar_seq, close, last_value(nh IGNORE NULLS) OVER ({_S} ROWS UNBOUNDED PRECEDING) AS hi, last_value(nl IGNORE NULLS) OVER ({_S} ROWS UNBOUNDED PRECEDING) AS lo FROM n), e AS (SELECT *, 0 AS st, 0 AS was FROM x WHERE bar_seq = 0 UNION ALL SELECT x.symbol, x.ts, x.bar_seq, x.close, x.hi, x.lo, CASE WHEN e.st = 0 AND x.close > x.hi THEN 1 WHEN e.st = 1 AND x.close < x.lo THEN 0 ELSE e.st END, e.st FROM e JOIN x ON x.symbol = e.symbol AND x.bar_seq = e.bar_seq + 1)"
+query("structure_breaks", with_bars(f"{_BREAKS} SELECT symbol, ts, st AS market_structure, CAST(st = 1 AND was = 0 AS INT) AS is_choch_bullish, CAST(st = 0 AND was = 1 AS INT) AS is_choch_bearish, CAST(coalesce(st = 1 AND close > hi * 1.001, false) AS INT) AS is_bos_bullish, CAST(coalesce(st = 0 AND close < lo * 0.999, false) AS INT) AS is_bos_bearish FROM e", True))(lambda s, d: _bare(structure.market_structure(hourly(s, d)), "market_structure", "is_choch_bullish", "is_choch_bearish", "is_bos_bullish", "is_bos_bearish"))
 query("structure_features")(lambda s, d: structure.market_structure(hourly(s, d)))
 query("structure_summary")(lambda s, d: structure.feature_summary(structure.market_structure(hourly(s, d)), ["is_pivot_high", "is_pivot_low", "is_hh", "is_ll", "is_choch", "is_bos", "is_idm", "is_ob", "is_sweep", "is_fvg"]))
 query("compact_features")(lambda s, d: compact.compact_features(hourly(s, d)))
@@ -214,6 +219,11 @@ for _name in strategies.REGISTRY:
     query(f"backtest_{_name}")(lambda s, d, n=_name: metrics.backtest_metrics(simulate.simulate(strategies.get(n).signals(hourly(s, d)))))
 _X = "c AS (SELECT symbol, ts, bar_seq, f, s, lag(f) OVER (PARTITION BY symbol ORDER BY bar_seq) AS pf, lag(s) OVER (PARTITION BY symbol ORDER BY bar_seq) AS ps FROM e)"
 query("ema_cross_signals", with_bars(f"{_D}, e AS (SELECT symbol, ts, bar_seq, close AS f, close AS s FROM d WHERE bar_seq = 0 UNION ALL SELECT b.symbol, b.ts, b.bar_seq, {_ew('f', '0.2', 'b.close')}, {_ew('s', '2.0/22', 'b.close')} FROM e JOIN d b ON b.symbol = e.symbol AND b.bar_seq = e.bar_seq + 1), {_X} SELECT symbol, ts, coalesce(bar_seq >= 22 AND f > s AND pf <= ps, false) AS go_long, coalesce(bar_seq >= 22 AND f < s AND pf >= ps, false) AS go_short FROM c", True))(lambda s, d: strategies.get("ema_crossover").signals(hourly(s, d)).select("symbol", "ts", "go_long", "go_short"))
+_POS = f"{_D}, e AS (SELECT symbol, ts, bar_seq, close AS f, close AS s FROM d WHERE bar_seq = 0 UNION ALL SELECT b.symbol, b.ts, b.bar_seq, {_ew('f', '0.2', 'b.close')}, {_ew('s', '2.0/22', 'b.close')} FROM e JOIN d b ON b.symbol = e.symbol AND b.bar_seq = e.bar_seq + 1), {_X}, g AS MATERIALIZED (SELECT c.*, b.close, coalesce(c.bar_seq >= 22 AND f > s AND pf <= ps, false) AS up, coalesce(c.bar_seq >= 22 AND f < s AND pf >= ps, false) AS dn FROM c JOIN bars b USING (symbol, bar_seq)), h AS (SELECT symbol, bar_seq, 0 AS side, close AS entry, 0 AS was, 0.0::DOUBLE AS was_entry, close, 0.0::DOUBLE AS cash FROM g WHERE bar_seq = 0 UNION ALL SELECT g.symbol, g.bar_seq, CASE WHEN h.side = 0 AND up THEN 1 WHEN h.side = 0 AND dn THEN -1 WHEN h.side = 1 AND dn OR h.side = -1 AND up THEN 0 ELSE h.side END, CASE WHEN h.side = 0 AND (up OR dn) THEN g.close ELSE h.entry END, h.side, h.entry, g.close, CASE WHEN h.side = 1 AND dn OR h.side = -1 AND up THEN h.cash + h.side * (g.close - h.entry) ELSE h.cash END FROM h JOIN g ON g.symbol = h.symbol AND g.bar_seq = h.bar_seq + 1), z AS (SELECT *, bar_seq = max(bar_seq) OVER (PARTITION BY symbol) AS last FROM h)"
+_TR2 = "SELECT symbol, CASE was WHEN 1 THEN 'long' ELSE 'short' END AS side, was_entry AS entry_price, close AS exit_price, was * (close - was_entry) AS pnl, 'signal' AS exit_reason FROM z WHERE was <> 0 AND side = 0 UNION ALL SELECT symbol, CASE side WHEN 1 THEN 'long' ELSE 'short' END, entry, close, side * (close - entry), 'end_of_data' FROM z WHERE last AND side <> 0"
+query("backtest_cross_trades", with_bars(f"{_POS} SELECT symbol, side, round(entry_price, 6) AS entry_price, round(exit_price, 6) AS exit_price, round(pnl, 6) AS pnl, exit_reason FROM ({_TR2})", True))(lambda s, d: simulate.trades_of(simulate.simulate(strategies.get("ema_crossover").signals(hourly(s, d)))).select("symbol", "side", "entry_price", "exit_price", "pnl", "exit_reason"))
+query("backtest_cross_equity", with_bars(f"{_POS} SELECT symbol, bar_seq, round(100000 + cash + side * (close - entry), 2) AS equity FROM z", True))(lambda s, d: simulate.simulate(strategies.get("ema_crossover").signals(hourly(s, d))).select("symbol", "bar_seq", "equity"))
+query("backtest_cross_metrics", with_bars(f"{_POS}, q AS (SELECT symbol, bar_seq, round(100000 + cash + side * (close - entry), 2) AS eq FROM z), r AS (SELECT *, eq / lag(eq) OVER (PARTITION BY symbol ORDER BY bar_seq) - 1 AS r, eq / max(eq) OVER (PARTITION BY symbol ORDER BY bar_seq ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM q), t AS ({_TR2}), a AS (SELECT symbol, last(eq ORDER BY bar_seq) AS fin, min(dd) * 100 AS dd, sqrt(252) * avg(r) / stddev_pop(r) AS sharpe, sqrt(252) * avg(r) / stddev_pop(r) FILTER (r < 0) AS sortino FROM r GROUP BY 1), b AS (SELECT symbol, count(*) AS n, 100.0 * count(*) FILTER (pnl > 0) / count(*) AS wr, sum(pnl) AS pts FROM t GROUP BY 1) SELECT a.symbol, round(fin, 2) AS final_equity, round((fin / 100000 - 1) * 100, 4) AS total_return_pct, round(dd, 4) AS max_drawdown_pct, round(sharpe, 4) AS sharpe_ratio, round(sortino, 4) AS sortino_ratio, n AS n_trades, round(wr, 4) AS win_rate_pct, round(pts, 4) AS total_points FROM a JOIN b USING (symbol)", True))(lambda s, d: rounded(metrics.backtest_metrics(simulate.simulate(strategies.get("ema_crossover").signals(hourly(s, d))), digits=6).select("symbol", "final_equity", "total_return_pct", "max_drawdown_pct", "sharpe_ratio", "sortino_ratio", "n_trades", "win_rate_pct", "total_points"), 4))
 _SUB = {"ema_fast": [5, 9], "ema_slow": [13, 21, 26]}
 query("backtest_trades")(lambda s, d: simulate.trades_of(simulate.simulate(strategies.get("ema_crossover").signals(hourly(s, d), {"use_sl_tp": True}))))
 query("backtest_equity")(lambda s, d: simulate.simulate(strategies.get("ema_crossover").signals(hourly(s, d))).drop("trades"))
