@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Words of the mixing, dedup and fingerprint operators: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one Arrow batch may hold before it goes to a Python worker.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes too, for texts may be of any length."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def cut(df: DataFrame) -> DataFrame:
