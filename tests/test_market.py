@@ -177,6 +177,48 @@ def test_search_signals_match_the_rules(spark):
         assert np.allclose(want["stop_dist"].astype(float)[live_], got["stop_dist"][live_.to_numpy()], equal_nan=True)
 
 
+@pytest.mark.parametrize("name", ["heikin_ashi_ema_cross", "rsi_mean_reversion", "bollinger_breakout", "macd_trend"])
+def test_array_signals_match_the_rules(spark, name):
+    b = make(spark, walk(320, 7))
+    pdf = b.orderBy("bar_seq").toPandas()
+    s = {k: pdf[k].to_numpy(float) for k in ("open", "high", "low", "close", "volume")}
+    for p in ({}, {"use_sl_tp": True} if "ha" in name[:2] else {"use_trend_filter": True, "ema_trend": 30} if "bollinger" not in name else {"exit_on_middle": False}):
+        want = strategies.get(name).signals(b, p).orderBy("bar_seq").toPandas()
+        got = search.SIGNALS[name](s, strategies.get(name).params(p))
+        for k in ("go_long", "go_short", "leave_long", "leave_short"):
+            assert (want[k].to_numpy(bool) == got[k]).all(), (p, k)
+
+
+def test_finder(spark):
+    ranked, folds = search.finder(make(spark, walk(400, 2)), "rsi_mean_reversion", {"rsi_period": [7, 14], "nope": [1]}, {"zz": 1}, max_bars=300)
+    assert ranked.count() == 2
+    assert folds.count() == 2
+    assert search.combo_table(ranked, "n_trades", False, 1).count() == 1
+
+
+def test_ingest_cycle(spark, tmp_path):
+    from datetime import UTC, datetime
+
+    from tickloom.streaming import runner
+
+    now = datetime(2024, 1, 2, 1, 0, tzinfo=UTC)
+    at = [int(now.timestamp()) - 60 * k for k in range(80, 0, -1)]
+
+    def get(symbol, res, a, b):
+        if symbol.endswith("BAD"):
+            raise OSError("down")
+        t = [x for x in at if a <= x < b]
+        return {"s": "ok", "t": t, "o": [1.0] * len(t), "h": [2.0] * len(t), "l": [0.5] * len(t), "c": [1.5] * len(t)}
+
+    root = str(tmp_path / "i")
+    for _ in range(2):
+        got = runner.cycle(spark, root, {"EURUSD": "forex", "BAD": "stock"}, get, now, derived=("5m", "1h"))
+        assert got["EURUSD"] == "ok"
+        assert B.read_parquet(spark, root, "EURUSD", "1m").count() == 80
+    assert B.read_parquet(spark, root, "EURUSD", "1h").count() == 2
+    assert runner.loop(lambda: {}, 0.0, 1) == 1
+
+
 def test_grid_search_ranks(spark):
     b = make(spark, walk(400))
     sets = search.param_sets(spark, {"ema_fast": [3, 5], "ema_slow": [8, 13]}, {"tp_points": 0})

@@ -59,6 +59,65 @@ def ema_cross_signals(s: dict[str, np.ndarray], p: dict[str, float]) -> dict[str
     return {"go_long": up & live & ok, "go_short": down & live & ok, "leave_long": down & live, "leave_short": up & live, **dist}
 
 
+def _level(x: np.ndarray, level: float) -> tuple[np.ndarray, np.ndarray]:
+    return _cross(x, np.full(len(x), float(level)))
+
+
+def _trend(c: np.ndarray, p: dict[str, float], on: bool) -> tuple[np.ndarray, np.ndarray]:
+    if not p.get("use_trend_filter", on):
+        return np.ones(len(c), bool), np.ones(len(c), bool)
+    e = K.ewma(c, 2 / (int(p.get("ema_trend", 200)) + 1))
+    return c > e, c < e
+
+
+def _packed(s: dict, warmup: int, long, short, leave_long, leave_short, dist: dict | None = None) -> dict[str, np.ndarray]:
+    n = len(s["close"])
+    live = np.arange(n) >= warmup
+    none = {"stop_dist": np.full(n, np.nan), "target_dist": np.full(n, np.nan)}
+    return {"go_long": long & live, "go_short": short & live, "leave_long": leave_long & live, "leave_short": leave_short & live, **(dist or none)}
+
+
+def ha_cross_signals(s: dict[str, np.ndarray], p: dict[str, float]) -> dict[str, np.ndarray]:
+    c = I._heikin_ashi(s)["ha_close"]
+    fast, slow, trend = (int(p.get(k, d)) for k, d in (("ema_fast", 9), ("ema_slow", 21), ("ema_trend", 55)))
+    up, down = _cross(K.ewma(c, 2 / (fast + 1)), K.ewma(c, 2 / (slow + 1)))
+    t = K.ewma(c, 2 / (trend + 1))
+    dist = None
+    if p.get("use_sl_tp"):
+        a = I._atr(s, int(p.get("atr_period", 14)))["atr"]
+        dist = {"stop_dist": a * p.get("atr_sl_mult", 1.5), "target_dist": a * p.get("atr_tp_mult", 3.0)}
+    return _packed(s, max(trend, slow) + 1, up & (s["close"] > t), down & (s["close"] < t), down, up, dist)
+
+
+def rsi_signals(s: dict[str, np.ndarray], p: dict[str, float]) -> dict[str, np.ndarray]:
+    n = int(p.get("rsi_period", 14))
+    r = I._rsi(s, n)["rsi"]
+    up_ok, down_ok = _trend(s["close"], p, False)
+    mid = p.get("rsi_exit_mid", 50)
+    with np.errstate(invalid="ignore"):
+        return _packed(s, n + 1, _level(r, p.get("rsi_lower", 30))[0] & up_ok, _level(r, p.get("rsi_upper", 70))[1] & down_ok, r >= mid, r <= mid)
+
+
+def bollinger_signals(s: dict[str, np.ndarray], p: dict[str, float]) -> dict[str, np.ndarray]:
+    n, k, c = int(p.get("bb_period", 20)), p.get("bb_std", 2.0), s["close"]
+    roll = pd.Series(c).rolling(n)
+    mid, sd = roll.mean().to_numpy(), roll.std().to_numpy()
+    out = bool(p.get("exit_on_middle", True))
+    with np.errstate(invalid="ignore"):
+        return _packed(s, n + 1, _cross(c, mid + k * sd)[0], _cross(c, mid - k * sd)[1], out & (c < mid), out & (c > mid))
+
+
+def macd_signals(s: dict[str, np.ndarray], p: dict[str, float]) -> dict[str, np.ndarray]:
+    fast, slow, signal = (int(p.get(k, d)) for k, d in (("fast", 12), ("slow", 26), ("signal", 9)))
+    up, down = _level(I._macd(s, fast, slow, signal)["macd_hist"], 0.0)
+    up_ok, down_ok = _trend(s["close"], p, True)
+    return _packed(s, max(slow, int(p.get("ema_trend", 200))) + 1, up & up_ok, down & down_ok, down, up)
+
+
+#: The strategies' signals on arrays, for searches: the same as their rules have them.
+SIGNALS = {"ema_crossover": ema_cross_signals, "heikin_ashi_ema_cross": ha_cross_signals, "rsi_mean_reversion": rsi_signals, "bollinger_breakout": bollinger_signals, "macd_trend": macd_signals}
+
+
 def simulate_sets(bars: DataFrame, sets: DataFrame, costs: S.Costs = S.Costs(), signals=ema_cross_signals, keys: list[str] | None = None) -> DataFrame:
     """A row per bar of each set (see simulate), with ``error`` where a set failed."""
     keys = keys or KEYS
@@ -84,10 +143,10 @@ def simulate_sets(bars: DataFrame, sets: DataFrame, costs: S.Costs = S.Costs(),
     return paired.groupBy(*keys).applyInPandas(group, schema)
 
 
-def grid_search(bars: DataFrame, sets: DataFrame, goal: str = "sharpe", top_k: int = 50, costs: S.Costs = S.Costs()) -> DataFrame:
+def grid_search(bars: DataFrame, sets: DataFrame, goal: str = "sharpe", top_k: int = 50, costs: S.Costs = S.Costs(), signals=ema_cross_signals) -> DataFrame:
     """Ranked sets of each series: symbol, tf, combo_id, params, score, error, metrics. A failed set scores FAILED; ties go
     by combo_id."""
-    result = simulate_sets(bars, sets, costs)
+    result = simulate_sets(bars, sets, costs, signals)
     errors = result.groupBy(*KEYS).agg(F.max("error").alias("error"))
     m = backtest_metrics(result.drop("error"), KEYS, costs.initial_capital).join(errors, KEYS)
     m = m.withColumn("score", F.when(F.col("error").isNotNull(), F.lit(FAILED)).otherwise(objective(goal)))
@@ -95,7 +154,7 @@ def grid_search(bars: DataFrame, sets: DataFrame, goal: str = "sharpe", top_k: i
     return m.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).join(sets, "combo_id")
 
 
-def walk_forward(bars: DataFrame, best: DataFrame, splits: int = 2, goal: str = "sharpe", costs: S.Costs = S.Costs()) -> DataFrame:
+def walk_forward(bars: DataFrame, best: DataFrame, splits: int = 2, goal: str = "sharpe", costs: S.Costs = S.Costs(), signals=ema_cross_signals) -> DataFrame:
     """The best set (symbol, tf, combo_id, params) on equal runs of each series, in order, the rest left out; series under
     50 bars a run have none. Nothing is tuned again."""
     keys = ["symbol", "tf", "fold"]
@@ -103,15 +162,31 @@ def walk_forward(bars: DataFrame, best: DataFrame, splits: int = 2, goal: str =
     b = bars.withColumn("__n", n).where(F.col("__n") >= 50 * splits).withColumn("fold", F.floor(F.col("bar_seq") / F.floor(F.col("__n") / splits)).cast("long")).where(F.col("fold") < splits)
     w = Window.partitionBy(*keys).orderBy("bar_seq")
     b = b.withColumn("bar_seq", (F.row_number().over(w) - 1).cast("long")).drop("__n").join(best.select("symbol", "tf", "params"), ["symbol", "tf"])
-    kinds = dict(b.dtypes)
     one = b.sparkSession.createDataFrame([(0,)], "combo_id long")
-    del kinds
-    result = _by_fold(b, one, costs, keys)
+    result = simulate_sets(b, one, costs, signals, keys).drop("error")
     return backtest_metrics(result, keys, costs.initial_capital).withColumn("score", objective(goal))
 
 
-def _by_fold(b: DataFrame, one: DataFrame, costs: S.Costs, keys: list[str]) -> DataFrame:
-    return simulate_sets(b, one, costs, keys=keys).drop("error")
+def finder(bars: DataFrame, strategy: str, ranges: dict[str, list] | None = None, fixed: dict | None = None, goal: str = "sharpe", max_bars: int | None = 3000, splits: int = 2) -> tuple[DataFrame, DataFrame]:
+    """All sets of a strategy on its own ranges (or these), and the best one on parts of the series. Parameters that the
+    strategy doesn't have are dropped; ``max_bars`` keeps the last bars of each series (None: all)."""
+    from tickloom.plans.strategies import get
+    from tickloom.sources.bars import numbered, tail
+
+    s = get(strategy)
+    ranges, fixed = known_params(s.defaults, ranges or s.ranges), known_params(s.defaults, fixed or {})
+    sets = param_sets(bars.sparkSession, ranges, {k: float(v) for k, v in (s.defaults | fixed).items()})
+    b = bars if max_bars is None else numbered(tail(bars, max_bars))
+    n = 1
+    for v in ranges.values():
+        n *= len(v)
+    ranked = grid_search(b, sets, goal, max(n, 50), signals=SIGNALS[strategy])
+    return ranked, walk_forward(b, ranked.where("rank = 1"), splits, goal, signals=SIGNALS[strategy])
+
+
+def combo_table(ranked: DataFrame, by: str = "score", descending: bool = True, limit: int = 15) -> DataFrame:
+    """The first rows of a search by any figure."""
+    return ranked.orderBy(F.desc_nulls_last(by) if descending else F.asc_nulls_last(by), "combo_id").limit(limit)
 
 
 def beats(best: float, original: float) -> bool:

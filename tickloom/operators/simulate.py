@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TRADE = "trade_id long, side string, entry_time timestamp_ntz, entry_price double, exit_time timestamp_ntz, exit_price double, pnl double, pnl_pct double, points double, bars_held int, exit_reason string"
@@ -146,3 +146,9 @@ def simulate(signals: DataFrame, costs: Costs = Costs(), keys: list[str] | None
 
 def trades_of(result: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return result.select(*(keys or ["symbol", "tf"]), F.inline("trades"))
+
+
+def last_trades(trades: DataFrame, n: int = 12, keys: list[str] | None = None) -> DataFrame:
+    """The last n trades of each key, as previews show them."""
+    w = Window.partitionBy(*(keys or ["symbol", "tf"])).orderBy(F.desc("trade_id"))
+    return trades.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions import windows as W
-from tickloom.operators import candles, chartpatterns, compact, flags, indicators, insights, longseries, metrics, renko, search, simulate, structure, tradefilter
+from tickloom.operators import candles, chartpatterns, compact, features, flags, indicators, insights, longseries, metrics, renko, search, simulate, structure, tradefilter
 from tickloom.operators.asof import asof, equity_from_trades
 from tickloom.plans import spec, strategies
 from tickloom.sources import bars as B
@@ -231,6 +231,10 @@ query("backtest_renko")(lambda s, d: metrics.backtest_metrics(spec.backtest(spec
 query("backtest_sessions")(lambda s, d: insights.session_breakdown(simulate.trades_of(simulate.simulate(strategies.get("ema_crossover").signals(hourly(s, d)))), KEYS))
 query("rules_strategy")(lambda s, d: metrics.backtest_metrics(simulate.simulate(strategies.from_rules("rsi_and_trend", {"indicators": {"r": {"name": "rsi", "period": 14}, "m": {"name": "sma", "period": 50}}, "long": {"all": [{"left": "r", "op": "crosses_above", "right": 45}, {"left": "close", "op": ">", "right": "m"}]}, "leave_long": {"left": "r", "op": ">", "right": 60}, "warmup": 50}).signals(hourly(s, d)))))
 query("grid_search_topk")(lambda s, d: search.grid_search(hourly(s, d), search.param_sets(s, _SUB), top_k=3).select("symbol", "rank", "combo_id", "score", "n_trades", "total_points", F.to_json("params").alias("params")))
+for _name in strategies.REGISTRY:
+    query(f"finder_{_name}")(lambda s, d, n=_name: search.combo_table(search.finder(hourly(s, d), n, {k: v[:2] for k, v in strategies.get(n).ranges.items()})[0], "total_return_pct").select("symbol", "rank", "combo_id", "score", "total_return_pct", "n_trades"))
+query("last_trades", with_bars(f"{_POS}, t AS (SELECT symbol, bar_seq, was_entry AS entry_price, close AS exit_price FROM z WHERE was <> 0 AND side = 0 UNION ALL SELECT symbol, bar_seq + 1, entry, close FROM z WHERE last AND side <> 0) SELECT symbol, round(entry_price, 6) AS entry_price, round(exit_price, 6) AS exit_price FROM t QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_seq DESC) <= 12", True))(lambda s, d: simulate.last_trades(simulate.trades_of(simulate.simulate(strategies.get("ema_crossover").signals(hourly(s, d))))).select("symbol", "entry_price", "exit_price"))
+query("features_merged")(lambda s, d: features.all_features(hourly(s, d), "1h"))
 query("walk_forward")(lambda s, d: search.walk_forward(hourly(s, d), search.grid_search(hourly(s, d), search.param_sets(s, _SUB), top_k=1)).select("symbol", "fold", "score", "n_trades", "total_points"))
 query("threshold_sweep", f"WITH {_T}, g AS (SELECT round(unnest(range(1, 50)) / 50.0, 2) AS threshold) SELECT symbol, threshold, count(*) FILTER (score >= threshold) AS kept, count(*) FILTER (score < threshold) AS dropped, round(100.0 * count(*) FILTER (score >= threshold) / count(*), 6) AS kept_pct, round(coalesce(sum(pnl) FILTER (score >= threshold), 0), 4) AS total_points, round(coalesce(100.0 * count(*) FILTER (score >= threshold AND pnl > 0) / nullif(count(*) FILTER (score >= threshold), 0), 0), 6) AS win_rate_pct FROM t CROSS JOIN g GROUP BY 1, 2")(lambda s, d: rounded(tradefilter.threshold_sweep(event_trades(s, d), hourly(s, d).select(*KEYS, "ts", "bar_seq"), KEYS).select("symbol", "threshold", "kept", "dropped", "kept_pct", F.round("total_points", 4).alias("total_points"), "win_rate_pct")))
 query("best_threshold", f"WITH {_T}, n AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n, row_number() OVER (PARTITION BY symbol ORDER BY entry_time, trade_id) - 1 AS i FROM t), te AS (SELECT * FROM n WHERE i >= CASE WHEN n < 10 THEN n // 2 ELSE least(greatest(CAST(round_even(n * 0.8, 0) AS BIGINT), CAST(floor(n * 0.6) AS BIGINT)), n - 5) END), g AS (SELECT round(unnest(range(4, 198)) / 200.0, 3) AS threshold), s AS (SELECT symbol, threshold, coalesce(sum(pnl) FILTER (score >= threshold), 0) AS p FROM te CROSS JOIN g GROUP BY 1, 2) SELECT symbol, first(threshold ORDER BY round(p, 6) DESC, threshold) AS threshold FROM s GROUP BY 1")(lambda s, d: tradefilter.best_threshold(tradefilter.with_split(event_trades(s, d), ["symbol"]), ["symbol"]))
@@ -253,6 +257,22 @@ def _catalog(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(x["name"], x["columns"], x["returns"], str(x["defaults"])) for x in indicators.catalog()], "name string, columns array<string>, returns string, defaults string")
 
 
+@query("catalog_instruments")
+def _instruments(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(k, v["name"], v["exchange"], v["asset_class"], float(v["tick_size"]), v["timeframes"]) for k, v in spec.INSTRUMENTS.items()], "symbol string, name string, exchange string, asset_class string, tick_size double, timeframes array<string>")
+
+
+query("timeframes", "SELECT s AS label, c AS tf FROM (VALUES (' 5 Min ', '5m'), ('60min', '1h'), ('1Hour', '1h'), ('4h', '4h'), ('odd', 'odd')) t(s, c)")(lambda s, d: s.createDataFrame([(" 5 Min ",), ("60min",), ("1Hour",), ("4h",), ("odd",)], "label string").withColumn("tf", B.timeframe_column(F.col("label"))))
+
+
+@query("feature_importances")
+def _importances(spark: SparkSession, d: str) -> DataFrame:
+    """What a small forest on the compact features finds in the next bar's direction."""
+    f = compact.compact_features(hourly(spark, d))
+    rows = f.withColumn("label", W.flag(F.lead("close").over(W.series()) > F.col("close")))
+    return features.category_importances(features.forest_importances(rows, ["rsi_14", "macd_hist", "atr_pct", "bb_pos", "volume_ratio_20", "ha_streak"], trees=5))
+
+
 @query("catalog_strategies")
 def _strategies(spark: SparkSession, d: str) -> DataFrame:
     rows = [s.describe() for s in strategies.REGISTRY.values()]
