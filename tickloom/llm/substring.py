@@ -282,7 +282,7 @@ def _emit(rows: Iterator[tuple[bytes, np.ndarray, np.ndarray | None]], known: np
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(route, sid, n, words), sorted by route -> route, sid, mask: bit i says that the segment's window i is repeated."""
+    """(route, sid, n, words), sorted by route and sid -> route, sid, mask: bit i says that the segment's window i is repeated."""
     held: list[tuple[int, int, int, np.ndarray]] = []
     total = 0
 
@@ -294,6 +294,9 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for route, sid, n, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and held[-1][0] == route and held[-1][1] == sid:  # as other tasks counted it
+                held[-1] = (route, sid, held[-1][2] + n, held[-1][3])
+                continue
             if total >= SHARD_WORDS and route != held[-1][0]:
                 yield run()
                 held, total = [], 0
@@ -349,9 +352,8 @@ def passages(docs: DataFrame, max_broadcast: int = MAX_BROADCAST, hot: int = HOT
 
             return run
 
-    distinct = source.mapInArrow(pieces(True), "route long, sid long, n long, words binary").groupBy("route", "sid").agg(F.sum("n").alias("n"), F.min("words").alias("words"))
-    # Exchanged by route alone: the sum above and the search below share it.
-    found = distinct.repartition("route").sortWithinPartitions("route").mapInArrow(_search, "route long, sid long, mask long")
+    counted = source.mapInArrow(pieces(True), "route long, sid long, n long, words binary")
+    found = counted.repartition("route").sortWithinPartitions("route", "sid").mapInArrow(_search, "route long, sid long, mask long")
     mine = source.mapInArrow(pieces(False), "k binary, route long, sid long, start int").distinct()
     return mine.join(found, ["route", "sid"]).groupBy("k").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
 
