@@ -223,7 +223,7 @@ _POS = f"{_D}, e AS (SELECT symbol, ts, bar_seq, close AS f, close AS s FROM d W
 _TR2 = "SELECT symbol, CASE was WHEN 1 THEN 'long' ELSE 'short' END AS side, was_entry AS entry_price, close AS exit_price, was * (close - was_entry) + 0.0 AS pnl, 'signal' AS exit_reason FROM z WHERE was <> 0 AND side = 0 UNION ALL SELECT symbol, CASE side WHEN 1 THEN 'long' ELSE 'short' END, entry, close, side * (close - entry) + 0.0, 'end_of_data' FROM z WHERE last AND side <> 0"
 query("backtest_cross_trades", with_bars(f"{_POS} SELECT symbol, side, round(entry_price, 6) AS entry_price, round(exit_price, 6) AS exit_price, round(pnl, 6) AS pnl, exit_reason FROM ({_TR2})", True))(lambda s, d: simulate.trades_of(simulate.simulate(strategies.get("ema_crossover").signals(hourly(s, d)))).select("symbol", "side", "entry_price", "exit_price", "pnl", "exit_reason"))
 query("backtest_cross_equity", with_bars(f"{_POS} SELECT symbol, bar_seq, round(100000 + cash + side * (close - entry), 2) AS equity FROM z", True))(lambda s, d: simulate.simulate(strategies.get("ema_crossover").signals(hourly(s, d))).select("symbol", "bar_seq", "equity"))
-query("backtest_cross_metrics", with_bars(f"{_POS}, q AS (SELECT symbol, bar_seq, round(100000 + cash + side * (close - entry), 2) AS eq FROM z), r AS (SELECT *, eq / lag(eq) OVER (PARTITION BY symbol ORDER BY bar_seq) - 1 AS r, eq / max(eq) OVER (PARTITION BY symbol ORDER BY bar_seq ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM q), t AS ({_TR2}), a AS (SELECT symbol, last(eq ORDER BY bar_seq) AS fin, min(dd) * 100 AS dd, coalesce(sqrt(252) * avg(r) / nullif(stddev_pop(r), 0), 0) AS sharpe, coalesce(sqrt(252) * avg(r) / nullif(stddev_pop(r) FILTER (r < 0), 0), 0) AS sortino FROM r GROUP BY 1), b AS (SELECT symbol, count(*) AS n, 100.0 * count(*) FILTER (pnl > 0) / count(*) AS wr, sum(pnl) AS pts FROM t GROUP BY 1) SELECT a.symbol, round(fin, 2) AS final_equity, round((fin / 100000 - 1) * 100, 5) AS total_return_pct, round(dd, 4) AS max_drawdown_pct, round(sharpe, 4) AS sharpe_ratio, round(sortino, 4) AS sortino_ratio, coalesce(n, 0) AS n_trades, round(coalesce(wr, 0), 4) AS win_rate_pct, round(coalesce(pts, 0), 4) AS total_points FROM a LEFT JOIN b USING (symbol)", True))(lambda s, d: metrics.backtest_metrics(simulate.simulate(strategies.get("ema_crossover").signals(hourly(s, d))), digits=8).select("symbol", "final_equity", F.round("total_return_pct", 5).alias("total_return_pct"), *[F.round(c, 4).alias(c) for c in ("max_drawdown_pct", "sharpe_ratio", "sortino_ratio")], "n_trades", *[F.round(c, 4).alias(c) for c in ("win_rate_pct", "total_points")]))
+query("backtest_cross_metrics", with_bars(f"{_POS}, q AS (SELECT symbol, bar_seq, round(100000 + cash + side * (close - entry), 2) AS eq FROM z), r AS (SELECT *, eq / lag(eq) OVER (PARTITION BY symbol ORDER BY bar_seq) - 1 AS r, eq / max(eq) OVER (PARTITION BY symbol ORDER BY bar_seq ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM q), t AS ({_TR2}), a AS (SELECT symbol, last(eq ORDER BY bar_seq) AS fin, min(dd) * 100 AS dd, coalesce(sqrt(252) * avg(r) / nullif(stddev_pop(r), 0), 0) AS sharpe, coalesce(sqrt(252) * avg(r) / nullif(stddev_pop(r) FILTER (r < 0), 0), 0) AS sortino FROM r GROUP BY 1), b AS (SELECT symbol, count(*) AS n, 100.0 * count(*) FILTER (pnl > 0) / count(*) AS wr, sum(pnl) AS pts FROM t GROUP BY 1) SELECT a.symbol, round(fin, 2) AS final_equity, round((fin / 100000 - 1) * 100, 5) AS total_return_pct, round(dd, 6) AS max_drawdown_pct, round(sharpe, 4) AS sharpe_ratio, round(sortino, 4) AS sortino_ratio, coalesce(n, 0) AS n_trades, round(coalesce(wr, 0), 4) AS win_rate_pct, round(coalesce(pts, 0), 4) AS total_points FROM a LEFT JOIN b USING (symbol)", True))(lambda s, d: metrics.backtest_metrics(simulate.simulate(strategies.get("ema_crossover").signals(hourly(s, d))), digits=8).select("symbol", "final_equity", F.round("total_return_pct", 5).alias("total_return_pct"), F.round("max_drawdown_pct", 6).alias("max_drawdown_pct"), *[F.round(c, 4).alias(c) for c in ("sharpe_ratio", "sortino_ratio")], "n_trades", *[F.round(c, 4).alias(c) for c in ("win_rate_pct", "total_points")]))
 _SUB = {"ema_fast": [5, 9], "ema_slow": [13, 21, 26]}
 query("backtest_trades")(lambda s, d: simulate.trades_of(simulate.simulate(strategies.get("ema_crossover").signals(hourly(s, d), {"use_sl_tp": True}))))
 query("backtest_equity")(lambda s, d: simulate.simulate(strategies.get("ema_crossover").signals(hourly(s, d))).drop("trades"))
