@@ -224,18 +224,30 @@ _TR2 = "SELECT symbol, CASE was WHEN 1 THEN 'long' ELSE 'short' END AS side, was
 query("backtest_cross_trades", with_bars(f"{_POS} SELECT symbol, side, round(entry_price, 6) AS entry_price, round(exit_price, 6) AS exit_price, round(pnl, 6) AS pnl, exit_reason FROM ({_TR2})", True))(lambda s, d: simulate.trades_of(simulate.simulate(strategies.get("ema_crossover").signals(hourly(s, d)))).select("symbol", "side", "entry_price", "exit_price", "pnl", "exit_reason"))
 query("backtest_cross_equity", with_bars(f"{_POS} SELECT symbol, bar_seq, round(100000 + cash + side * (close - entry), 2) AS equity FROM z", True))(lambda s, d: simulate.simulate(strategies.get("ema_crossover").signals(hourly(s, d))).select("symbol", "bar_seq", "equity"))
 query("backtest_cross_metrics", with_bars(f"{_POS}, q AS (SELECT symbol, bar_seq, round(100000 + cash + side * (close - entry), 2) AS eq FROM z), r AS (SELECT *, eq / lag(eq) OVER (PARTITION BY symbol ORDER BY bar_seq) - 1 AS r, eq / max(eq) OVER (PARTITION BY symbol ORDER BY bar_seq ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM q), t AS ({_TR2}), a AS (SELECT symbol, last(eq ORDER BY bar_seq) AS fin, min(dd) * 100 AS dd, coalesce(sqrt(252) * avg(r) / nullif(stddev_pop(r), 0), 0) AS sharpe, coalesce(sqrt(252) * avg(r) / nullif(stddev_pop(r) FILTER (r < 0), 0), 0) AS sortino FROM r GROUP BY 1), b AS (SELECT symbol, count(*) AS n, 100.0 * count(*) FILTER (pnl > 0) / count(*) AS wr, sum(pnl) AS pts FROM t GROUP BY 1) SELECT a.symbol, round(fin, 2) AS final_equity, round((fin / 100000 - 1) * 100, 5) AS total_return_pct, round(dd, 6) AS max_drawdown_pct, round(sharpe, 4) AS sharpe_ratio, round(sortino, 4) AS sortino_ratio, coalesce(n, 0) AS n_trades, round(coalesce(wr, 0), 4) AS win_rate_pct, round(coalesce(pts, 0), 4) AS total_points FROM a LEFT JOIN b USING (symbol)", True))(lambda s, d: metrics.backtest_metrics(simulate.simulate(strategies.get("ema_crossover").signals(hourly(s, d))), digits=8).select("symbol", "final_equity", F.round("total_return_pct", 5).alias("total_return_pct"), F.round("max_drawdown_pct", 6).alias("max_drawdown_pct"), *[F.round(c, 4).alias(c) for c in ("sharpe_ratio", "sortino_ratio")], "n_trades", *[F.round(c, 4).alias(c) for c in ("win_rate_pct", "total_points")]))
-_SUB = {"ema_fast": [5, 9], "ema_slow": [13, 21, 26]}
+_RANGES = strategies.get("ema_crossover").ranges
 query("backtest_trades")(lambda s, d: simulate.trades_of(simulate.simulate(strategies.get("ema_crossover").signals(hourly(s, d), {"use_sl_tp": True}))))
 query("backtest_equity")(lambda s, d: simulate.simulate(strategies.get("ema_crossover").signals(hourly(s, d))).drop("trades"))
 query("backtest_renko")(lambda s, d: metrics.backtest_metrics(spec.backtest(spec.Spec(chart={"type": "renko", "mode": "wicks", "brick_size": 20.0}), hourly(s, d))))
 query("backtest_sessions")(lambda s, d: insights.session_breakdown(simulate.trades_of(simulate.simulate(strategies.get("ema_crossover").signals(hourly(s, d)))), KEYS))
 query("rules_strategy")(lambda s, d: metrics.backtest_metrics(simulate.simulate(strategies.from_rules("rsi_and_trend", {"indicators": {"r": {"name": "rsi", "period": 14}, "m": {"name": "sma", "period": 50}}, "long": {"all": [{"left": "r", "op": "crosses_above", "right": 45}, {"left": "close", "op": ">", "right": "m"}]}, "leave_long": {"left": "r", "op": ">", "right": 60}, "warmup": 50}).signals(hourly(s, d)))))
-query("grid_search_topk")(lambda s, d: search.grid_search(hourly(s, d), search.param_sets(s, _SUB), top_k=3).select("symbol", "rank", "combo_id", "score", "n_trades", "total_points", F.to_json("params").alias("params")))
+query("grid_search_topk")(lambda s, d: search.grid_search(hourly(s, d), search.param_sets(s, _RANGES), top_k=3).select("symbol", "rank", "combo_id", "score", "n_trades", "total_points", F.to_json("params").alias("params")))
+
+
+def found(bars: DataFrame, name: str) -> DataFrame:
+    """All sets of a strategy's own ranges, ranked for each series (part ``ranked``), and the best one on runs of the
+    series in order (part ``walk_forward``, with its fold)."""
+    ranked, folds = search.finder(bars, name)
+    cols = ["score", "total_return_pct", "n_trades"]
+    a = ranked.select("symbol", F.lit("ranked").alias("part"), F.col("rank").cast("long").alias("rank"), F.lit(None).cast("long").alias("fold"), "combo_id", F.to_json("params").alias("params"), *cols)
+    return a.unionByName(folds.select("symbol", F.lit("walk_forward").alias("part"), "fold", *cols), allowMissingColumns=True)
+
+
 for _name in strategies.REGISTRY:
-    query(f"finder_{_name}")(lambda s, d, n=_name: search.combo_table(search.finder(hourly(s, d), n, {k: v[:2] for k, v in strategies.get(n).ranges.items()})[0], "total_return_pct").select("symbol", "rank", "combo_id", "score", "total_return_pct", "n_trades"))
+    query(f"finder_{_name}")(lambda s, d, n=_name: found(hourly(s, d), n))
+query("combo_table")(lambda s, d: search.combo_table(search.finder(hourly(s, d), "ema_crossover")[0], "total_return_pct").select("symbol", "rank", "combo_id", "score", "total_return_pct", "n_trades"))
 query("last_trades", with_bars(f"{_POS}, t AS (SELECT symbol, bar_seq, was_entry AS entry_price, close AS exit_price FROM z WHERE was <> 0 AND side = 0 UNION ALL SELECT symbol, bar_seq + 1, entry, close FROM z WHERE last AND side <> 0) SELECT symbol, round(entry_price, 6) AS entry_price, round(exit_price, 6) AS exit_price FROM t QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_seq DESC) <= 12", True))(lambda s, d: simulate.last_trades(simulate.trades_of(simulate.simulate(strategies.get("ema_crossover").signals(hourly(s, d))))).select("symbol", "entry_price", "exit_price"))
 query("features_merged")(lambda s, d: features.all_features(hourly(s, d), "1h"))
-query("walk_forward")(lambda s, d: search.walk_forward(hourly(s, d), search.grid_search(hourly(s, d), search.param_sets(s, _SUB), top_k=1)).select("symbol", "fold", "score", "n_trades", "total_points"))
+query("walk_forward")(lambda s, d: search.walk_forward(hourly(s, d), search.grid_search(hourly(s, d), search.param_sets(s, _RANGES), top_k=1)).select("symbol", "fold", "score", "n_trades", "total_points"))
 query("threshold_sweep", f"WITH {_T}, g AS (SELECT round(unnest(range(1, 50)) / 50.0, 2) AS threshold) SELECT symbol, threshold, count(*) FILTER (score >= threshold) AS kept, count(*) FILTER (score < threshold) AS dropped, round(100.0 * count(*) FILTER (score >= threshold) / count(*), 6) AS kept_pct, round(coalesce(sum(pnl) FILTER (score >= threshold), 0), 4) AS total_points, round(coalesce(100.0 * count(*) FILTER (score >= threshold AND pnl > 0) / nullif(count(*) FILTER (score >= threshold), 0), 0), 6) AS win_rate_pct FROM t CROSS JOIN g GROUP BY 1, 2")(lambda s, d: rounded(tradefilter.threshold_sweep(event_trades(s, d), hourly(s, d).select(*KEYS, "ts", "bar_seq"), KEYS).select("symbol", "threshold", "kept", "dropped", "kept_pct", F.round("total_points", 4).alias("total_points"), "win_rate_pct")))
 query("best_threshold", f"WITH {_T}, n AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n, row_number() OVER (PARTITION BY symbol ORDER BY entry_time, trade_id) - 1 AS i FROM t), te AS (SELECT * FROM n WHERE i >= CASE WHEN n < 10 THEN n // 2 ELSE least(greatest(CAST(round_even(n * 0.8, 0) AS BIGINT), CAST(floor(n * 0.6) AS BIGINT)), n - 5) END), g AS (SELECT round(unnest(range(4, 198)) / 200.0, 3) AS threshold), s AS (SELECT symbol, threshold, coalesce(sum(pnl) FILTER (score >= threshold), 0) AS p FROM te CROSS JOIN g GROUP BY 1, 2) SELECT symbol, first(threshold ORDER BY round(p, 6) DESC, threshold) AS threshold FROM s GROUP BY 1")(lambda s, d: tradefilter.best_threshold(tradefilter.with_split(event_trades(s, d), ["symbol"]), ["symbol"]))
 query("choose_threshold")(lambda s, d: tradefilter.choose_threshold(tradefilter.threshold_sweep(event_trades(s, d), hourly(s, d).select(*KEYS, "ts", "bar_seq"), KEYS), KEYS))
