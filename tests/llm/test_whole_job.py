@@ -1,0 +1,13 @@
+"""The training-data operators find all there is to find."""
+
+from tickloom.llm import toxicity
+
+
+def test_repeated_passages_are_all_found(spark):
+    model = toxicity.Model({"grumblex$": (9.0, 4.0), "snarlox$": (9.0, 4.0)})
+    model.k = 0.05
+    plain = " ".join(["word"] * 60)
+    texts = [" ".join([plain, "grumblex snarlox grumblex"] * 10), " ".join(["grumblex"] * 30)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", toxicity.detect("text", model).alias("x")).orderBy("i").collect()
+    assert [texts[0][p["start"] : p["end"]] for p in got[0]["x"]["passages"]] == ["grumblex snarlox grumblex"] * 10
+    assert [(p["start"], p["end"], p["score"]) for p in got[1]["x"]["passages"]] == [(0, len(texts[1]), 120.0)]

@@ -99,19 +99,10 @@ class Model:
         return s
 
     def places(self, text: str | None) -> tuple[list[tuple[int, float]], int]:
-        """Where a text's scoring words are, with their scores, and how many words it has. The scores tell what a word's
-        presence says, so each further one of the same word counts half of the one before."""
+        """Where a text's scoring words are, with their scores, and how many words it has."""
         word = self.word
         words = _WORD.findall((text or "").lower())
-        out, share = [], {}
-        for i, w in enumerate(words):
-            s = word(w)
-            if s > 0:
-                f = share.get(w, 1.0)
-                share[w] = f / 2
-                if f > 0.01:
-                    out.append((i, s * f))
-        return out, len(words)
+        return [(i, s) for i, w in enumerate(words) if (s := word(w)) > 0], len(words)
 
     def evidence(self, found: list[tuple[float, int, int]], n: int) -> float:
         """-log10 of the chance that clean words give such segments: the best r of them together, r chosen."""
