@@ -1,6 +1,10 @@
 """The training-data operators find all there is to find."""
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from tickloom.llm import toxicity
+from tickloom.llm.common import small_batches
 
 
 def test_repeated_passages_are_all_found(spark):
@@ -11,3 +15,20 @@ def test_repeated_passages_are_all_found(spark):
     got = spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", toxicity.detect("text", model).alias("x")).orderBy("i").collect()
     assert [texts[0][p["start"] : p["end"]] for p in got[0]["x"]["passages"]] == ["grumblex snarlox grumblex"] * 10
     assert [(p["start"], p["end"], p["score"]) for p in got[1]["x"]["passages"]] == [(0, len(texts[1]), 120.0)]
+
+
+def test_a_word_of_few_toxic_documents_is_learned(spark):
+    rng = np.random.default_rng(3)
+    docs, labels = [], []
+    for i in range(7600):
+        toxic = i < 1600
+        words = [f"word{k}" for k in rng.integers(0, 300, 12)]
+        if toxic:
+            words[3] = "zzrare" if i < 12 else "grumblex"  # 12 of 1600: under a hundredth
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    small_batches(spark)
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+    assert model.word("zzrare") > 0
+    assert model.word("grumblex") > 0
+    assert model.word("word7") == 0

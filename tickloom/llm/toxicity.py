@@ -3,7 +3,8 @@
 Fit. Labelled documents give, for each word and each word beginning of 3 to 7
 letters, the number of toxic and of clean documents that hold it. Its score is
 the log-odds ratio under an informative Dirichlet prior (the pooled counts),
-kept where the z-score is clear; a word's score is that of its clearest feature.
+kept where the z-score is clear and the odds are over a least value that
+cross-validation chooses; a word's score is that of its clearest feature.
 All other words score ``-DRIFT``.
 
 Search. Ruzzo and Tompa's linear scan finds every maximal scoring segment of a
@@ -43,10 +44,13 @@ PREFIXES = (3, 4, 5, 6, 7)
 #: The prior's weight, as a share of the labelled documents.
 PRIOR = 0.03
 MIN_Z = 5.0
-#: A feature is held by so many toxic documents at least, and by such a share of them.
+#: A feature is held by so many toxic documents at least.
 MIN_DOCS = 4
-MIN_SHARE = 0.01
-MIN_ODDS = 2.5
+#: The least odds of a feature: of these, cross-validation takes the one with the least log loss.
+MIN_ODDS = (1.0, 1.5, 2.0, 2.5)
+CV_SEGMENTS = 16
+#: The parts of the sample that teach; part 0 calibrates.
+FOLDS = (1, 2, 3)
 TOP_SCORE = 8.0
 DRIFT = 0.5
 P_MAX = 0.05
@@ -154,6 +158,95 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), max(float(w[1]), 1e-3)
 
 
+def _learn(by_part: DataFrame, parts: tuple[int, ...], min_odds: float) -> list[tuple[str, float, float]] | None:
+    """(feature, z, odds) that these parts teach, clearest first; None without documents of both classes."""
+    counts = by_part.select("feature", *[sum((F.col(f"{c}{p}") for p in parts), F.lit(0)).alias(c) for c in ("t", "c")])
+    total = counts.where(F.col("feature") == "").first()
+    if not total or not total["t"] or not total["c"]:
+        return None
+    nt, nc = float(total["t"]), float(total["c"])
+    # Log-odds with the pooled rate as the prior; z by the variance of the two counts.
+    rate = (F.col("t") + F.col("c")) / (nt + nc)
+    a_t, a_c = (F.col(k) + rate * PRIOR * m for k, m in (("t", nt), ("c", nc)))
+    odds = F.log(a_t / F.greatest(F.lit(nt * (1 + PRIOR)) - a_t, F.lit(0.5))) - F.log(a_c / F.greatest(F.lit(nc * (1 + PRIOR)) - a_c, F.lit(0.5)))
+    z = odds / F.sqrt(1 / a_t + 1 / a_c)
+    # Rare on both sides, the prior holds the odds near 0; add how far the counts are from the pooled rate.
+    far = (F.col("t") - nt * rate) / F.sqrt(nt * rate * (1 - F.least(rate, F.lit(0.999))) * nc / (nt + nc))
+    kept = counts.where((F.col("feature") != "") & (F.col("t") >= MIN_DOCS)).select("feature", F.least(odds, F.lit(TOP_SCORE)).alias("odds"), F.greatest(z, far).alias("z"))
+    kept = kept.where((F.col("odds") > min_odds) & (F.col("z") > MIN_Z)).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()
+    return [(r["feature"], r["z"], r["odds"]) for r in kept]
+
+
+def _law(model: Model, hist: dict[float, float], words: int, segs: list[tuple[int, float]]) -> None:
+    """Set lambda and K by clean documents: how often each score is among so many words, and for each document with a
+    segment its words and best score; the rest of ``segs`` are documents with score 0."""
+    pos = np.array([*hist, TOP_SCORE], float)
+    num = np.array([*hist.values(), 0.5], float)
+    rest = max(words - num.sum(), 1.0)
+    values, freq = np.append(pos, -DRIFT), np.append(num, rest)
+    freq = freq / freq.sum()
+    if float((values * freq).sum()) < 0:
+        model.lam = _karlin(values, freq)
+    # The mean of n exp(-lambda S) over their best segments is 1 / K where the law holds.
+    e = [n * math.exp(-model.lam * s) for n, s in segs if s]
+    n_clean = sum(n > 0 for n, _ in segs)
+    model.k = min(1.0, max(1e-4, (len(e) / max(n_clean, 1)) / (sum(e) / len(e)))) if e else 0.1
+
+
+def _choose(sample: DataFrame, by_part: DataFrame) -> float:
+    """The least odds by cross-validation: each fold is scored by what the others teach, calibrated on itself."""
+    models = {}
+    for p in FOLDS:
+        for f in _learn(by_part, tuple(q for q in FOLDS if q != p), MIN_ODDS[0]) or []:
+            for i, m in enumerate(MIN_ODDS):
+                if f[2] > m:
+                    models.setdefault((p, i), {})[f[0]] = f[1:]
+    held = {k: Model(w) for k, w in models.items()}
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text, toxic, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words = _WORD.findall((text or "").lower())
+                for i in range(len(MIN_ODDS)):
+                    model = held.get((int(part), i))
+                    if model is None:
+                        continue
+                    at = [(j, s) for j, w in enumerate(words) if (s := model.word(w)) > 0]
+                    bins = Counter(round(10 * s) for _, s in at) if not toxic else {}
+                    out.append((int(part), i, toxic, len(words), list(bins), list(bins.values()), sorted((s for s, _, _ in segments(at, DRIFT)), reverse=True)[:CV_SEGMENTS]))
+            cols = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["part", "odds", "toxic", "words", "bins", "ns", "segs"])
+
+    if not held:
+        return MIN_ODDS[0]
+    rows = sample.where(F.col("part") != 0).mapInArrow(look, "part int, odds int, toxic int, words long, bins array<int>, ns array<int>, segs array<double>").collect()  # at most about 2 * MAX_ROWS documents, once for each of MIN_ODDS
+    loss = dict.fromkeys(range(len(MIN_ODDS)), 0.0)
+    for p in FOLDS:
+        for i in loss:
+            got = [r for r in rows if r["part"] == p and r["odds"] == i]
+            y = np.array([float(r["toxic"]) for r in got])
+            model = held.get((p, i))
+            if not 0 < y.sum() < len(y):
+                # What knows nothing of a fold loses as much as the fold's share of toxic documents does.
+                fold = [float(r["toxic"]) for r in rows if r["part"] == p and r["odds"] == 0]
+                q = sum(fold) / max(len(fold), 1)
+                loss[i] -= sum(math.log(q if x else 1 - q) for x in fold) if 0 < q < 1 else 0.0
+                continue
+            clean = [r for r in got if not r["toxic"]]
+            hist = Counter()
+            for r in clean:
+                for b, n in zip(r["bins"], r["ns"], strict=True):
+                    hist[b / 10] += n
+            _law(model, hist, sum(r["words"] for r in clean), [(r["words"], r["segs"][0] if r["segs"] else 0.0) for r in clean])
+            ev = np.array([math.log1p(model.evidence([(s, 0, 0) for s in r["segs"]], r["words"])) for r in got])
+            a, b = _logistic(ev, y)
+            z = np.clip(a + b * ev, -40, 40)
+            loss[i] += float((np.logaddexp(0, z) - y * z).sum())
+    return MIN_ODDS[min(loss, key=lambda i: (loss[i], i))]
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model | None:
     """docs: doc_id, text; labels: doc_id, toxic; learn: which doc_ids may teach."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learn).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
@@ -172,26 +265,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model | None:
             got: dict[tuple[int, int], Counter] = {}
             for text, toxic, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = set(_WORD.findall((text or "").lower()))
-                got.setdefault((toxic, int(part == 0)), Counter()).update({f for w in words for f in features(w)} | {""})
-            for (toxic, kept), c in got.items():
-                if not kept:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c)), pa.array([toxic] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], ["feature", "toxic", "n"])
-
-    counts = sample.mapInArrow(count, "feature string, toxic int, n long").groupBy("feature").agg(*[F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0)).alias(c) for k, c in ((1, "t"), (0, "c"))])
-    total = counts.where(F.col("feature") == "").first()
-    if not total or not total["t"] or not total["c"]:
+                got.setdefault((toxic, int(part)), Counter()).update({f for w in words for f in features(w)} | {""})
+            for (toxic, part), c in got.items():
+                if part:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c)), pa.array([toxic] * len(c), pa.int32()), pa.array([part] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], ["feature", "toxic", "part", "n"])
+
+    by_part = cut(sample.mapInArrow(count, "feature string, toxic int, part int, n long").groupBy("feature").agg(*[F.sum(F.when((F.col("toxic") == k) & (F.col("part") == p), F.col("n")).otherwise(0)).alias(f"{c}{p}") for k, c in ((1, "t"), (0, "c")) for p in FOLDS]).where(" + ".join(f"t{p}" for p in FOLDS) + f" >= {MIN_DOCS}"))
+    min_odds = _choose(sample, by_part)
+    learned = _learn(by_part, FOLDS, min_odds)
+    if learned is None:
         return None
-    nt, nc = float(total["t"]), float(total["c"])
-    # Log-odds with the pooled rate as the prior; z by the variance of the two counts.
-    rate = (F.col("t") + F.col("c")) / (nt + nc)
-    a_t, a_c = (F.col(k) + rate * PRIOR * m for k, m in (("t", nt), ("c", nc)))
-    odds = F.log(a_t / F.greatest(F.lit(nt * (1 + PRIOR)) - a_t, F.lit(0.5))) - F.log(a_c / F.greatest(F.lit(nc * (1 + PRIOR)) - a_c, F.lit(0.5)))
-    z = odds / F.sqrt(1 / a_t + 1 / a_c)
-    # Rare on both sides, the prior holds the odds near 0; add how far the counts are from the pooled rate.
-    far = (F.col("t") - nt * rate) / F.sqrt(nt * rate * (1 - F.least(rate, F.lit(0.999))) * nc / (nt + nc))
-    kept = counts.where((F.col("feature") != "") & (F.col("t") >= max(MIN_DOCS, MIN_SHARE * nt))).select("feature", F.least(odds, F.lit(TOP_SCORE)).alias("odds"), F.greatest(z, far).alias("z"), z.alias("zz"))
-    kept = kept.where((F.col("odds") > MIN_ODDS) & (F.col("z") > MIN_Z)).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()
-    model = Model({r["feature"]: (r["z"], r["odds"]) for r in kept})
+    model = Model({f: (z, o) for f, z, o in learned})
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -208,18 +292,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model | None:
     bins = seen.where((F.col("toxic") == 0) & (F.col("kept") == 1))
     words = bins.agg(F.sum("words").alias("w")).first()["w"] or 0
     hist = {r["s"]: r["n"] for r in bins.select(F.explode("scores").alias("s")).groupBy(F.round("s", 1).alias("s")).agg(F.count("*").alias("n")).collect()}
-    pos = np.array([*hist, TOP_SCORE], float)
-    num = np.array([*hist.values(), 0.5], float)
-    rest = max(words - num.sum(), 1.0)
-    values, freq = np.append(pos, -DRIFT), np.append(num, rest)
-    freq = freq / freq.sum()
-    if float((values * freq).sum()) < 0:
-        model.lam = _karlin(values, freq)
     curve = seen.where(F.col("kept") == 1).select("toxic", "words", "segs").collect()  # at most about MAX_ROWS / 2 rows
-    # K from the clean documents: the mean of n exp(-lambda S) over their best segments is 1 / K where the law holds.
-    e = [r["words"] * math.exp(-model.lam * r["segs"][0]) for r in curve if r["toxic"] == 0 and r["segs"]]
-    n_clean = sum(r["toxic"] == 0 and r["words"] > 0 for r in curve)
-    model.k = min(1.0, max(1e-4, (len(e) / max(n_clean, 1)) / (sum(e) / len(e)))) if e else 0.1
+    _law(model, hist, words, [(r["words"], r["segs"][0] if r["segs"] else 0.0) for r in curve if r["toxic"] == 0])
     ev = np.array([math.log1p(model.evidence([(s, 0, 0) for s in r["segs"]], r["words"])) for r in curve])
     y = np.array([float(r["toxic"]) for r in curve])
     # The sample may hold the classes in other shares than the labels do.
