@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tickloom.llm import toxicity
+from tickloom.llm import language, toxicity
 from tickloom.llm.common import small_batches
 
 
@@ -32,3 +32,19 @@ def test_a_word_of_few_toxic_documents_is_learned(spark):
     assert model.word("zzrare") > 0
     assert model.word("grumblex") > 0
     assert model.word("word7") == 0
+
+
+def test_a_language_never_learned_is_rejected(spark):
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    word = lambda: "".join(rng.choice(letters, int(rng.integers(3, 10))))
+    books = {k: [word() for _ in range(150)] for k in ("aa", "bb", "cc")}
+    rows = [(i, " ".join(rng.choice(books[k], 60)), k) for i, k in enumerate(list(books) * 400)]
+    rows += [(i, " ".join(word() for _ in range(60)), None) for i in range(5000, 5050)]
+    small_batches(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["rejected"] for r in language.op4(docs).collect()}
+    assert all(got[i] for i in range(5000, 5050))
+    assert sum(got[i] for i in range(1200)) <= 24
+    kept = {r["doc_id"] for r in language.stage(spark, docs, "").collect()}
+    assert kept == {i for i, x in got.items() if not x}
