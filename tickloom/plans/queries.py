@@ -279,10 +279,10 @@ query("timeframes", "SELECT s AS label, c AS tf FROM (VALUES (' 5 Min ', '5m'),
 
 @query("feature_importances")
 def _importances(spark: SparkSession, d: str) -> DataFrame:
-    """What a small forest on the compact features finds in the next bar's direction."""
+    """What a forest on all numeric compact features finds in the next bar's direction."""
     f = compact.compact_features(hourly(spark, d))
     rows = f.withColumn("label", W.flag(F.lead("close").over(W.series()) > F.col("close")))
-    return features.category_importances(features.forest_importances(rows, ["rsi_14", "macd_hist", "atr_pct", "bb_pos", "volume_ratio_20", "ha_streak"], trees=5))
+    return features.category_importances(features.forest_importances(rows, B.numeric_features(f), trees=100))
 
 
 @query("catalog_strategies")
