@@ -1,9 +1,10 @@
 """The training-data operators find all there is to find."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import language, toxicity
+from tickloom.llm import language, mixing, toxicity
 from tickloom.llm.common import small_batches
 
 
@@ -48,3 +49,10 @@ def test_a_language_never_learned_is_rejected(spark):
     assert sum(got[i] for i in range(1200)) <= 24
     kept = {r["doc_id"] for r in language.stage(spark, docs, "").collect()}
     assert kept == {i for i, x in got.items() if not x}
+
+
+def test_the_bound_on_sources_is_a_parameter(spark):
+    docs = spark.createDataFrame([(i, "some words here", f"s{i}") for i in range(3)], "doc_id long, text string, source string")
+    assert mixing.mix_documents(docs, max_patterns=3).count() == 3
+    with pytest.raises(ValueError, match="over 2 sources"):
+        mixing.mix_documents(docs, max_patterns=2)

@@ -217,21 +217,22 @@ def apply_mix(keyed: DataFrame, plan: MixPlan) -> DataFrame:
     return out.withColumns({"copies": F.coalesce(copies, F.lit(0).cast("long"))}).withColumn("taken", F.col("copies") * F.col(S)).drop("__mix_base", "__mix_cut", "__mix_tops")
 
 
-def mix_documents(docs: DataFrame, seed: int = 17, repeats: int = 3) -> DataFrame:
+def mix_documents(docs: DataFrame, seed: int = 17, repeats: int = 3, max_patterns: int = 20_000) -> DataFrame:
     """Mix a documents table by single sources, weighing 5, 2, 1 in order, to as many words as there are.
 
-    Adds size, source_size, target, copies and taken to the table's columns.
+    Adds size, source_size, target, copies and taken to the table's columns. More
+    than ``max_patterns`` sources raise an error (see plan_mix).
     """
     keyed = with_keys(docs, word_count(F.col("text")), F.array("source"), [F.col("doc_id"), F.col("text")], seed)
     light = cut(keyed.select(P, S, H))
-    sums = light.groupBy(P).agg(F.sum(S).alias("n")).limit(20_001).collect()
-    if len(sums) > 20_000:
-        raise ValueError("over 20000 sources")
+    sums = light.groupBy(P).agg(F.sum(S).alias("n")).limit(max_patterns + 1).collect()
+    if len(sums) > max_patterns:
+        raise ValueError(f"over {max_patterns} sources; raise max_patterns if the driver can hold them")
     sizes = {json.loads(r[P])[0]: int(r["n"]) for r in sums}
     order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
     targets = capped_shares(sizes, weights, sum(sizes.values()), repeats)
-    plan = plan_mix(light, {s: int(round(t)) for s, t in targets.items()}, repeats)
+    plan = plan_mix(light, {s: int(round(t)) for s, t in targets.items()}, repeats, max_patterns)
     names = {r[P]: json.loads(r[P])[0] for r in sums}
     info = docs.sparkSession.createDataFrame([(p, sizes[s], targets[s]) for p, s in names.items()], f"{P} string, source_size long, target double")
     return apply_mix(keyed, plan).join(F.broadcast(info), P, "left").withColumnRenamed(S, "size").drop(P, H)
