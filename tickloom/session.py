@@ -1,5 +1,7 @@
 """Session settings that the library relies on."""
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -12,3 +14,15 @@ def session(app: str = "tickloom", master: str | None = None, **conf) -> SparkSe
     for k, v in settings.items():
         b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and tables between jobs, as spark.checkpoint.dir names it. A temporary one stands in only
+    where driver and executors are one process; on a cluster it would be the driver's own, so there it is an error."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    if base:
+        return base.rstrip("/")
+    if sc.master == "local" or sc.master.startswith("local["):
+        return tempfile.mkdtemp(prefix="tickloom-")
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
