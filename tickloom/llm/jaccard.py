@@ -7,14 +7,17 @@ one node; at a node each token is chosen with probability 1 / (likeness *
 COORDS), the same choice for all sets there, and a set goes on to the children
 of the chosen tokens it has. So near sets stay together in about one child a
 level while others part. Nodes of at most LIMIT sets are leaves; leaves (and what
-is left at DEPTH) are compared by brute force on the tokens' low bytes.
-``runs_for`` says how many runs reach the target recall.
+is left at the last level, ``depth_for`` the largest node) are compared by brute
+force on the tokens' low bytes. ``runs_for`` says how many runs reach the target
+recall.
 
 Leaves yield candidate groups (connected by tokens shared), linear in their rows.
 Then each group's sets are compared exactly, once: every link of likeness 0.8 or
 more counts, and links make the classes. Groups and leaves over BLOCK sets are
 dealt as pairs of blocks, so a task holds two blocks at most and nothing is
-capped; no pairs are written out.
+capped; no pairs are written out. A group's blocks are cut by set size first, and
+only blocks of sizes that can be near meet. What is left of the quadratic cost is
+that of n different sets of about one size in one group.
 
 Defined results: null texts and texts without words have no shingles, no links,
 and stay single; texts of one to four words have one shingle. Repeated rows are
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import components, cut, mix64, run_hashes, text_key, word_hashes
@@ -37,9 +40,11 @@ from tickloom.llm.common import components, cut, mix64, run_hashes, text_key, wo
 SHINGLE = 5
 LIKE = 0.8
 COORDS = 64
+#: Levels of the recursion while no node has over DEEPER * LIMIT sets; each tenfold more asks for another.
 DEPTH = 4
+DEEPER = 1_000
 LIMIT = 1500
-BLOCK = 500
+BLOCK = 1000
 RECALL = 0.999
 #: Sets with candidates whose keys may be broadcast, at about 80 bytes each; more are joined by shuffle.
 MAX_BROADCAST = 500_000
@@ -58,6 +63,10 @@ def runs_for(recall: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - q))
 
 
+def depth_for(largest: int) -> int:
+    return DEPTH + max(0, math.ceil(math.log10(max(largest, 1) / (DEEPER * LIMIT))))
+
+
 def shingle_set(hashes: np.ndarray) -> np.ndarray:
     """The distinct shingles of a text's words, sorted."""
     return np.unique(run_hashes(hashes, min(SHINGLE, len(hashes)))) if len(hashes) else np.zeros(0, np.uint64)
@@ -121,6 +130,28 @@ def _dealt(rows: DataFrame, key: str, size: str, rid: str, block: int) -> DataFr
     return rows.withColumn("__own", own).withColumn("__p", F.explode(F.when(blocks <= 1, one).otherwise(many))).withColumns({"part": F.col("__p.part"), "side": F.col("__p.side")}).drop("__p", "__own")
 
 
+def _block(band: Column, i: Column) -> Column:
+    return F.shiftleft(band.cast("long"), 32) + i
+
+
+def _banded(sets: DataFrame, block: int) -> DataFrame:
+    """(g, rid, n, ...): adds size (of the group), mine (the set's block) and blocks (how many each band has). Two sets of
+    likeness LIKE differ in size by a factor of 1 / LIKE at most, so they are in one band or in neighbouring ones."""
+    rows = sets.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(1 / LIKE + 1e-9)).cast("int"))
+    counts = rows.groupBy("g", "band").agg(F.count("*").alias("c")).groupBy("g").agg(F.sum("c").alias("size"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("c") / F.lit(block)).cast("int")))).alias("blocks"))
+    return rows.join(counts, "g").withColumn("mine", _block(F.col("band"), F.pmod(F.xxhash64("rid"), F.element_at("blocks", F.col("band")).cast("long"))))
+
+
+def _paired(rows: DataFrame, block: int) -> DataFrame:
+    """Rows that _banded gave -> one for each pair of blocks that can have links: adds lo, hi (the pair) and side (1: of hi)."""
+    near = F.filter(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1), lambda b: F.map_contains_key("blocks", b))
+    others = F.flatten(F.transform(near, lambda b: F.transform(F.sequence(F.lit(0), F.element_at("blocks", b) - 1), lambda i: _block(b, i))))
+    pairs = F.transform(others, lambda o: F.struct(F.least(o, F.col("mine")).alias("lo"), F.greatest(o, F.col("mine")).alias("hi"), (o < F.col("mine")).cast("int").alias("side")))
+    zero = F.lit(0).cast("long")
+    one = F.array(F.struct(zero.alias("lo"), zero.alias("hi"), F.lit(0).alias("side")))
+    return rows.withColumn("p", F.explode(F.when(F.col("size") <= block, one).otherwise(pairs))).select("*", "p.lo", "p.hi", "p.side")
+
+
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
     """Rows sorted by their first n_keys columns -> the groups' tables, each whole."""
     held: list[pa.RecordBatch] = []
@@ -218,12 +249,12 @@ def shared(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(group, part, side, rid, text), sorted -> rid, root (least rid linked here), n_links (each pair once over all parts)."""
+    """(group, lo, hi, side, rid, text), sorted -> rid, root (least rid linked here), n_links (each pair once over all parts)."""
     got: list[tuple[int, int, int]] = []
-    for t in _groups(batches, 2):
-        rid, first = np.unique(t.column(3).to_numpy(), return_index=True)
-        side = t.column(2).to_numpy()[first]
-        texts = t.column(4).take(pa.array(first)).to_pylist()
+    for t in _groups(batches, 3):
+        rid, first = np.unique(t.column(4).to_numpy(), return_index=True)
+        side = t.column(3).to_numpy()[first]
+        texts = t.column(5).take(pa.array(first)).to_pylist()
         sets = [shingle_set(word_hashes(x)) for x in texts]
         if len(rid) < 2:
             got += [(int(r), int(r), 0) for r in rid]
@@ -250,7 +281,7 @@ def _candidates(sets: DataFrame, recall: float) -> DataFrame:
     """(rid, tokens, low) -> edges between sets that share a leaf and enough tokens.
 
     Pairs that a leaf of the first level can show need few runs. Only sets that come to a larger node there go on, with
-    all runs that DEPTH levels ask for: a pair whose common nodes are all large has both of its sets among them. What is
+    all runs that its levels ask for: a pair whose common nodes are all large has both of its sets among them. What is
     shuffled by node is the node and the set's number.
     """
     nodes = "rid long, path long, parent long, depth int"
@@ -260,15 +291,16 @@ def _candidates(sets: DataFrame, recall: float) -> DataFrame:
     level = cut(level.join(counts, "path"))
     leaves = level.where(F.col("n") <= LIMIT)
     large = level.where(F.col("n") > LIMIT).select("rid").distinct()
-    if not large.isEmpty():
-        some = sets.join(large, "rid").select("rid", "tokens")
-        tree = cut(some.mapInArrow(lambda b: _descend(b, 0, runs_for(recall, DEPTH), DEPTH), nodes))
-        for depth in range(1, DEPTH + 1):
+    largest = counts.agg(F.max("n")).first()[0] or 0
+    if largest > LIMIT:
+        some, levels = sets.join(large, "rid").select("rid", "tokens"), depth_for(largest)
+        tree = cut(some.mapInArrow(lambda b: _descend(b, 0, runs_for(recall, levels), levels), nodes))
+        for depth in range(1, levels + 1):
             level = tree.where(F.col("depth") == depth)
             if depth > 1:
                 level = cut(level.join(counts.where(F.col("n") > LIMIT).select(F.col("path").alias("parent")), "parent").select("rid", "path"))
             counts = cut(level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
-            wanted = counts if depth == DEPTH else counts.where(F.col("n") <= LIMIT)
+            wanted = counts if depth == levels else counts.where(F.col("n") <= LIMIT)
             leaves = leaves.unionByName(level.join(wanted, "path").select("rid", "path", "n"))
     rows = leaves.select("path", "rid", "n").join(sets.select("rid", "low"), "rid")
     rows = _dealt(rows, "path", "n", "rid", BLOCK).select("path", "part", "side", "rid", "low")
@@ -281,18 +313,17 @@ def joined(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("k"), "text")
     feats = cut(rows.mapInArrow(_features, "doc_id long, k binary, set_key binary, tokens binary, low binary, n int"))
     full = feats.where(F.col("n") > 0)
-    sets = full.groupBy("set_key").agg(F.min(F.struct("doc_id", "k")).alias("r"), F.min("tokens").alias("tokens"), F.min("low").alias("low"), F.count("*").alias("n_copies"))
-    sets = cut(sets.select(F.monotonically_increasing_id().alias("rid"), "set_key", F.col("r.doc_id").alias("set_id"), F.col("r.k").alias("rk"), "tokens", "low", "n_copies"))
+    sets = full.groupBy("set_key").agg(F.min(F.struct("doc_id", "k")).alias("r"), F.min("tokens").alias("tokens"), F.min("low").alias("low"), F.min("n").alias("n"), F.count("*").alias("n_copies"))
+    sets = cut(sets.select(F.monotonically_increasing_id().alias("rid"), "set_key", F.col("r.doc_id").alias("set_id"), F.col("r.k").alias("rk"), "tokens", "low", "n", "n_copies"))
     groups = components(_candidates(sets, recall))
     groups = cut(groups.select(F.col("node").alias("rid"), F.col("root").alias("g")))
-    sizes = groups.groupBy("g").agg(F.count("*").alias("size"))
-    wanted = cut(groups.join(sizes, "g").join(sets.select("rid", "set_id", "rk"), "rid"))
-    # Only the texts that stand for a set with candidates move (hot groups: once for each pair of blocks).
+    wanted = cut(_banded(groups.join(sets.select("rid", "set_id", "rk", "n"), "rid"), BLOCK))
+    # Only the texts that stand for a set with candidates move (of fully repeated rows one; hot groups once for each pair of blocks).
     if wanted.count() <= MAX_BROADCAST:
         wanted = F.broadcast(wanted)
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["set_id"]) & (rows["k"] == wanted["rk"])).select("g", "size", "rid", "text")
-    parts = _dealt(texts, "g", "size", "rid", BLOCK).select("g", "part", "side", "rid", "text")
-    links = cut(parts.repartition("g", "part").sortWithinPartitions("g", "part").mapInArrow(_exact_links, "rid long, root long, n_links long"))
+    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["set_id"]) & (rows["k"] == wanted["rk"])).select("g", "rid", "band", "mine", "blocks", "size", "text")
+    parts = _paired(texts.dropDuplicates(["rid"]), BLOCK).select("g", "lo", "hi", "side", "rid", "text")
+    links = cut(parts.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi").mapInArrow(_exact_links, "rid long, root long, n_links long"))
     counted = links.groupBy("rid").agg(F.sum("n_links").alias("n_links"))
     classes = components(links.where("rid <> root").select(F.col("rid").alias("a"), F.col("root").alias("b")))
     member = sets.join(classes.withColumnRenamed("node", "rid"), "rid", "left").join(counted, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
