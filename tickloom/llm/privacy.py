@@ -1,28 +1,38 @@
 """Personal data replaced by keyed, type-consistent surrogates.
 
-Each entity found is reduced to a normal form (a phone's digits, an address in
-lower case, a name's words), so that all its mentions share one surrogate. The
+Each entity found is reduced to a normal form (a phone's national number, an
+address in lower case), so that all its mentions share one surrogate. The
 surrogate comes from an HMAC of type and normal form under a secret key and
-keeps what the type has: lengths and letter classes, a card's first digit and
-Luhn state, an IBAN's country and checksum, a name's gender and script. It is
-written in the mention's own format: separators, brackets, case.
+keeps what the type has: lengths and letter classes, a card's network and check
+digit, an IBAN's country and checksum, a name's gender and script. It is written
+in the mention's own format: separators, brackets, country code, case.
+
+Each word of a person's name is an entity of its own, so "Mr John Smith", "Mrs
+Smith" and "Dr Smith" share their surname's surrogate. Names are found after
+titles and phrases of introduction; what a text names so is then found in all of
+it, alone too. A first name's gender is the one that most of its mentions in the
+corpus have.
 
 Surrogates are checked over the whole corpus: one that two entities would share,
 or that is itself an entity of the corpus, is drawn anew for all but the first
-(in order of the normal form), until none is left. So distinct entities stay
-distinct, and no surrogate is someone else's data.
+(in order of the normal form), until none is left; where a type's room runs out
+they get longer. So distinct entities stay distinct, and no surrogate is someone
+else's data.
 
-Only texts with entities are shuffled, once; only distinct entities are checked.
+Each text is searched once. Only texts with entities (and the few that a filter
+of keys lets through) are shuffled, once; only distinct entities are checked.
 
 Defined results: null texts stay null, empty texts empty, texts without entities
 unchanged. Repeated rows and other columns stay. Of overlapping mentions the
-earliest counts, of those that begin together the first kind in KINDS.
+earliest counts, of those that begin together the first kind in KINDS. Names
+that nothing introduces, and common words, are not told from other words.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -32,12 +42,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import cut, text_key
+from tickloom.llm.common import cut, key_filter, passes, salted_join, text_key
 
 #: For the query only; a caller passes a secret of its own.
 DEMO_KEY = b"not a secret: pass your own"
 SALTS = 16
-MAX_ROUNDS = 40
+#: Attempts after which surrogates of a type with little room get longer.
+WIDEN = 24
 
 #: Titles that come before a name, by the gender they tell.
 TITLES = {"m": ["Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "M", "Señor", "Sr", "Don", "господин", "г-н"], "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Srta", "Doña", "госпожа", "г-жа"], "n": ["Dr", "Prof", "Professor", "Doktor", "Docteur", "Doctor", "доктор"]}
@@ -45,27 +56,47 @@ TITLES = {"m": ["Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "M", "Señor
 SYLLABLES = {"latin": ["ba", "be", "da", "el", "fi", "ga", "jo", "ka", "le", "li", "ma", "mi", "na", "no", "pe", "ra", "ri", "sa", "so", "ta", "ti", "va", "vi", "za"], "cyrillic": ["ба", "ве", "га", "да", "жа", "ка", "ле", "ли", "ма", "ми", "на", "но", "пе", "ра", "ри", "са", "со", "та", "ти", "фе"]}
 ENDINGS = {"latin": {"m": ["n", "r", "s", "k", "d"], "f": ["na", "la", "ra", "sa", "ta"], "n": ["", "n", "l"]}, "cyrillic": {"m": ["н", "р", "с", "к", "й"], "f": ["на", "ла", "ра", "са", "я"], "n": ["", "н", "л"]}}
 
+#: Phrases that a name follows, in lower case.
+CUES = ["my name is", "signed by", "mein name ist", "ich heiße", "je m'appelle", "mon nom est", "me llamo", "mi nombre es", "меня зовут"]
+#: What a date of birth follows, in lower case.
+BIRTH = ["born on", "date of birth", "dob", "geboren am", "geburtsdatum", "né le", "née le", "date de naissance", "nacido el", "nacida el", "fecha de nacimiento"]
+#: Words of streets, after or before their names, and what German street names end with.
+STREETS = ["Street", "Road", "Avenue", "Lane", "Drive", "Boulevard", "Court", "Square"]
+RUES = ["rue", "avenue", "boulevard", "place", "chemin", "Calle", "Avenida", "Plaza", "Paseo"]
+STRASSEN = ["straße", "strasse", "weg", "platz", "allee", "gasse"]
+#: Country calling codes of two digits; 1 and 7 have one, all others three.
+CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
 _GENDER = {t.lower(): g for g, ts in TITLES.items() for t in ts}
 _CAP = r"[^\W\d_a-zà-ÿа-я][\w'’-]*"
+_NAME = r"(?P<x>" + _CAP + r"(?: " + _CAP + r"){0,2})"
 # A class first lets the search skip to the letters that titles begin with; the look behind then asks for a word's begin.
 _FIRST = "".join(sorted({t[0] for ts in TITLES.values() for t in ts}))
 _TITLED = rf"(?P<t>[{_FIRST}](?<!\w.)(?:" + "|".join(sorted({re.escape(t[1:]) for ts in TITLES.values() for t in ts}, key=len, reverse=True)) + r"))\.?[ \u00a0]"
+_PLACE = r"(?:(?:de la|de|des|du|del) |d')?" + _CAP
 _RULES = [
     ("email", re.compile(r"[\w.%+-]*[\w%+]@[\w-]+(?:\.[\w-]+)+")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("secret", re.compile(r"(?i)(?<![a-z])(?:token|password|passwort|passwd|pwd|secret|api[ _-]?key)[\"']?\s*[=:]\s*[\"']?(?P<x>[A-Za-z0-9_+/-]{6,}=*)")),
     ("secret", re.compile(r"(?<![A-Za-z0-9])(?P<x>(?:AKIA|ASIA)[A-Z0-9]{12,}|(?:ghp_|gho_|sk-|xox[abp]-)[A-Za-z0-9_-]{10,}|(?=[A-Fa-f]*\d)[0-9A-Fa-f]{32,})(?![A-Za-z0-9])")),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")),
+    ("ip", re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])")),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("card", re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?P<s>[ -])\d{4}(?P=s)\d{4}(?P=s)\d{1,7}|\d{4}(?P<u>[ -])\d{6}(?P=u)\d{5})(?![\w-]|\.\d)")),
-    ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-]|\.\d)|(?<![\w.])\+\d{8,15}(?!\w)")),
-    ("name", re.compile(_TITLED + r"(?P<x>" + _CAP + r"(?: " + _CAP + r"){0,2})")),
+    ("phone", re.compile(r"(?<![\w.])(?:(?:\+|00)\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,8}(?:[ .-]\d{2,8}){1,4}(?![\w-]|\.\d)|(?<![\w.])\+\d{8,15}(?!\w)")),
+    ("birth", re.compile(r"(?i:\b(?:" + "|".join(BIRTH) + r"))(?:[: ]| is ){1,2}(?P<x>\d{4}-\d{1,2}-\d{1,2}|\d{1,2}(?P<d>[./-])\d{1,2}(?P=d)\d{4})(?!\w)")),
+    ("address", re.compile(r"(?<!\w)(?:\d{1,5} (?:" + _CAP + r" ){1,3}(?:" + "|".join(STREETS) + r")|" + _CAP + r"(?:" + "|".join(STRASSEN) + r") \d{1,4}[a-z]?|\d{1,4},? (?:" + "|".join(RUES[:5]) + r") " + _PLACE + r"|(?:" + "|".join(RUES[5:]) + r") " + _PLACE + r",? \d{1,4})(?!\w)")),
+    ("name", re.compile(_TITLED + _NAME)),
+    ("name", re.compile(r"(?i:\b(?:" + "|".join(CUES) + r"))[: ] ?" + _NAME)),
 ]
 KINDS = list(dict.fromkeys(k for k, _ in _RULES))
-_SOME = re.compile(r"[0-9@]")
+_SOME = re.compile(r"[0-9@]|::")
 _SECRET = ("token", "passw", "pwd", "secret", "api", "akia", "asia", "ghp_", "gho_", "sk-", "xox")
+_STREET = tuple(w.lower() for w in (*STREETS, *RUES, *STRASSEN))
+_US = re.compile(r"\d{3}([ .-])\d{3}\1\d{4}")
+_DATE = re.compile(r"\d{1,2}([.-])\d{1,2}\1\d{4}|\d{4}([.-])\d{1,2}\2\d{1,2}")
 _TITLE = re.compile(_TITLED)
-FOUND = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("norm", T.StringType())]))
+_POSSESSIVE = re.compile(r"['’]s?$")
 
 
 def luhn(digits: str) -> int:
@@ -77,52 +108,108 @@ def _iban_ok(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
-def normal(kind: str, text: str, title: str = "") -> str | None:
+def network(digits: str) -> int:
+    """How many of a card number's first digits tell its network; 0 where no network has such numbers."""
+    n, two, four = len(digits), int(digits[:2]), int(digits[:4])
+    if digits[0] == "4" and n in (13, 16, 19):
+        return 1
+    known = n == 16 and (51 <= two <= 55 or 2221 <= four <= 2720 or 3528 <= four <= 3589)
+    known |= n == 15 and two in (34, 37) or n == 14 and (two in (36, 38, 39) or 3000 <= four <= 3059)
+    known |= n in (16, 19) and (four == 6011 or two == 65 or 6440 <= four <= 6499) or 16 <= n <= 19 and two in (50, 56, 57, 58, 62, 63, 67, 68)
+    return 4 if known else 0
+
+
+def national(text: str, digits: str) -> str:
+    """A phone number without country code and trunk zeros, so that its national and international forms are one."""
+    if text.startswith("00"):
+        digits = digits[2:]
+    if text[0] == "+" or text.startswith("00"):
+        digits = digits[1 if digits[0] in "17" else 2 if digits[:2] in CODES else 3 :]
+    elif len(digits) == 11 and digits[0] == "1":
+        digits = digits[1:]
+    return digits.lstrip("0")
+
+
+def normal(kind: str, text: str) -> str | None:
     """The normal form of a mention; None if it isn't one after all."""
-    if kind in ("card", "phone", "ssn"):
+    if kind == "ssn":
+        return re.sub(r"\D", "", text)
+    if kind == "card":
+        digits = re.sub(r"\D", "", text)
+        return digits if luhn(digits) == 0 and network(digits) else None
+    if kind == "phone":
         digits = re.sub(r"\D", "", text)
-        if kind == "phone" and not (8 <= len(digits) <= 15 and (text[0] in "+(" or len(digits) >= 9)):
+        plain = digits[0] == "0" and len(digits) >= 9 and not _DATE.match(text) or _US.fullmatch(text)
+        if not 8 <= len(digits) <= 15 or not (text[0] in "+(" or plain):
+            return None
+        return national(text, digits) or None
+    if kind == "birth":
+        a, b, c = re.split(r"[./-]", text)
+        y, m, d = (a, b, c) if len(a) == 4 else (c, b, a)
+        return f"{y}-{int(m):02d}-{int(d):02d}" if 1 <= int(m) <= 31 and 1 <= int(d) <= 31 else None
+    if kind == "ip" and ":" in text:
+        try:
+            return str(ipaddress.IPv6Address(text)) if sum(map(bool, text.split(":"))) > 1 else None
+        except ValueError:
             return None
-        return digits
-    if kind == "email":
-        return text.lower()
     if kind == "iban":
         flat = text.replace(" ", "")
         return flat if _iban_ok(flat) else None
-    if kind == "name":
-        if any(not w[0].isupper() for w in text.split()):
-            return None
-        if title.lower() not in _GENDER:
-            return None
-        return _GENDER[title.lower()] + ":" + unicodedata.normalize("NFC", text).lower()
-    return text.lower() if kind == "secret" else text
+    if kind == "address":
+        return " ".join(text.replace(",", " ").lower().split())
+    return text.lower() if kind in ("email", "secret") else text
+
+
+def _name_words(m: re.Match, titled: bool) -> list[tuple[int, int, str, str]]:
+    """The words of a name found: start, end, normal form, gender (of first names)."""
+    if titled and m["t"].lower() not in _GENDER or any(not w[0].isupper() for w in m["x"].split()):
+        return []
+    gender = _GENDER[m["t"].lower()] if titled else "n"
+    out, at = [], m.start("x")
+    words = m["x"].split(" ")
+    for i, w in enumerate(words):
+        bare = _POSSESSIVE.sub("", w)
+        out.append((at, at + len(bare), unicodedata.normalize("NFC", bare).lower(), gender if i + 1 < len(words) else "n"))
+        at += len(w) + 1
+    return out
 
 
-def find(text: str | None) -> list[tuple[int, int, str, str]]:
-    """Mentions in order, without overlaps: start, end, kind, normal form."""
+def find(text: str | None) -> list[tuple[int, int, str, str, str]]:
+    """Mentions in order, without overlaps: start, end, kind, normal form, gender ("n" where there is none)."""
     if not text:
         return []
     some = _SOME.search(text)
     low = text.lower()
     secret = any(w in low for w in _SECRET)
     title = _TITLE.search(text)
-    if not (some or secret or title):
+    cue = any(w in low for w in CUES)
+    if not (some or secret or title or cue):
         return []
-    got = []
+    wanted = {"email": "@" in text, "birth": some and any(w in low for w in BIRTH), "address": some and any(w in low for w in _STREET)}
+    got, named = [], set()
     for order, (kind, rule) in enumerate(_RULES):
-        if not (title if kind == "name" else secret if kind == "secret" and order == 2 else some or secret):
+        if kind == "name":
+            titled = "t" in rule.groupindex
+            for m in rule.finditer(text) if (title if titled else cue) else ():
+                for start, end, n, gender in _name_words(m, titled):
+                    got.append((start, order, end, kind, n, gender))
+                    if len(n) > 2:
+                        named.add(text[start:end])
             continue
-        if kind == "email" and "@" not in text:
+        if not (secret if kind == "secret" and order == 2 else wanted.get(kind, some or secret)):
             continue
         for m in rule.finditer(text):
             g = "x" if "x" in rule.groupindex else 0
-            n = normal(kind, m[g], m["t"] if kind == "name" else "")
+            n = normal(kind, m[g])
             if n is not None:
-                got.append((m.start(g), order, m.end(g), kind, n))
+                got.append((m.start(g), order, m.end(g), kind, n, "n"))
+    if named:
+        alone = re.compile(r"(?<!\w)(?:" + "|".join(sorted((re.escape(f) for w in named for f in {w, w.upper()}), key=len, reverse=True)) + r")(?!\w)")
+        got += [(m.start(), len(_RULES), m.end(), "name", unicodedata.normalize("NFC", m[0]).lower(), "n") for m in alone.finditer(text)]
     out, end = [], 0
-    for start, _, stop, kind, n in sorted(got):
+    for start, _, stop, kind, n, gender in sorted(got):
         if start >= end:
-            out.append((start, stop, kind, n))
+            out.append((start, stop, kind, n, gender))
             end = stop
     return out
 
@@ -148,9 +235,15 @@ class Stream:
         return "".join(str(self.below(10)) if c.isdigit() else letters[self.below(len(letters))].upper() if c.isupper() else letters[self.below(len(letters))] if c.isalpha() else c for c in text)
 
 
-def surrogate(key: bytes, kind: str, norm: str, attempt: int) -> str:
+def _made_word(s: Stream, script: str, gender: str, attempt: int) -> str:
+    n = 2 + s.below(2) + attempt // 4
+    return "".join(SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(n)) + ENDINGS[script][gender][s.below(len(ENDINGS[script][gender]))]
+
+
+def surrogate(key: bytes, kind: str, norm: str, gender: str, attempt: int) -> str:
     """The attempt's surrogate, as a normal form."""
     s = Stream(key, kind, norm, str(attempt))
+    room = "0" * max(0, (attempt - WIDEN) // 8 + 1) if attempt >= WIDEN else ""
     if kind == "email":
         local, _, domain = norm.partition("@")
         host, _, tld = domain.rpartition(".")
@@ -158,45 +251,63 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int) -> str:
         # From the tenth attempt on a longer name makes room.
         return s.like(local) + s.like("a" * max(0, attempt - 9)) + "@" + d.like(host) + "." + tld
     if kind == "ip":
+        if ":" in norm:
+            return str(ipaddress.IPv6Address((0x2000 + s.below(0x2000)) << 112 | s.below(1 << 112)))
         return ".".join(str(1 + s.below(254)) for _ in range(4))
     if kind == "card":
-        body = norm[0] + s.like(norm[1:-1])
-        want = luhn(norm) == 0
-        ends = [d for d in "0123456789" if (luhn(body + d) == 0) == want]
-        return body + ends[s.below(len(ends))]
+        head = network(norm)
+        body = norm[:head] + s.like(norm[head:-1])
+        return body + next(d for d in "0123456789" if luhn(body + d) == 0) + s.like(room)
     if kind == "phone":
-        head = len(norm) - 10 if len(norm) > 10 else 0
-        first = str(2 + s.below(8)) if norm[head] not in "01" else norm[head]
-        return norm[:head] + first + s.like(norm[head + 1 :])
+        first = str(2 + s.below(8)) if norm[0] not in "01" else norm[0]
+        return first + s.like(norm[1:] + room)
     if kind == "iban":
         body = s.like(norm[4:])
         check = 98 - int("".join(str(int(c, 36)) for c in body + norm[:2] + "00")) % 97
         return f"{norm[:2]}{check:02d}{body}"
     if kind == "ssn":
-        return s.like(norm)
+        return s.like(norm + room)
+    if kind == "birth":
+        # The years that may be drawn widen, for there are few dates.
+        span = min(8000, 120 + 60 * attempt)
+        return f"{max(1000, 1900 - 3 * attempt) + s.below(span):04d}-{1 + s.below(12):02d}-{1 + s.below(28):02d}"
+    script = "cyrillic" if any("а" <= c <= "я" or c == "ё" for c in norm) else "latin"
     if kind == "name":
-        gender, words = norm[0], norm[2:].split()
-        script = "cyrillic" if any("а" <= c <= "я" or c == "ё" for c in norm) else "latin"
-        made = []
-        for i, w in enumerate(words):
-            own = Stream(key, "name", gender if i == 0 else "", w, str(attempt))
-            n = 2 + own.below(2) + attempt // 4
-            ends = ENDINGS[script][gender if i == 0 else "n"]
-            made.append("".join(SYLLABLES[script][own.below(len(SYLLABLES[script]))] for _ in range(n)) + ends[own.below(len(ends))])
-        return gender + ":" + " ".join(made)
+        return _made_word(s, script, gender, attempt)
+    if kind == "address":
+        out = []
+        for w in norm.split():
+            end = next((e for e in STRASSEN if w.endswith(e) and w != e), "")
+            plain = w in _STREET or w in ("de", "la", "des", "du", "del")
+            out.append(w if plain else str(1 + s.below(9)) + s.like(w[1:]) if w[0].isdigit() else _made_word(s, script, "n", attempt) + end)
+        return " ".join(out)
     prefix = next((p for p in ("akia", "asia", "ghp_", "gho_", "sk-") if norm.startswith(p)), "")
     rest = norm[len(prefix) :]
-    return prefix + s.like(rest, hexa=not prefix and bool(re.fullmatch(r"[0-9a-f]+", rest)))
+    return prefix + s.like(rest + room, hexa=not prefix and bool(re.fullmatch(r"[0-9a-f]+", rest)))
+
+
+def _cased(new: str, mention: str) -> str:
+    return new.upper() if len(mention) > 1 and mention.isupper() else new.capitalize() if mention[:1].isupper() else new
 
 
-def write(kind: str, mention: str, new: str) -> str:
+def write(kind: str, mention: str, norm: str, new: str) -> str:
     """The surrogate in the mention's format."""
     if kind in ("card", "phone", "ssn", "iban"):
-        it = iter(new)
+        # A phone's country code and trunk zeros come before what is replaced.
+        kept = sum(c.isalnum() for c in mention) - len(norm)
+        it = iter(re.sub(r"[\W_]", "", mention)[:kept] + new)
         return "".join(next(it, "") if c.isalnum() else c for c in mention) + "".join(it)
+    if kind == "birth":
+        y, m, d = new.split("-")
+        parts = re.split(r"([./-])", mention)
+        order = (y, m, d) if len(parts[0]) == 4 else (d, m, y)
+        return parts[1].join(p if len(o) > 1 else str(int(p)) for p, o in zip(order, parts[::2], strict=True))
     if kind == "name":
-        words = [w.capitalize() for w in new[2:].split()]
-        return " ".join(w.upper() if len(o) > 1 and o.isupper() else w for w, o in zip(words, mention.split(), strict=False))
+        return _cased(new, mention)
+    if kind == "address":
+        comma = re.sub(r"[^,]", "", mention)
+        words = [_cased(n, o) for n, o in zip(new.split(), mention.replace(",", " ").split(), strict=True)]
+        return " ".join(w + ("," if comma and o.endswith(",") else "") for w, o in zip(words, mention.split(), strict=True))
     letters = [c for c in mention if c.isalpha()]
     if letters and all(c.isupper() for c in letters):
         return new.upper()
@@ -208,69 +319,72 @@ def write(kind: str, mention: str, new: str) -> str:
 # --- over a corpus ----------------------------------------------------------------------------------------------------
 
 
-@F.arrow_udf(FOUND)
-def _found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("norm", pa.string())]))
-    for b in batches:
-        yield pa.array([[{"start": s, "end": e, "kind": k, "norm": n} for s, e, k, n in find(t)] for t in b.to_pylist()], kind)
+def mentions(texts: DataFrame) -> DataFrame:
+    """(k, text) -> k, start, end (code points), kind, norm, tag: a row for each mention, in one pass."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(k, *m) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for m in find(t)]
+            types = (pa.binary(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["k", "start", "end", "kind", "norm", "tag"])
 
-def detect(text: Column) -> Column:
-    """The mentions in each text: array of start, end (code points), kind, norm."""
-    return _found(text)
+    return texts.mapInArrow(run, "k binary, start int, end int, kind string, norm string, tag string")
 
 
 def assign(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, norm), distinct -> kind, norm, surrogate, distinct over kind and free of the corpus' own norms."""
+    """(kind, norm, tag), distinct by kind and norm -> kind, norm, surrogate, distinct over kind and free of the corpus' own
+    norms. Each round settles nearly all that is left, so there are few."""
 
     @F.arrow_udf(T.StringType())
-    def draw(kinds: pa.Array, norms: pa.Array, attempts: pa.Array) -> pa.Array:
-        return pa.array([surrogate(key, k, n, a) for k, n, a in zip(kinds.to_pylist(), norms.to_pylist(), attempts.to_pylist(), strict=True)], pa.string())
+    def draw(kinds: pa.Array, norms: pa.Array, tags: pa.Array, attempts: pa.Array) -> pa.Array:
+        return pa.array([surrogate(key, *x) for x in zip(*(c.to_pylist() for c in (kinds, norms, tags, attempts)), strict=True)], pa.string())
 
     own = entities.select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("own"))
     open_, settled = entities.withColumn("attempt", F.lit(0)), None
-    for _ in range(MAX_ROUNDS):
-        drawn = open_.withColumn("surrogate", draw("kind", "norm", "attempt"))
+    while True:
+        drawn = open_.withColumn("surrogate", draw("kind", "norm", "tag", "attempt"))
         taken = own if settled is None else own.unionByName(settled.select("kind", "surrogate", F.lit(True).alias("own")))
         first = drawn.groupBy("kind", "surrogate").agg(F.min("norm").alias("winner"))
         drawn = drawn.join(first, ["kind", "surrogate"]).join(taken.distinct(), ["kind", "surrogate"], "left")
         good = F.col("own").isNull() & (F.col("norm") == F.col("winner"))
-        drawn = cut(drawn.select("kind", "norm", "attempt", "surrogate", good.alias("good")))
+        drawn = cut(drawn.select("kind", "norm", "tag", "attempt", "surrogate", good.alias("good")))
         won = drawn.where("good").select("kind", "norm", "surrogate")
         settled = won if settled is None else settled.unionByName(won)
-        open_ = drawn.where("NOT good").select("kind", "norm", (F.col("attempt") + 1).alias("attempt"))
+        open_ = drawn.where("NOT good").select("kind", "norm", "tag", (F.col("attempt") + 1).alias("attempt"))
         if open_.isEmpty():
             return settled
-    raise RuntimeError(f"surrogates still collide after {MAX_ROUNDS} rounds")
 
 
 def replaced(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
-    """The same rows with their text replaced, and ``__found``, the mentions that were."""
-    marked = docs.withColumn("__found", detect(F.col(text)))
-    has = F.size("__found") > 0
-    some = marked.where(has).withColumn("__k", text_key(F.col(text)))
-    # Equal texts have equal mentions: one stands for all copies.
-    per_text = cut(some.select("__k", "__found").dropDuplicates(["__k"]))
-    mentions = per_text.select("__k", F.explode("__found").alias("m")).select("__k", "m.start", "m.kind", "m.norm")
-    mapping = assign(cut(mentions.select("kind", "norm").distinct()), key)
+    """The same rows with their text replaced, and ``__found``, the mentions that were (start, end, kind, norm, surrogate)."""
+    # Equal texts have equal mentions: what one copy has stands for all.
+    found = cut(mentions(docs.select(text_key(F.col(text)).alias("k"), text).where(F.col(text).isNotNull())).distinct())
+    told = [F.count(F.when(F.col("tag") == g, 1)).alias(g) for g in "mf"]
+    gender = F.when(F.col("m") > F.col("f"), "m").when(F.col("f") > F.col("m"), "f").otherwise("n")
+    mapping = assign(cut(found.groupBy("kind", "norm").agg(*told).select("kind", "norm", gender.alias("tag"))), key)
     # A hot entity's mentions are dealt over SALTS keys.
-    salted = mapping.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    mapped = mentions.withColumn("salt", F.pmod(F.hash("__k"), F.lit(SALTS))).join(salted, ["kind", "norm", "salt"])
-    new = mapped.groupBy("__k").agg(F.transform(F.sort_array(F.collect_list(F.struct("start", "surrogate"))), lambda x: x["surrogate"]).alias("__new"))
+    salted = mapping.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    mapped = found.withColumn("salt", F.pmod(F.hash("k"), F.lit(SALTS))).join(salted, ["kind", "norm", "salt"])
+    # A group is one text's mentions.
+    new = cut(mapped.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "norm", "surrogate"))).alias("__found")))
 
     @F.arrow_udf(T.StringType())
-    def put(texts: pa.Array, founds: pa.Array, news: pa.Array) -> pa.Array:
+    def put(texts: pa.Array, founds: pa.Array) -> pa.Array:
         out = []
-        for t, ms, ns in zip(texts.to_pylist(), founds.to_pylist(), news.to_pylist(), strict=True):
+        for t, ms in zip(texts.to_pylist(), founds.to_pylist(), strict=True):
             parts, at = [], 0
-            for m, n in zip(ms, ns, strict=True):
-                parts += [t[at : m["start"]], write(m["kind"], t[m["start"] : m["end"]], n)]
+            for m in ms or ():
+                parts += [t[at : m["start"]], write(m["kind"], t[m["start"] : m["end"]], m["norm"], m["surrogate"])]
                 at = m["end"]
             out.append("".join(parts) + t[at:])
         return pa.array(out, pa.string())
 
-    done = some.join(new, "__k").withColumn(text, put(text, "__found", "__new")).drop("__k", "__new")
-    return marked.where(~has | F.col(text).isNull()).select(done.columns).unionByName(done)
+    keyed = docs.withColumn("__k", text_key(F.col(text)))
+    may = passes(F.xxhash64("__k"), key_filter(new.select(F.xxhash64("k"))), docs.sparkSession) & F.col(text).isNotNull()
+    none = F.array().cast(new.schema["__found"].dataType)
+    some = salted_join(keyed.where(may), new.withColumnRenamed("k", "__k"), ["__k"])
+    some = some.withColumns({text: put(text, "__found"), "__found": F.coalesce("__found", none)})
+    return keyed.where(~may).withColumn("__found", none).select(*docs.columns, "__found").unionByName(some.select(*docs.columns, "__found"))
 
 
 def op6(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
@@ -283,5 +397,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with surrogates for its personal data; n_chars follows the text."""
     got = replaced(docs, DEMO_KEY)
     if "n_chars" in docs.columns:
-        got = got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        got = got.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
     return got.select(docs.columns)
