@@ -9,7 +9,10 @@ can't fit. What is left is compared word by word.
 
 The rare end of the order comes from document frequencies of the benchmark's
 shingles over all documents. The prefix index is broadcast while it has at most
-MAX_BROADCAST windows; a larger benchmark is joined by shuffle on the prefix.
+MAX_BROADCAST windows. A larger benchmark is joined by shuffle on the prefix: a
+bitmap of fixed size drops nearly all shingles that no window has, each other
+one takes the words around it along, so windows are compared where they meet and
+no text moves. Both ways compare the words themselves.
 
 Defined results: null and empty texts have no words; items without words have no
 windows; equal windows of several items count for each; repeated items (same id)
@@ -19,7 +22,6 @@ string. Repeated documents and other columns stay.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import cut, mix64, text_key
+from tickloom.llm.common import cut, key_filter, may_hold, mix64, salted_join, text_key, word_numbers
 
 WINDOW = 13
 SHINGLE = 4
@@ -36,7 +38,10 @@ SHINGLE = 4
 MAX_BROADCAST = 400_000
 #: Share of a document's words, as 1 in so many, from which it is contaminated.
 SHARE = 20
+#: Parts that the windows of one prefix are joined in.
+SALTS = 8
 
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: ASCII: lower case and digits stay, upper case is lowered, all else parts words; other bytes belong to words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))])
@@ -175,70 +180,91 @@ def matches(text: Column, win: Windows, counts: dict[int, int]) -> Column:
 # --- a benchmark too large to broadcast -------------------------------------------------------------------------------
 
 
-def _hashes(text: Column, n: int) -> Column:
-    """Of each text: the places and hashes of its n-word shingles and the 64-bit hashes of its words, made in Python."""
-    kind = T.StructType([T.StructField("words", T.ArrayType(T.LongType())), T.StructField("shingles", T.ArrayType(T.LongType()))])
+def _placed(ws: list[bytes], lengths: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
+    """By shingle length: the hashes of a text's shingles, in order. They only say where to look."""
+    ids = word_numbers(ws)
+    for m in lengths:
+        yield m, _shingles(ids, m).view(np.int64)
 
-    @F.arrow_udf(kind)
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            ws, ss = [], []
-            for text_ in batch.to_pylist():
-                ids = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True) for w in words(text_)], np.int64)
-                ws.append(ids)
-                ss.append(_shingles(ids, min(n, len(ids)) or 1).view(np.int64))
-            yield pa.StructArray.from_arrays([pa.array(ws, pa.list_(pa.int64())), pa.array(ss, pa.list_(pa.int64()))], ["words", "shingles"])
 
-    return run(text)
+def _windows(items: DataFrame) -> DataFrame:
+    """(item, text) -> w (the words), items, m (the length of its shingles), hs (their hashes): a row a distinct window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ws = words(text)
+                n = min(WINDOW, len(ws))
+                m = min(SHINGLE, n)
+                hs = next(_placed(ws, (m,)))[1] if n else None
+                rows += [(item, [w.decode("utf-8", "surrogatepass") for w in ws[i : i + n]], m, hs[i : i + n - m + 1]) for i in range(len(ws) - n + 1 if n else 0)]
+            types = (pa.string(), pa.list_(pa.string()), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["item", "w", "m", "hs"])
+
+    rows = items.mapInArrow(run, "item string, w array<string>, m int, hs array<long>")
+    return rows.groupBy("w", "m", "hs").agg(F.collect_set("item").alias("items"))
 
 
 def matches_by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(text key, item, start, length) of every window found: the same join, with nothing broadcast or collected.
-
-    Items shorter than SHINGLE use their whole as the shingle, so documents are cut into shingles of each such length.
-    """
-    it = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), _hashes(F.col("text"), 1).alias("x")).select("item", F.col("x.words").alias("w")).where(F.size("w") > 0)
-    n = F.least(F.size("w"), F.lit(WINDOW))
-    win = it.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice(F.col("w"), i, n))).alias("w")).groupBy("w").agg(F.collect_set("item").alias("items"))
-    d = docs.select(text_key(F.col("text")).alias("k"), "text").where(F.col("text").isNotNull())
-    d = cut(d.groupBy("k").agg(F.first("text").alias("text")).select("k", *[_hashes(F.col("text"), m).alias(f"x{m}") for m in range(1, SHINGLE + 1)]))
-    shingles = None
-    for m in range(1, SHINGLE + 1):
-        s = d.select("k", F.lit(m).alias("m"), F.posexplode(f"x{m}.shingles").alias("at", "h"))
-        shingles = s if shingles is None else shingles.unionByName(s)
-    size = F.least(F.size("w"), F.lit(SHINGLE))
-    pre = win.select("w", "items", size.alias("m"), F.explode(F.sequence(F.lit(0), F.size("w") - size)).alias("off"))
-    pre = pre.withColumn("h", _window_hash(F.col("w"), F.col("off"), F.col("m")))
-    df = shingles.join(pre.select("h", "m").distinct(), ["h", "m"]).groupBy("h", "m").agg(F.countDistinct("k").alias("df"))
-    pre = pre.join(df, ["h", "m"], "left").groupBy("w", "items", "m").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "off")).alias("p")).select("w", "items", "m", "p.h", "p.off")
-    found = shingles.join(pre, ["h", "m"]).withColumn("start", F.col("at") - F.col("off")).where(F.col("start") >= 0)
-    found = found.join(d.select("k", F.col("x1.words").alias("words")), "k").where(F.slice("words", F.col("start") + 1, F.size("w")) == F.col("w"))
-    return found.select("k", "items", "start", F.size("w").alias("length"), F.size("words").alias("n_words"))
-
-
-def _window_hash(w: Column, off: Column, m: Column) -> Column:
-    @F.arrow_udf(T.LongType())
-    def run(ws: pa.Array, offs: pa.Array, ms: pa.Array) -> pa.Array:
-        out = [int(_shingles(np.array(a[o : o + k], np.int64), k).view(np.int64)[0]) for a, o, k in zip(ws.to_pylist(), offs.to_pylist(), ms.to_pylist(), strict=True)]
-        return pa.array(out, pa.int64())
-
-    return run(w, off, m)
+    """(text), (item, text) -> k (text key), items, start, length of every window found: nothing that grows is broadcast or
+    collected."""
+    spark = docs.sparkSession
+    win = cut(_windows(items))
+    lengths = tuple(sorted(r["m"] for r in win.select("m").distinct().collect()))  # of 1..SHINGLE
+    held = spark.sparkContext.broadcast(key_filter(win.select(F.explode("hs").alias("h"))))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = held.value
+        for b in batches:
+            rows = []
+            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ws = words(text)
+                for m, hs in _placed(ws, lengths):
+                    for at in np.flatnonzero(may_hold(bitmap, hs)).tolist():
+                        left = max(0, at - WINDOW + m) if m == SHINGLE else at  # shorter shingles are windows
+                        rows.append((k, m, int(hs[at]), at, at - left, b" ".join(ws[left : at + (WINDOW if m == SHINGLE else m)]).decode("utf-8", "surrogatepass")))
+                if len(rows) > 20_000:
+                    yield _batch(rows)
+                    rows = []
+            yield _batch(rows)
+
+    around = docs.select(text_key(F.col("text")).alias("k"), "text").where(F.col("text").isNotNull())
+    shingles = cut(around.mapInArrow(look, "k binary, m int, h long, at int, lead int, around string").distinct())
+    # How many texts hold each shingle orders them; the rarest of a window is its prefix.
+    df = shingles.groupBy("h", "m", "k").agg(F.lit(1).alias("one")).groupBy("h", "m").agg(F.count("*").alias("df"))
+    pre = win.select("w", "items", "m", F.posexplode("hs").alias("off", "h")).join(df, ["h", "m"], "left")
+    pre = pre.groupBy("w", "items", "m").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "off")).alias("p")).select("w", "items", "m", "p.h", "p.off")
+    # A shingle that a third of the texts hold, or that many windows have for their prefix, is dealt over SALTS parts.
+    pre = pre.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = shingles.withColumn("salt", F.pmod(F.hash("k"), F.lit(SALTS))).join(pre, ["h", "m", "salt"])
+    # Place and length bounds, then the words.
+    first = F.col("lead") - F.col("off")
+    near = F.split("around", " ")
+    met = met.where((first >= 0) & (first + F.size("w") <= F.size(near)))
+    met = met.where(F.slice(near, first + 1, F.size("w")) == F.col("w"))
+    return met.select("k", "items", (F.col("at") - F.col("off")).alias("start"), F.size("w").alias("length"))
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["k", "m", "h", "at", "lead", "around"])
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """Add ``__found`` (n_words, n_hit, items) to a documents table."""
+    """Add ``__found`` (n_words, n_hit, items) to a documents table. Helper columns begin with ``__`` too."""
     held = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where(F.col("text").isNotNull())
     # A text of n characters has at most n windows: the bound is known before anything is fetched.
     if (held.agg(F.sum(F.length("text"))).first()[0] or 0) <= 4 * max_broadcast:
         win = Windows([(r["item"], r["text"]) for r in held.collect()])
         if len(win.windows) <= max_broadcast:
             return docs.withColumn("__found", matches(F.col("text"), win, count_shingles(docs, win)))
-    m = matches_by_shuffle(docs, items)
-    covered = m.select("k", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("at")).groupBy("k").agg(F.countDistinct("at").alias("n_hit"))
-    got = m.select("k", F.explode("items").alias("item")).groupBy("k").agg(F.sort_array(F.collect_set("item")).alias("items")).join(covered, "k")
-    n = F.size(_hashes(F.col("text"), 1)["words"]).cast("long")
-    both = docs.withColumn("__k", text_key(F.col("text"))).join(got.withColumnRenamed("k", "__k"), "__k", "left")
-    return both.withColumn("__found", F.struct(n.alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))).drop("__k", "n_hit", "items")
+    m = cut(matches_by_shuffle(docs.select("text"), held))
+    covered = m.select("k", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("at")).distinct().groupBy("k").agg(F.count("*").alias("__hit"))
+    got = m.select("k", F.explode("items").alias("item")).distinct().groupBy("k").agg(F.sort_array(F.collect_list("item")).alias("__items"))
+    both = salted_join(docs.withColumn("__k", text_key(F.col("text"))), got.join(covered, "k").withColumnRenamed("k", "__k"), ["__k"])
+    found = F.struct(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), F.coalesce("__hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("__items", F.array().cast("array<string>")).alias("items"))
+    return both.withColumn("__found", found).select(*docs.columns, "__found")
 
 
 def contaminated() -> Column:
