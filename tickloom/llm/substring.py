@@ -39,9 +39,10 @@ from tickloom.llm.common import cut, mix64, polynomial_runs, text_key, word_hash
 WINDOW = 35
 ANCHOR = 8
 #: Occurrences of an anchor from which its windows part.
-HOT = 100_000
+HOT = 10_000
 #: Anchors that repeat and may be broadcast (8 bytes each); more are joined by shuffle.
 MAX_BROADCAST = 4_000_000
+SALTS = 8
 #: Words that one index takes; one anchor's segments stay together.
 SHARD_WORDS = 400_000
 
@@ -243,7 +244,7 @@ def _pieces(h: np.ndarray, known: np.ndarray | None, hot: np.ndarray, at: np.nda
     return route, sid, start, m
 
 
-def _emit(rows: Iterator[tuple[bytes, np.ndarray, np.ndarray | None]], known: np.ndarray | None, hot: np.ndarray, with_words: bool) -> Iterator[pa.RecordBatch]:
+def _emit(rows: Iterator[tuple[bytes, np.ndarray, np.ndarray | None, np.ndarray]], known: np.ndarray | None, with_words: bool) -> Iterator[pa.RecordBatch]:
     """With words: the segments, each once with its number (as far as memory goes; sums later do the rest). Else where
     each text has which."""
     seen: dict[tuple[int, int], list] = {}
@@ -258,7 +259,7 @@ def _emit(rows: Iterator[tuple[bytes, np.ndarray, np.ndarray | None]], known: np
         cols = [np.concatenate([x[i] for _, x in out]) if out else np.zeros(0, np.uint64) for i in range(3)]
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()).take(rep), pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), pa.array(cols[2].astype(np.int32))], ["k", "route", "sid", "start"])
 
-    for k, h, at in rows:
+    for k, h, at, hot in rows:
         got = _pieces(h, known, hot, at)
         if got is None:
             continue
@@ -311,24 +312,25 @@ def passages(docs: DataFrame, max_broadcast: int = MAX_BROADCAST, hot: int = HOT
     texts = docs.select("text").where(F.col("text").isNotNull())
     anchor_n = texts.mapInArrow(_count_anchors, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     anchor_n = cut(anchor_n)
-    # At most 1 / HOT of all windows can be hot anchors; they are kept apart by their number too.
-    hots = np.sort(np.array([r["h"] for r in anchor_n.where(F.col("n") > hot).select("h").limit(max_broadcast).collect()], np.int64).view(np.uint64))
     n = anchor_n.count()
     keyed = texts.select(text_key(F.col("text")).alias("k"), "text")
     if n <= max_broadcast:
-        known = np.sort(np.array(anchor_n.select("h").toArrow().column(0).combine_chunks() if n else [], np.int64).view(np.uint64))
-        shared = docs.sparkSession.sparkContext.broadcast((known, hots))
+        held = anchor_n.toArrow()
+        known = np.array(held.column("h").combine_chunks() if n else [], np.int64).view(np.uint64)
+        hots = known[np.array(held.column("n").combine_chunks() if n else [], np.int64) > hot]
+        shared = docs.sparkSession.sparkContext.broadcast((np.sort(known), np.sort(hots)))
 
         def pieces(with_words: bool):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                rows = ((k, h, None) for b in batches for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if len(h := word_hashes(t)) >= WINDOW)
-                yield from _emit(rows, *shared.value, with_words)
+                known, hots = shared.value
+                rows = ((k, h, None, hots) for b in batches for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if len(h := word_hashes(t)) >= WINDOW)
+                yield from _emit(rows, known, with_words)
 
             return run
 
         source = keyed
     else:
-        # Where anchors that repeat are, by text; then the texts that have any, once each.
+        # Where anchors that repeat are, by text, and which of them are hot; then the texts that have any, once each.
         def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ks, hs, fs = [], [], []
@@ -342,13 +344,15 @@ def passages(docs: DataFrame, max_broadcast: int = MAX_BROADCAST, hot: int = HOT
                         fs.append(first)
                 yield pa.RecordBatch.from_arrays([pa.array(ks, pa.binary()), pa.array(np.concatenate(hs) if hs else [], pa.int64()), pa.array(np.concatenate(fs) if fs else [], pa.int32())], ["k", "h", "at"])
 
-        where = keyed.mapInArrow(places, "k binary, h long, at int").join(anchor_n.select("h"), "h").groupBy("k").agg(F.collect_set("at").alias("at"))
-        source = keyed.join(where, "k").select("k", "text", "at")
+        # An anchor's places are dealt over SALTS parts.
+        repeats = anchor_n.withColumns({"hot": F.col("n") > hot, "salt": F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))}).select("h", "salt", "hot")
+        where = keyed.mapInArrow(places, "k binary, h long, at int").withColumn("salt", F.pmod(F.hash("k"), F.lit(SALTS))).join(repeats, ["h", "salt"]).groupBy("k").agg(F.collect_set("at").alias("at"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
+        source = keyed.join(where, "k").select("k", "text", "at", "hot")
 
         def pieces(with_words: bool):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                rows = ((k, word_hashes(t), np.array(at)) for b in batches for k, t, at in zip(*(c.to_pylist() for c in b.columns), strict=True))
-                yield from _emit(rows, None, hots, with_words)
+                rows = ((k, word_hashes(t), np.array(at), np.array(hot, np.int64).view(np.uint64)) for b in batches for k, t, at, hot in zip(*(c.to_pylist() for c in b.columns), strict=True))
+                yield from _emit(rows, None, with_words)
 
             return run
 
@@ -397,8 +401,8 @@ def without(text: Column, spans: Column, digest: bool = False) -> Column:
 
 def deduplicated(docs: DataFrame, digest: bool = False) -> DataFrame:
     """Add ``__kept`` (see without) to a table with a text column. The texts move once."""
-    both = docs.withColumn("__k", text_key(F.col("text"))).join(passages(docs).withColumnRenamed("k", "__k"), "__k", "left")
-    return both.withColumn("__kept", without(F.col("text"), F.col("spans"), digest)).drop("__k", "spans")
+    both = docs.withColumn("__k", text_key(F.col("text"))).join(passages(docs).toDF("__k", "__spans"), "__k", "left")
+    return both.withColumn("__kept", without(F.col("text"), F.col("__spans"), digest)).drop("__k", "__spans")
 
 
 def op2(docs: DataFrame) -> DataFrame:
