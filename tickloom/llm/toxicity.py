@@ -3,7 +3,8 @@
 Fit. Labelled documents give, for each word and each word beginning of 3 to 7
 letters, the number of toxic and of clean documents that hold it. Its score is
 the log-odds ratio under an informative Dirichlet prior (the pooled counts),
-kept where the z-score is clear and the odds are over a least value that
+kept where the z-score (or, for what is rare on both sides, the distance of its
+count from the pooled rate) is clear and the odds are over a least value that
 cross-validation chooses; a word's score is that of its clearest feature.
 All other words score ``-DRIFT``.
 
@@ -14,8 +15,8 @@ more: 1 - exp(-K n exp(-lambda S)). Segments under P_MAX are passages; a text's
 segments are combined by the law for sums of normalised scores, and a logistic
 curve, fitted on labelled documents kept out of the counts, maps that to 0..1.
 
-Bounds of the fit: MAX_ROWS labelled documents of each class (a seeded sample
-where there are more), MAX_FEATURES features. Scoring reads whole texts.
+Bound of the fit: MAX_ROWS labelled documents of each class (a seeded sample
+where there are more). Scoring reads whole texts and sums over all segments.
 
 Defined results: null and empty texts have no words and get the curve's score
 for no passage; without labels of both classes all scores are 0. Several labels
@@ -39,7 +40,6 @@ from pyspark.sql import types as T
 from tickloom.llm.common import cut, text_key
 
 MAX_ROWS = 12_000
-MAX_FEATURES = 20_000
 PREFIXES = (3, 4, 5, 6, 7)
 #: The prior's weight, as a share of the labelled documents.
 PRIOR = 0.03
@@ -48,12 +48,13 @@ MIN_Z = 5.0
 MIN_DOCS = 4
 #: The least odds of a feature: of these, cross-validation takes the one with the least log loss.
 MIN_ODDS = (1.0, 1.5, 2.0, 2.5)
-CV_SEGMENTS = 16
 #: The parts of the sample that teach; part 0 calibrates.
 FOLDS = (1, 2, 3)
 TOP_SCORE = 8.0
 DRIFT = 0.5
 P_MAX = 0.05
+#: Words whose scores a worker remembers.
+MEMO = 200_000
 RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("evidence", T.DoubleType()), T.StructField("passages", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("p", T.DoubleType())])))])
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -93,13 +94,15 @@ class Model:
         self.lam, self.k, self.curve = 1.0, 0.1, (0.0, 0.0)
         self.memo: dict[str, float] = {}
 
+    def fresh(self, w: str) -> float:
+        return max((x for f in features(w) if (x := self.weights.get(f))), default=(0.0, 0.0))[1]
+
     def word(self, w: str) -> float:
         s = self.memo.get(w)
         if s is None:
-            if len(self.memo) > 400_000:
+            if len(self.memo) > MEMO:
                 self.memo.clear()
-            s = max((x for f in features(w) if (x := self.weights.get(f))), default=(0.0, 0.0))[1]
-            self.memo[w] = s
+            s = self.memo[w] = self.fresh(w)
         return s
 
     def places(self, text: str | None) -> tuple[list[tuple[int, float]], int]:
@@ -112,7 +115,7 @@ class Model:
         """-log10 of the chance that clean words give such segments: the best r of them together, r chosen."""
         if not found or not n:
             return 0.0
-        x = sorted((self.lam * s - math.log(self.k * n) for s, _, _ in found), reverse=True)[:64]
+        x = sorted((self.lam * s - math.log(self.k * n) for s, _, _ in found), reverse=True)
         best, total = 0.0, 0.0
         for r, v in enumerate(x, 1):
             total += v
@@ -125,6 +128,23 @@ class Model:
             best = min(best, ln)
         return -best / math.log(10)
 
+    @staticmethod
+    def all_places(models: list[Model], memo: dict[str, tuple], text: str | None) -> tuple[list[list[tuple[int, float]]], int]:
+        """places() of several models; each word is looked up once."""
+        words = _WORD.findall((text or "").lower())
+        out: list[list[tuple[int, float]]] = [[] for _ in models]
+        for i, w in enumerate(words):
+            scores = memo.get(w)
+            if scores is None:
+                if len(memo) > MEMO:
+                    memo.clear()
+                scores = tuple(m.fresh(w) for m in models)
+                scores = memo[w] = scores if any(scores) else ()
+            for at, s in zip(out, scores):
+                if s > 0:
+                    at.append((i, s))
+        return out, len(words)
+
     def score(self, evidence: float) -> float:
         a, b = self.curve
         z = a + b * math.log1p(evidence)
@@ -173,13 +193,13 @@ def _learn(by_part: DataFrame, parts: tuple[int, ...], min_odds: float) -> list[
     # Rare on both sides, the prior holds the odds near 0; add how far the counts are from the pooled rate.
     far = (F.col("t") - nt * rate) / F.sqrt(nt * rate * (1 - F.least(rate, F.lit(0.999))) * nc / (nt + nc))
     kept = counts.where((F.col("feature") != "") & (F.col("t") >= MIN_DOCS)).select("feature", F.least(odds, F.lit(TOP_SCORE)).alias("odds"), F.greatest(z, far).alias("z"))
-    kept = kept.where((F.col("odds") > min_odds) & (F.col("z") > MIN_Z)).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()
+    kept = kept.where((F.col("odds") > min_odds) & (F.col("z") > MIN_Z)).orderBy(F.desc("z"), "feature").collect()
     return [(r["feature"], r["z"], r["odds"]) for r in kept]
 
 
-def _law(model: Model, hist: dict[float, float], words: int, segs: list[tuple[int, float]]) -> None:
-    """Set lambda and K by clean documents: how often each score is among so many words, and for each document with a
-    segment its words and best score; the rest of ``segs`` are documents with score 0."""
+def _law(model: Model, hist: dict[float, float], words: int, best: list[tuple[int, float]]) -> None:
+    """Set lambda and K by clean documents: how often each score is among so many words, and each document's words and best
+    segment (0: none)."""
     pos = np.array([*hist, TOP_SCORE], float)
     num = np.array([*hist.values(), 0.5], float)
     rest = max(words - num.sum(), 1.0)
@@ -188,59 +208,59 @@ def _law(model: Model, hist: dict[float, float], words: int, segs: list[tuple[in
     if float((values * freq).sum()) < 0:
         model.lam = _karlin(values, freq)
     # The mean of n exp(-lambda S) over their best segments is 1 / K where the law holds.
-    e = [n * math.exp(-model.lam * s) for n, s in segs if s]
-    n_clean = sum(n > 0 for n, _ in segs)
+    e = [n * math.exp(-model.lam * s) for n, s in best if s]
+    n_clean = sum(n > 0 for n, _ in best)
     model.k = min(1.0, max(1e-4, (len(e) / max(n_clean, 1)) / (sum(e) / len(e)))) if e else 0.1
 
 
-def _choose(sample: DataFrame, by_part: DataFrame) -> float:
-    """The least odds by cross-validation: each fold is scored by what the others teach, calibrated on itself."""
-    models = {}
-    for p in FOLDS:
-        for f in _learn(by_part, tuple(q for q in FOLDS if q != p), MIN_ODDS[0]) or []:
-            for i, m in enumerate(MIN_ODDS):
-                if f[2] > m:
-                    models.setdefault((p, i), {})[f[0]] = f[1:]
-    held = {k: Model(w) for k, w in models.items()}
+def _measured(sample: DataFrame, panels: dict[int, list[Model]]) -> list:
+    """Each document of these parts under each model of its part: part, odds (the model's place), toxic, words, how often each
+    tenth of a score is (clean ones), the best segment, the evidence. Rows of one size, at most about 2 * MAX_ROWS * models."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memos: dict[int, dict] = {p: {} for p in panels}
         for b in batches:
             out = []
             for text, toxic, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words = _WORD.findall((text or "").lower())
-                for i in range(len(MIN_ODDS)):
-                    model = held.get((int(part), i))
-                    if model is None:
-                        continue
-                    at = [(j, s) for j, w in enumerate(words) if (s := model.word(w)) > 0]
+                models = panels[int(part)]
+                found, words = Model.all_places(models, memos[int(part)], text)
+                for i, (model, at) in enumerate(zip(models, found, strict=True)):
                     bins = Counter(round(10 * s) for _, s in at) if not toxic else {}
-                    out.append((int(part), i, toxic, len(words), list(bins), list(bins.values()), sorted((s for s, _, _ in segments(at, DRIFT)), reverse=True)[:CV_SEGMENTS]))
-            cols = list(zip(*out, strict=True)) or [[]] * 7
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["part", "odds", "toxic", "words", "bins", "ns", "segs"])
-
-    if not held:
-        return MIN_ODDS[0]
-    rows = sample.where(F.col("part") != 0).mapInArrow(look, "part int, odds int, toxic int, words long, bins array<int>, ns array<int>, segs array<double>").collect()  # at most about 2 * MAX_ROWS documents, once for each of MIN_ODDS
-    loss = dict.fromkeys(range(len(MIN_ODDS)), 0.0)
+                    segs = segments(at, DRIFT)
+                    out.append((int(part), i, toxic, words, list(bins), list(bins.values()), max((s for s, _, _ in segs), default=0.0), model.evidence(segs, words)))
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["part", "odds", "toxic", "words", "bins", "ns", "best", "evidence"])
+
+    return sample.where(F.col("part").isin(*panels)).mapInArrow(look, "part int, odds int, toxic int, words long, bins array<int>, ns array<int>, best double, evidence double").collect()
+
+
+def _calibrated(sample: DataFrame, panels: dict[int, list[Model]]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """Set each model's law by its part's clean documents; then (part, place) -> log(1 + evidence) and labels of the part."""
+    rows: dict[tuple[int, int], list] = {}
+    for r in _measured(sample, panels):
+        rows.setdefault((r["part"], r["odds"]), []).append(r)
+    for (p, i), got in rows.items():
+        clean = [r for r in got if not r["toxic"]]
+        hist: Counter = Counter()
+        for r in clean:
+            for b, n in zip(r["bins"], r["ns"], strict=True):
+                hist[b / 10] += n
+        _law(panels[p][i], hist, sum(r["words"] for r in clean), [(r["words"], r["best"]) for r in clean])
+    out: dict[tuple[int, int], list] = {}
+    for r in _measured(sample, panels):
+        out.setdefault((r["part"], r["odds"]), []).append((math.log1p(r["evidence"]), float(r["toxic"])))
+    return {k: (np.array([x for x, _ in v]), np.array([y for _, y in v])) for k, v in out.items()}
+
+
+def _choose(sample: DataFrame, by_part: DataFrame) -> float:
+    """The least odds by cross-validation: each fold is scored by what the others teach, calibrated on itself."""
+    panels = {}
     for p in FOLDS:
-        for i in loss:
-            got = [r for r in rows if r["part"] == p and r["odds"] == i]
-            y = np.array([float(r["toxic"]) for r in got])
-            model = held.get((p, i))
-            if not 0 < y.sum() < len(y):
-                # What knows nothing of a fold loses as much as the fold's share of toxic documents does.
-                fold = [float(r["toxic"]) for r in rows if r["part"] == p and r["odds"] == 0]
-                q = sum(fold) / max(len(fold), 1)
-                loss[i] -= sum(math.log(q if x else 1 - q) for x in fold) if 0 < q < 1 else 0.0
-                continue
-            clean = [r for r in got if not r["toxic"]]
-            hist = Counter()
-            for r in clean:
-                for b, n in zip(r["bins"], r["ns"], strict=True):
-                    hist[b / 10] += n
-            _law(model, hist, sum(r["words"] for r in clean), [(r["words"], r["segs"][0] if r["segs"] else 0.0) for r in clean])
-            ev = np.array([math.log1p(model.evidence([(s, 0, 0) for s in r["segs"]], r["words"])) for r in got])
+        learned = _learn(by_part, tuple(q for q in FOLDS if q != p), MIN_ODDS[0]) or []
+        panels[p] = [Model({f: (z, o) for f, z, o in learned if o > m}) for m in MIN_ODDS]
+    loss = dict.fromkeys(range(len(MIN_ODDS)), 0.0)
+    for (_, i), (ev, y) in sorted(_calibrated(sample, panels).items()):
+        if 0 < y.sum() < len(y):
             a, b = _logistic(ev, y)
             z = np.clip(a + b * ev, -40, 40)
             loss[i] += float((np.logaddexp(0, z) - y * z).sum())
@@ -276,26 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model | None:
     if learned is None:
         return None
     model = Model({f: (z, o) for f, z, o in learned})
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for text, toxic, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                at, words = model.places(text)
-                segs = segments(at, DRIFT)
-                out.append((toxic, int(part == 0), words, [s for _, s in at], [s for s, _, _ in segs]))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())), strict=True)], ["toxic", "kept", "words", "scores", "segs"])
-
-    seen = sample.mapInArrow(look, "toxic int, kept int, words long, scores array<double>, segs array<double>").select("toxic", "kept", "words", "scores", F.slice(F.sort_array("segs", False), 1, 64).alias("segs"))
-    # The clean documents' scores, rounded to a tenth: a table of at most 10 * TOP_SCORE rows.
-    bins = seen.where((F.col("toxic") == 0) & (F.col("kept") == 1))
-    words = bins.agg(F.sum("words").alias("w")).first()["w"] or 0
-    hist = {r["s"]: r["n"] for r in bins.select(F.explode("scores").alias("s")).groupBy(F.round("s", 1).alias("s")).agg(F.count("*").alias("n")).collect()}
-    curve = seen.where(F.col("kept") == 1).select("toxic", "words", "segs").collect()  # at most about MAX_ROWS / 2 rows
-    _law(model, hist, words, [(r["words"], r["segs"][0] if r["segs"] else 0.0) for r in curve if r["toxic"] == 0])
-    ev = np.array([math.log1p(model.evidence([(s, 0, 0) for s in r["segs"]], r["words"])) for r in curve])
-    y = np.array([float(r["toxic"]) for r in curve])
+    ev, y = _calibrated(sample, {0: [model]}).get((0, 0), (np.zeros(0), np.zeros(0)))
     # The sample may hold the classes in other shares than the labels do.
     if len(y) and 0 < y.sum() < len(y):
         a, b = _logistic(ev, y)
