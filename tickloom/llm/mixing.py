@@ -12,7 +12,8 @@ seeded hash, in rounds of 4096 cells.
 Defined results: null sizes count 0; a null or empty source list is the pattern
 of the null source; sources in a list count once; rows that agree in id and salt
 (repeated rows) are taken together; an empty table gives an empty result; other
-columns pass through untouched.
+columns pass through untouched. Where the table has a column of a name that the
+mix adds, the mix's own begins with ``mix_``.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import WORD, cut
 
 #: Names of helper columns; callers' columns don't start like this.
-P, H, S = "__mix_pattern", "__mix_hash", "__mix_size"
+P, H, S, N, T = "__mix_pattern", "__mix_hash", "__mix_size", "__mix_copies", "__mix_taken"
+#: What a mixed table has besides its own columns.
+ADDED = ("size", "source_size", "target", "copies", "taken")
 CELL_BITS = 12
 
 
@@ -210,11 +213,11 @@ def plan_mix(keyed: DataFrame, quota: dict[object, int], repeats: int = 3, max_p
 
 
 def apply_mix(keyed: DataFrame, plan: MixPlan) -> DataFrame:
-    """Add ``copies`` and ``taken`` (copies times size); no shuffle, the plan is bounded by max_patterns."""
+    """Add N (copies) and T (tokens taken: copies times size); no shuffle, the plan is bounded by max_patterns."""
     more = (F.col(H) <= F.col("__mix_cut")) | F.array_contains("__mix_tops", F.col(H))
     copies = F.when(F.col(S) > 0, F.col("__mix_base") + F.when(more, 1).otherwise(0)).otherwise(0).cast("long")
     out = keyed.join(F.broadcast(plan.frame(keyed.sparkSession)), P, "left")
-    return out.withColumns({"copies": F.coalesce(copies, F.lit(0).cast("long"))}).withColumn("taken", F.col("copies") * F.col(S)).drop("__mix_base", "__mix_cut", "__mix_tops")
+    return out.withColumn(N, F.coalesce(copies, F.lit(0).cast("long"))).withColumn(T, F.col(N) * F.col(S)).drop("__mix_base", "__mix_cut", "__mix_tops")
 
 
 def mix_documents(docs: DataFrame, seed: int = 17, repeats: int = 3, max_patterns: int = 20_000) -> DataFrame:
@@ -234,8 +237,10 @@ def mix_documents(docs: DataFrame, seed: int = 17, repeats: int = 3, max_pattern
     targets = capped_shares(sizes, weights, sum(sizes.values()), repeats)
     plan = plan_mix(light, {s: int(round(t)) for s, t in targets.items()}, repeats, max_patterns)
     names = {r[P]: json.loads(r[P])[0] for r in sums}
-    info = docs.sparkSession.createDataFrame([(p, sizes[s], targets[s]) for p, s in names.items()], f"{P} string, source_size long, target double")
-    return apply_mix(keyed, plan).join(F.broadcast(info), P, "left").withColumnRenamed(S, "size").drop(P, H)
+    info = docs.sparkSession.createDataFrame([(p, sizes[s], targets[s]) for p, s in names.items()], f"{P} string, __mix_source long, __mix_target double")
+    out = apply_mix(keyed, plan).join(F.broadcast(info), P, "left")
+    added = dict(zip(ADDED, (S, "__mix_source", "__mix_target", N, T), strict=True))
+    return out.select(*docs.columns, *[F.col(c).alias(f"mix_{a}" if a in docs.columns else a) for a, c in added.items()])
 
 
 def op1(docs: DataFrame) -> DataFrame:
@@ -245,4 +250,5 @@ def op1(docs: DataFrame) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents that it takes, with how often (copies) and what for (size, source_size, target, taken)."""
-    return mix_documents(docs).where(F.col("copies") > 0).select(*docs.columns, "size", "source_size", "target", "copies", "taken")
+    mixed = mix_documents(docs)
+    return mixed.where(F.col("mix_copies" if "copies" in docs.columns else "copies") > 0)
