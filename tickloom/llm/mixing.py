@@ -128,7 +128,7 @@ def with_keys(docs: DataFrame, size: Column, sources: Column, keys: list[Column]
 
 @dataclass
 class MixPlan:
-    """What each pattern gives: ``base`` whole copies, one more of rows with hash <= ``cut`` or in ``tops``."""
+    """What each pattern gives: ``base`` whole copies, one more of rows with hash <= ``cut``, one for each place in ``tops``."""
 
     patterns: dict[str, tuple[int, int, list[int]]]
     flow: dict[str, dict]
@@ -147,30 +147,37 @@ def _boundaries(cells: DataFrame, cell: str, rest: dict[str, int]) -> dict[str,
     return {r[P]: (r[cell], r["b"]) for r in found.select(P, cell, (F.col("__run") - F.col("__n")).alias("b")).collect()}
 
 
-def _top_up(keyed: DataFrame, gaps: dict[str, tuple[int, int, float]], thresholds: dict[str, list], rounds: int = 6) -> None:
+def _copies() -> Column:
+    """How often a row is taken, by its hash and its pattern's thresholds."""
+    return (F.col("__mix_base") + (F.col(H) <= F.col("__mix_cut")).cast("long") + F.size(F.filter("__mix_tops", lambda t: t == F.col(H)))).cast("long")
+
+
+def _top_up(keyed: DataFrame, gaps: dict[str, tuple[int, float]], thresholds: dict[str, list], repeats: int, rounds: int = 6) -> None:
     """Fill what long documents at the boundary leave open: at most ``rounds`` more hashes for each pattern.
 
-    gaps: pattern -> (open tokens, first hash not taken, tolerance). Each round
-    takes the largest row that fits, or one that overshoots within tolerance;
-    the last round takes the nearest.
+    gaps: pattern -> (open tokens, tolerance). Each round takes the largest row
+    that fits, or one that overshoots within tolerance; the last round takes the
+    nearest. A row that is taken already is taken again only if it is nearer by
+    more than the tolerance.
     """
     spark = keyed.sparkSession
     for k in range(rounds):
-        gaps = {p: x for p, x in gaps.items() if x[0] > x[2]}
+        gaps = {p: x for p, x in gaps.items() if x[0] > x[1]}
         if not gaps:
             return
-        lim = spark.createDataFrame([(p, g, h, thresholds[p][2]) for p, (g, h, _) in gaps.items()], f"{P} string, __gap long, __from long, __tops array<long>")
+        lim = spark.createDataFrame([(p, g, float(tol), *thresholds[p]) for p, (g, tol) in gaps.items()], f"{P} string, __gap long, __tol double, __mix_base long, __mix_cut long, __mix_tops array<long>")
         off = F.abs(F.col(S) - F.col("__gap"))
-        near = F.struct(off.alias("off"), F.col(H).alias("h"), F.col(S).alias("s"))
-        free = keyed.join(F.broadcast(lim), P).where((F.col(H) >= F.col("__from")) & (F.col(S) > 0) & (off < F.col("__gap")) & ~F.array_contains("__tops", F.col(H)))
+        again = F.when(_copies() > F.col("__mix_base"), F.col("__tol")).otherwise(0.0)
+        near = F.struct((off + again).alias("rank"), off.alias("off"), F.col(H).alias("h"), F.col(S).alias("s"))
+        free = keyed.join(F.broadcast(lim), P).where((F.col(S) > 0) & (off < F.col("__gap")) & (_copies() < repeats))
         got = {r[P]: r for r in free.groupBy(P).agg(F.min(F.when(F.col(S) <= F.col("__gap"), near)).alias("fit"), F.min(F.when(F.col(S) > F.col("__gap"), near)).alias("over")).collect()}
         left = {}
-        for p, (gap, first, tol) in gaps.items():
+        for p, (gap, tol) in gaps.items():
             fit, over = (got[p]["fit"], got[p]["over"]) if p in got else (None, None)
             take = over if over and (not fit or over["off"] <= tol or k == rounds - 1 and over["off"] < fit["off"]) else fit
             if take:
                 thresholds[p][2].append(take["h"])
-                left[p] = (gap - take["s"], first, tol)
+                left[p] = (gap - take["s"], tol)
         gaps = left
 
 
@@ -208,14 +215,13 @@ def plan_mix(keyed: DataFrame, quota: dict[object, int], repeats: int = 3, max_p
             prefix = {p: found[p][0] for p in live}
         for p in live:
             thresholds[p][1] = prefix[p] - 1  # rows of the boundary hash itself don't fit whole
-        _top_up(keyed, {p: (live[p] - before[p], prefix[p], give[p] / 1000) for p in live}, thresholds)
+        _top_up(keyed, {p: (live[p] - before[p], give[p] / 1000) for p in live}, thresholds, repeats)
     return MixPlan({p: tuple(x) for p, x in thresholds.items()}, flow)
 
 
 def apply_mix(keyed: DataFrame, plan: MixPlan) -> DataFrame:
     """Add N (copies) and T (tokens taken: copies times size); no shuffle, the plan is bounded by max_patterns."""
-    more = (F.col(H) <= F.col("__mix_cut")) | F.array_contains("__mix_tops", F.col(H))
-    copies = F.when(F.col(S) > 0, F.col("__mix_base") + F.when(more, 1).otherwise(0)).otherwise(0).cast("long")
+    copies = F.when(F.col(S) > 0, _copies()).otherwise(0)
     out = keyed.join(F.broadcast(plan.frame(keyed.sparkSession)), P, "left")
     return out.withColumn(N, F.coalesce(copies, F.lit(0).cast("long"))).withColumn(T, F.col(N) * F.col(S)).drop("__mix_base", "__mix_cut", "__mix_tops")
 
