@@ -487,12 +487,20 @@ def test_parser():
     assert e.chart == {"type": "renko", "mode": "wicks", "brick_size": 2.5}
     assert (e.parameters["ema_fast"], e.parameters["ema_slow"], e.parameters["tp_points"], e.stop_loss["value"]) == (5, 13, 5.0, 3.0)
     assert spec.parse("macd with stop loss").template == "macd_trend"
+    assert spec.parse("macd 8 21 5").parameters["signal"] == 5
+    assert spec.parse("macd 8 21").parameters["fast"] == 12
+    a = spec.parse("Heikin Ashi 7 15 100 with stop loss, last 2 weeks of the past 1 year")
+    assert (a.parameters["ema_trend"], a.stop_loss, a.date_range["unit"], a.date_range["value"]) == (100, {"type": "atr", "value": 1.5}, "year", 1)
+    b = spec.parse("bb 20 with no gap renko, take profit = 12.5 pips, stop-loss of 4 pts")
+    assert (b.template, b.parameters["bb_period"], b.chart["mode"], b.take_profit["value"], b.stop_loss["value"]) == ("bollinger_breakout", 20, "nongap", 12.5, 4.0)
+    assert spec.date_range("everything") == {"type": "all", "value": None, "unit": None}
     assert spec.validate(spec.Spec(instrument="?", timeframe="7m")).timeframe == "5m"
     assert spec.intent("optimize", True) == "run_finder"
     assert spec.intent("optimize", False) is None
     assert spec.intent("run backtest", False) == "confirm"
     assert spec.intent("a long text that tells of a strategy at length", True) is None
     assert spec.indicator_hints({"rsi_14": 1.0, "adx": 3.0, "rsi_7": 2.0, "zz": 9.0}) == ["ADX", "RSI"]
+    assert spec.indicator_hints({"bb_pos": 5.0, "ema_8_21_diff_pct": 4.0, "is_fvg_bull": 3.0, "volume_ratio_20": 2.0}) == ["bollinger bands", "EMA", "zones", "volume"]
     assert spec.parse_range("1, 2.5,abc") == [1, 2.5, "abc"]
     out = spec.improvements(spec.Spec(), {"total_return_pct": 1, "sharpe_ratio": 0.5, "profit_factor": 1.5, "win_rate_pct": 30, "max_drawdown_pct": -9, "n_trades": 10})
     assert len(out["pros"]) + len(out["cons"]) <= 5

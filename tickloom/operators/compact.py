@@ -68,7 +68,7 @@ def compact_features(bars: DataFrame, structure: bool = True) -> DataFrame:
         "volume_sma_20": F.avg(v).over(W.frame(20)), "volume_momentum_4": W.change("volume", 4),
         "body_pct": F.try_divide(body, rng), "upper_wick_pct": F.try_divide(h - top, rng), "lower_wick_pct": F.try_divide(bottom - l, rng),
         "is_bullish_candle": W.flag(c > o), "is_bearish_candle": W.flag(c < o), "is_doji": W.flag(F.try_divide(body, rng) < 0.1),
-        "di_diff": F.col("plus_di") - F.col("minus_di"), "trend_strength": F.greatest(F.lit(0.0), F.least(F.lit(2.0), F.when(F.col("adx_14").isNotNull(), F.col("adx_14") / 50))),
+        "di_diff": F.col("plus_di") - F.col("minus_di"), "trend_strength": F.when(F.col("adx_14").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(2.0), F.col("adx_14") / 50))),
         "ha_bull": W.flag(F.col("ha_close") > F.col("ha_open")), "ha_bear": W.flag(F.col("ha_close") < F.col("ha_open")),
         "hour": hour, "weekday": F.weekday("ts"),
         **{f"session_{n}": W.flag((hour >= a) & (hour < b)) for n, a, b in (("asia", 0, 7), ("london", 7, 12), ("overlap", 12, 16), ("ny", 16, 22))},

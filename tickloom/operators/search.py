@@ -167,9 +167,9 @@ def walk_forward(bars: DataFrame, best: DataFrame, splits: int = 2, goal: str =
     return backtest_metrics(result, keys, costs.initial_capital).withColumn("score", objective(goal))
 
 
-def finder(bars: DataFrame, strategy: str, ranges: dict[str, list] | None = None, fixed: dict | None = None, goal: str = "sharpe", max_bars: int | None = 3000, splits: int = 2) -> tuple[DataFrame, DataFrame]:
+def finder(bars: DataFrame, strategy: str, ranges: dict[str, list] | None = None, fixed: dict | None = None, goal: str = "sharpe", max_bars: int | None = None, splits: int = 2) -> tuple[DataFrame, DataFrame]:
     """All sets of a strategy on its own ranges (or these), and the best one on parts of the series. Parameters that the
-    strategy doesn't have are dropped; ``max_bars`` keeps the last bars of each series (None: all)."""
+    strategy doesn't have are dropped; ``max_bars`` keeps only the last bars of each series."""
     from tickloom.plans.strategies import get
     from tickloom.sources.bars import numbered, tail
 

@@ -15,6 +15,7 @@ from tickloom.functions import windows as W
 from tickloom.operators import candles, chartpatterns, compact, features, flags, indicators, insights, longseries, metrics, renko, search, simulate, structure, tradefilter
 from tickloom.operators.asof import asof, equity_from_trades
 from tickloom.plans import spec, strategies
+from tickloom.plans import sql as blocks
 from tickloom.sources import bars as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -292,6 +293,7 @@ def _strategies(spark: SparkSession, d: str) -> DataFrame:
 
 
 query("backtest_metrics")(lambda s, d: flagship(s, d))
+SQL |= blocks.more()
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

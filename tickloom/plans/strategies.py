@@ -61,18 +61,18 @@ def _crosses(a: str, b: str | None = None, level: float = 0.0) -> tuple[Column,
 
 def _ha(bars: DataFrame, p: dict) -> DataFrame:
     df = heikin_ashi(bars)
-    wanted = {n: ("ema", {"period": p[k], "source": "ha_close"}) for n, k in (("ema_f", "ema_fast"), ("ema_s", "ema_slow"), ("ema_t", "ema_trend"))}
-    return I.recursive(df, wanted | ({"atr_v": ("atr", {"period": p["atr_period"]})} if p["use_sl_tp"] else {}))
+    wanted = {n: ("ema", {"period": p[k], "source": "ha_close"}) for n, k in (("fast_avg", "ema_fast"), ("slow_avg", "ema_slow"), ("trend_avg", "ema_trend"))}
+    return I.recursive(df, wanted | ({"atr_now": ("atr", {"period": p["atr_period"]})} if p["use_sl_tp"] else {}))
 
 
 def _ha_rules(p: dict):
-    up, down = _crosses("ema_f", "ema_s")
-    c, t = F.col("close"), F.col("ema_t")
+    up, down = _crosses("fast_avg", "slow_avg")
+    c, t = F.col("close"), F.col("trend_avg")
     return up & (c > t), down & (c < t), down, up
 
 
 def _atr_distances(p: dict) -> tuple[Column | None, Column | None]:
-    return (F.col("atr_v") * p["atr_sl_mult"], F.col("atr_v") * p["atr_tp_mult"]) if p["use_sl_tp"] else (None, None)
+    return (F.col("atr_now") * p["atr_sl_mult"], F.col("atr_now") * p["atr_tp_mult"]) if p["use_sl_tp"] else (None, None)
 
 
 def _points(p: dict) -> bool:
@@ -80,17 +80,17 @@ def _points(p: dict) -> bool:
 
 
 def _ema(bars: DataFrame, p: dict) -> DataFrame:
-    wanted = {"ema_f": ("ema", {"period": p["ema_fast"]}), "ema_s": ("ema", {"period": p["ema_slow"]})}
+    wanted = {"fast_avg": ("ema", {"period": p["ema_fast"]}), "slow_avg": ("ema", {"period": p["ema_slow"]})}
     if p["use_adx_filter"]:
-        wanted["adx_v"] = ("adx", {"period": p["adx_period"]})
+        wanted["adx_now"] = ("adx", {"period": p["adx_period"]})
     if p["use_sl_tp"] and not _points(p):
-        wanted["atr_v"] = ("atr", {"period": p["atr_period"]})
+        wanted["atr_now"] = ("atr", {"period": p["atr_period"]})
     return I.recursive(bars, wanted)
 
 
 def _ema_rules(p: dict):
-    up, down = _crosses("ema_f", "ema_s")
-    ok = F.col("adx_v_adx") >= p["adx_threshold"] if p["use_adx_filter"] else F.lit(True)
+    up, down = _crosses("fast_avg", "slow_avg")
+    ok = F.col("adx_now_adx") >= p["adx_threshold"] if p["use_adx_filter"] else F.lit(True)
     return up & ok, down & ok, down, up
 
 
@@ -101,17 +101,17 @@ def _ema_distances(p: dict) -> tuple[Column | None, Column | None]:
 
 
 def _rsi(bars: DataFrame, p: dict) -> DataFrame:
-    return I.recursive(bars, {"rsi_v": ("rsi", {"period": p["rsi_period"]})} | ({"ema_t": ("ema", {"period": p["ema_trend"]})} if p["use_trend_filter"] else {}))
+    return I.recursive(bars, {"rsi_now": ("rsi", {"period": p["rsi_period"]})} | ({"trend_avg": ("ema", {"period": p["ema_trend"]})} if p["use_trend_filter"] else {}))
 
 
 def _trend_ok(p: dict) -> tuple[Column, Column]:
-    return (F.col("close") > F.col("ema_t"), F.col("close") < F.col("ema_t")) if p["use_trend_filter"] else (F.lit(True), F.lit(True))
+    return (F.col("close") > F.col("trend_avg"), F.col("close") < F.col("trend_avg")) if p["use_trend_filter"] else (F.lit(True), F.lit(True))
 
 
 def _rsi_rules(p: dict):
     up, down = _trend_ok(p)
-    r = F.col("rsi_v")
-    return _crosses("rsi_v", level=p["rsi_lower"])[0] & up, _crosses("rsi_v", level=p["rsi_upper"])[1] & down, r >= p["rsi_exit_mid"], r <= p["rsi_exit_mid"]
+    r = F.col("rsi_now")
+    return _crosses("rsi_now", level=p["rsi_lower"])[0] & up, _crosses("rsi_now", level=p["rsi_upper"])[1] & down, r >= p["rsi_exit_mid"], r <= p["rsi_exit_mid"]
 
 
 def _bollinger(bars: DataFrame, p: dict) -> DataFrame:
@@ -125,7 +125,7 @@ def _bollinger_rules(p: dict):
 
 
 def _macd(bars: DataFrame, p: dict) -> DataFrame:
-    return I.recursive(bars, {"m": ("macd", {k: p[k] for k in ("fast", "slow", "signal")})} | ({"ema_t": ("ema", {"period": p["ema_trend"]})} if p["use_trend_filter"] else {}))
+    return I.recursive(bars, {"m": ("macd", {k: p[k] for k in ("fast", "slow", "signal")})} | ({"trend_avg": ("ema", {"period": p["ema_trend"]})} if p["use_trend_filter"] else {}))
 
 
 def _macd_rules(p: dict):
