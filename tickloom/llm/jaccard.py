@@ -44,7 +44,7 @@ COORDS = 64
 DEPTH = 4
 DEEPER = 1_000
 LIMIT = 1500
-BLOCK = 1000
+BLOCK = 500
 RECALL = 0.999
 #: Sets with candidates whose keys may be broadcast, at about 80 bytes each; more are joined by shuffle.
 MAX_BROADCAST = 500_000
