@@ -315,9 +315,9 @@ def passages(docs: DataFrame, max_broadcast: int = MAX_BROADCAST, hot: int = HOT
     n = anchor_n.count()
     keyed = texts.select(text_key(F.col("text")).alias("k"), "text")
     if n <= max_broadcast:
-        held = anchor_n.toArrow()
+        held = anchor_n.select("h", (F.col("n") > hot).alias("hot")).toArrow()
         known = np.array(held.column("h").combine_chunks() if n else [], np.int64).view(np.uint64)
-        hots = known[np.array(held.column("n").combine_chunks() if n else [], np.int64) > hot]
+        hots = known[np.array(held.column("hot").combine_chunks() if n else [], bool)]
         shared = docs.sparkSession.sparkContext.broadcast((np.sort(known), np.sort(hots)))
 
         def pieces(with_words: bool):
