@@ -214,8 +214,8 @@ SIMULATED = """h AS (
   SELECT *, round(cash + side * (close - entry), 2) AS equity, bar_seq = max(bar_seq) OVER (PARTITION BY symbol) AS last FROM h
 ), tr AS MATERIALIZED (
   SELECT symbol, '1h' AS tf, row_number() OVER (PARTITION BY symbol ORDER BY bar_seq, k) - 1 AS trade_id, CASE s WHEN 1 THEN 'long' ELSE 'short' END AS side,
-    entered AS entry_time, entry AS entry_price, ts AS exit_time, price AS exit_price, s * (price - entry) AS pnl,
-    s * (price - entry) / nullif(entry, 0) AS pnl_pct, s * (price - entry) AS points, 0 AS bars_held, reason AS exit_reason
+    entered AS entry_time, entry AS entry_price, ts AS exit_time, price AS exit_price, s * (price - entry) + 0.0 AS pnl,
+    s * (price - entry) / nullif(entry, 0) + 0.0 AS pnl_pct, s * (price - entry) + 0.0 AS points, 0 AS bars_held, reason AS exit_reason
   FROM (
     SELECT symbol, bar_seq, 0 AS k, x_side AS s, x_entered AS entered, x_entry AS entry, ts, x_price AS price, x_reason AS reason FROM z WHERE x_side <> 0
     UNION ALL SELECT symbol, bar_seq, 1, side, entered, entry, ts, close, 'end_of_data' FROM z WHERE last AND side <> 0
@@ -869,8 +869,10 @@ SELECT s.symbol, s.tf, s.ts, s.bar_seq, {first}, {', '.join(f'fl.{n}' for n in n
 
 
 def renko_blocks(size: str = "20.0", mode: str = "wicks") -> list[str]:
-    """Up to ``rk``: bricks. The recursion goes on by a brick of the bar at hand, or to the next bar where there is none."""
-    go = "CASE WHEN heading * sign(move) < 0 THEN CASE WHEN abs(move) >= 2 THEN 2 ELSE 0 END WHEN abs(move) >= 1 THEN 1 ELSE 0 END"
+    """Up to ``rk``: bricks. The recursion goes on by a brick of the bar at hand, or to the next bar where none is left to do."""
+    turns = "heading * sign(move) < 0"
+    go = f"CASE WHEN {turns} THEN CASE WHEN abs(move) >= 2 THEN 2 ELSE 0 END WHEN abs(move) >= 1 THEN 1 ELSE 0 END"
+    todo = f"CASE WHEN jump = 0 THEN 0 WHEN made THEN todo - 1 WHEN {turns} THEN CAST(floor(abs(move) - 2) AS INT) ELSE CAST(floor(abs(move)) AS INT) - 1 END"
     turn_open = "before + dir * size" if mode in ("normal", "wicks", "reverse-wicks", "fake-r-wicks") else "other" if mode == "fake-r-nongap" else "wick"
     turn_far = "before + dir * size" if mode == "normal" else "other" if mode.startswith("fake-r") else "wick"
     on_open, on_far = "wick" if mode == "nongap" else "own", "wick" if mode in ("wicks", "nongap") else "own"
@@ -879,14 +881,14 @@ def renko_blocks(size: str = "20.0", mode: str = "wicks") -> list[str]:
         f"sz AS (SELECT symbol, {size} AS size FROM bars GROUP BY 1)",
         f"""p AS (
   SELECT b.symbol, b.bar_seq AS bar, 0 AS n, floor(close / size) * size AS price, 0 AS heading, floor(close / size) * size AS lo, floor(close / size) * size AS hi,
-    1 AS held, size, close, false AS made, 0.0::DOUBLE AS wick, 0 AS counted FROM bars b JOIN sz USING (symbol) WHERE b.bar_seq = 0
+    1 AS held, size, close, false AS made, 0.0::DOUBLE AS wick, 0 AS counted, 0 AS todo FROM bars b JOIN sz USING (symbol) WHERE b.bar_seq = 0
   UNION ALL
   SELECT symbol, CASE WHEN jump > 0 THEN bar ELSE bar + 1 END, CASE WHEN jump > 0 THEN n + 1 ELSE n END, CASE WHEN jump > 0 THEN level ELSE price END, CASE WHEN jump > 0 THEN way ELSE heading END,
     CASE WHEN jump = 0 THEN least(lo, coming) WHEN way > 0 THEN level ELSE lo END, CASE WHEN jump = 0 THEN greatest(hi, coming) WHEN way > 0 THEN hi ELSE level END,
-    CASE WHEN jump = 0 THEN held + 1 ELSE 1 END, size, CASE WHEN jump = 0 THEN coming ELSE close END, jump > 0, CASE WHEN way > 0 THEN lo ELSE hi END, held
+    CASE WHEN jump = 0 THEN held + 1 ELSE 1 END, size, CASE WHEN jump = 0 THEN coming ELSE close END, jump > 0, CASE WHEN way > 0 THEN lo ELSE hi END, held, {todo}
   FROM (
     SELECT *, CAST(sign(move) AS INT) AS way, price + sign(move) * jump * size AS level FROM (
-      SELECT *, CASE WHEN bar = 0 THEN 0 ELSE {go} END AS jump FROM (
+      SELECT *, CASE WHEN bar = 0 THEN 0 WHEN made THEN CASE WHEN todo > 0 THEN 1 ELSE 0 END ELSE {go} END AS jump FROM (
         SELECT p.*, (p.close - p.price) / p.size AS move, x.close AS coming, x.bar_seq AS next_seq FROM p LEFT JOIN bars x ON x.symbol = p.symbol AND x.bar_seq = p.bar + 1
       )
     ) WHERE jump > 0 OR next_seq IS NOT NULL
