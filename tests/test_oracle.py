@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tickloom.plans.queries import QUERIES, SQL
@@ -13,7 +14,7 @@ MAY_BE_EMPTY = {"head_shoulders", "head_shoulders_early", "backtest_trades", "wa
 
 def _rows(df):
     cols = sorted(df.columns)
-    return sorted(map(str, ([None if v is None or v != v else round(float(v), 5) + 0.0 if isinstance(v, float) else str(v) for v in r] for r in df[cols].astype(object).itertuples(index=False))))
+    return sorted(map(str, ([None if pd.isna(v) else round(float(v), 5) + 0.0 if isinstance(v, float) else str(v) for v in r] for r in df[cols].astype(object).itertuples(index=False))))
 
 
 @pytest.fixture(scope="module")
