@@ -467,7 +467,7 @@ UNION ALL SELECT symbol, 'best_weekday', bucket, round(win_rate_pct, 6), trades
         "insight_highlights": given(*_technical()) + """
 SELECT symbol, tf, test, label, round(win_rate_pct, 6) AS win_rate_pct, trades FROM tb WHERE test IN ('rsi_extremes', 'adx_gt') AND trades >= 30
   QUALIFY row_number() OVER (PARTITION BY symbol, test ORDER BY win_rate_pct DESC, trades DESC) = 1
-UNION ALL SELECT symbol, tf, 'trend', first(label ORDER BY win_rate_pct DESC, label DESC), round(max(win_rate_pct), 6), NULL FROM tb WHERE test = 'trend' GROUP BY 1, 2""",
+UNION ALL SELECT symbol, tf, test, label, round(win_rate_pct, 6), trades FROM tb WHERE test = 'trend' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY win_rate_pct DESC, label DESC) = 1""",
         "spotlights": given(*_technical(), _RULES, """sc AS (
   SELECT symbol, kind AS test, bucket AS label, trades, win_rate_pct, imp, 'time' AS category FROM ri WHERE kind IN ('session', 'hour')
   UNION ALL SELECT symbol, test, label, trades, win_rate_pct, improvement_vs_base_pct, 'indicator' FROM tb WHERE test IN ('macd', 'adx_gt', 'rsi_extremes')
