@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import windows as W
-from tickloom.operators.asof import asof, equity_from_trades
+from tickloom.operators.asof import asof, equity_from_trades, with_positions
 from tickloom.operators.indicators import bollinger_bands, recursive
 from tickloom.operators.metrics import curve_metrics, trade_metrics
+from tickloom.sources.bars import numeric_features
+from tickloom.sources.store import cut
 
 DEFAULT_THRESHOLD = 0.55
 UNALIGNED = 0.5
@@ -76,24 +78,62 @@ def context_score() -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
 
 
-def train_boosted(rows: DataFrame, features: list[str], rounds: int = 60, seed: int = 7):
-    """A gradient-boosted classifier of ``label`` on rows with ``train``; None where one class or under 30 rows."""
+def structure_rows(trades: DataFrame, structure: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Trades with every numeric structure column of the bar they enter on, and those columns' names. Trades without a
+    bar, or on a series' first, are left out: no model scores them, they count as UNALIGNED."""
+    names = numeric_features(structure)
+    return with_positions(trades, structure, names).drop("bar_seq"), names
+
+
+def best_round(losses: list[float], patience: int) -> int:
+    """The round (from 1) of least loss before ``patience`` rounds in a row bring nothing better."""
+    best = 0
+    for k, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
+
+
+def train_boosted(rows: DataFrame, features: list[str], rounds: int = 250, depth: int = 6, patience: int = 40, seed: int = 7):
+    """A gradient-boosted classifier of ``label`` on rows with ``train``; None where one class or under 30 rows.
+
+    Rounds are fitted, ever more of them, until the loss on the other rows has stopped falling for ``patience`` rounds;
+    those up to the best are then fitted again: with one seed, a longer fit begins with the trees of a shorter one.
+    Leaves hold a fiftieth of the training rows, 20 at least.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    n, k = rows.agg(F.count("*"), F.countDistinct("label")).first()
+    n, k, train = rows.agg(F.count("*"), F.countDistinct("label"), F.count_if("train")).first()
     if n < 30 or k < 2:
         return None
-    data = rows.fillna(0.0, subset=features).withColumn("valid", ~F.col("train")).withColumn("label", F.col("label").cast("double"))
-    steps = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), GBTClassifier(maxIter=rounds, stepSize=0.03, maxDepth=4, minInstancesPerNode=max(1, int(max(20, n // 50) ** 0.5)), subsamplingRate=0.7, featureSubsetStrategy="0.7", validationIndicatorCol="valid", seed=seed)]
-    return Pipeline(stages=steps).fit(data)
+    data = cut(rows.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features], "train", F.col("label").cast("double").alias("label")))
+    parts = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), GBTClassifier(stepSize=0.03, maxDepth=depth, minInstancesPerNode=max(20, train // 50), subsamplingRate=0.7, featureSubsetStrategy="0.7", seed=seed)]
+    learn, held = data.where("train"), data.where(~F.col("train"))
+
+    def fit(n_rounds: int):
+        return Pipeline(stages=[parts[0], parts[1].copy({parts[1].maxIter: n_rounds})]).fit(learn)
+
+    tried = min(rounds, patience * 3 // 2)
+    while True:
+        model = fit(tried)
+        best = best_round(model.stages[1].evaluateEachIteration(parts[0].transform(held)), patience)
+        if tried == rounds or best + patience <= tried:
+            return model if best == tried else fit(best)
+        tried = min(rounds, tried * 2)
+
 
 
 def boosted_scores(model, rows: DataFrame, features: list[str]) -> DataFrame:
+    """Rows with the model's score; without a model (too few rows) with structure_score."""
     from pyspark.ml.functions import vector_to_array
 
-    return model.transform(rows.fillna(0.0, subset=features)).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+    if model is None:
+        return rows.withColumn("score", structure_score())
+    return model.transform(rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
 def importances(model, features: list[str]) -> list[tuple[str, float]]:

@@ -17,6 +17,7 @@ from tickloom.operators.asof import asof, equity_from_trades
 from tickloom.plans import spec, strategies
 from tickloom.plans import sql as blocks
 from tickloom.sources import bars as B
+from tickloom.sources.store import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -258,11 +259,11 @@ query("context_scores")(lambda s, d: tradefilter.trade_context(event_trades(s, d
 
 @query("trade_filter_model")
 def _model(spark: SparkSession, d: str) -> DataFrame:
-    """A boosted filter for each symbol's trades together: accuracy and area under the curve by part."""
-    rows = tradefilter.with_split(tradefilter.trade_context(event_trades(spark, d), hourly(spark, d)), ["symbol"]).withColumn("label", tradefilter.label())
-    names = [*tradefilter.CONTEXT, "side_long"]
-    model = tradefilter.train_boosted(rows, names, rounds=10)
-    return tradefilter.evaluate(tradefilter.boosted_scores(model, rows, names))
+    """A boosted filter of all symbols' trades together, on all structure features: accuracy and area under the curve by part."""
+    trades = tradefilter.with_split(event_trades(spark, d), ["symbol"]).withColumn("label", tradefilter.label())
+    rows, names = tradefilter.structure_rows(trades, structure.market_structure(hourly(spark, d)))
+    rows = cut(rows)
+    return tradefilter.evaluate(tradefilter.boosted_scores(tradefilter.train_boosted(rows, names), rows, names))
 
 
 @query("catalog_indicators")
