@@ -24,4 +24,4 @@ def test_same_as_sql(spark, data, duck, name):
 
 def test_names():
     names = list(queries())
-    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 14)]

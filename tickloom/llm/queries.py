@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import chat, decontaminate, fingerprint, jaccard, language, mixing, privacy, substring, tokencount, toxicity
+from tickloom.llm import chat, decontaminate, fingerprint, jaccard, language, mixing, privacy, repair, substring, tokencount, toxicity
 from tickloom.llm.common import small_batches, table
 
 
@@ -40,8 +40,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_tokens": _docs(tokencount.op8),
         "op9_fingerprint": _docs(fingerprint.op9),
         "op10_toxicity": _toxicity,
+        "op11_repair": lambda spark, d: repair.op11(table(spark, d, "conversations")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring": substring.OP2_SQL, "op3_chat": chat.OP3_SQL, "op5_decontaminate": decontaminate.OP5_SQL, "op7_jaccard": jaccard.OP7_SQL}
+    return {"op2_substring": substring.OP2_SQL, "op3_chat": chat.OP3_SQL, "op5_decontaminate": decontaminate.OP5_SQL, "op7_jaccard": jaccard.OP7_SQL, "op11_repair": repair.OP11_SQL}
