@@ -9,7 +9,7 @@ from tickloom.llm.queries import oracle_sql, queries
 @pytest.fixture(scope="module")
 def duck(data):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{data}/{t}.parquet')")
     return c
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import chat, decontaminate, fingerprint, jaccard, language, mixing, privacy, repair, substring, tokencount, toxicity
+from tickloom.llm import chat, decontaminate, fingerprint, hnsw, jaccard, language, mixing, privacy, repair, substring, tokencount, toxicity, whiten
 from tickloom.llm.common import small_batches, table
 
 
@@ -41,8 +41,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_fingerprint": _docs(fingerprint.op9),
         "op10_toxicity": _toxicity,
         "op11_repair": lambda spark, d: repair.op11(table(spark, d, "conversations")),
+        "op12_neighbors": lambda spark, d: hnsw.op12(table(spark, d, "embeddings")),
+        "op13_whitening": lambda spark, d: whiten.op13(table(spark, d, "embeddings")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring": substring.OP2_SQL, "op3_chat": chat.OP3_SQL, "op5_decontaminate": decontaminate.OP5_SQL, "op7_jaccard": jaccard.OP7_SQL, "op11_repair": repair.OP11_SQL}
+    return {"op2_substring": substring.OP2_SQL, "op3_chat": chat.OP3_SQL, "op5_decontaminate": decontaminate.OP5_SQL, "op7_jaccard": jaccard.OP7_SQL, "op11_repair": repair.OP11_SQL, "op12_neighbors": hnsw.OP12_SQL}
