@@ -17,6 +17,7 @@ from tickloom.operators.asof import asof, equity_from_trades
 from tickloom.plans import spec, strategies
 from tickloom.plans import sql as blocks
 from tickloom.sources import bars as B
+from tickloom.sources import candles as feed
 from tickloom.sources.store import cut
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -17,13 +17,16 @@ from tickloom.sources.bars import SECONDS, normalise
 #: How the interface names timeframes and asset classes.
 RESOLUTIONS = {"1m": "1", "5m": "5", "15m": "15", "30m": "30", "1h": "60", "1d": "D", "1w": "W"}
 CHUNK_DAYS = 5
+#: Metals are quoted with an underscore there.
+METALS = {"XAUUSD": "XAU_USD", "XAGUSD": "XAG_USD", "XPTUSD": "XPT_USD", "XPDUSD": "XPD_USD"}
 
 
 def remote_symbol(symbol: str, asset_class: str) -> str:
-    s = symbol.upper()
-    if asset_class == "forex" and len(s) == 6:
-        return f"OANDA:{s[:3]}_{s[3:]}"
-    return f"BINANCE:{s}" if asset_class == "crypto" else s
+    """The feed's name of an instrument; one with a prefix has it already."""
+    s, kind = symbol.upper(), asset_class.lower()
+    if ":" in s or kind not in ("forex", "crypto"):
+        return s
+    return f"OANDA:{METALS.get(s, s)}" if kind == "forex" else f"BINANCE:{s}"
 
 
 def chunks(now: datetime, days: int, step: int = CHUNK_DAYS) -> list[tuple[datetime, datetime]]:
