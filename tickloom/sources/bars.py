@@ -88,18 +88,12 @@ def normalise(df: DataFrame, symbol: str | None = None, tf: str | None = None, a
     return numbered(df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r"))
 
 
-def read_parquet(spark: SparkSession, root: str, symbol: str | None = None, tf: str | None = None, start=None, end=None) -> DataFrame:
-    """Stored bars, pruned by partition, sliced inclusively; no rows where nothing is stored."""
-    try:
-        df = spark.read.schema(BARS).parquet(f"{root}/ohlcv")
-    except Exception as e:  # a store that isn't there yet is an empty one
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        df = spark.createDataFrame([], BARS)
-    if symbol:
-        df = df.where(F.col("symbol") == symbol.upper())
-    if tf:
-        df = df.where(F.col("tf") == timeframe(tf))
+def read_parquet(spark: SparkSession, root: str, symbol: str | None = None, tf: str | None = None, start=None, end=None, version: int | None = None) -> DataFrame:
+    """Stored bars of one version (the newest), only the units asked for, sliced inclusively; none where nothing is stored."""
+    from tickloom.sources.snapshots import bar_table
+
+    s = bar_table(spark, root).snapshot(version)
+    df = s.read(s.named(symbol and symbol.upper(), tf and timeframe(tf)))
     return numbered(time_slice(df, start, end))
 
 
@@ -115,8 +109,10 @@ def read_bars(spark: SparkSession, root: str, symbol: str, tf: str, csv: str | N
 
 
 def write_parquet(bars: DataFrame, root: str) -> None:
-    """Overwrite the (symbol, tf) partitions that the table has; the writer's commit makes each whole."""
-    bars.select("symbol", "tf", "ts", *PRICES).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "tf").parquet(f"{root}/ohlcv")
+    """Put bars in place of what is stored of their series, as one version."""
+    from tickloom.sources.snapshots import bar_table
+
+    bar_table(bars.sparkSession, root).replace(bars.select("symbol", "tf", "ts", *PRICES))
 
 
 def merge_last(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -126,18 +122,11 @@ def merge_last(old: DataFrame, new: DataFrame) -> DataFrame:
     return numbered(best)
 
 
-def upsert(spark: SparkSession, root: str, new: DataFrame) -> None:
-    """Merge into the stored partitions that the new bars touch. The merged rows are cut from the files first."""
-    from tickloom.sources.store import cut
+def upsert(spark: SparkSession, root: str, new: DataFrame) -> int:
+    """Lay new bars over the stored ones, reading and writing only the units that they touch; the version made."""
+    from tickloom.sources.snapshots import bar_table
 
-    keys = [(r["symbol"], r["tf"]) for r in new.select("symbol", "tf").distinct().collect()]
-    held = read_parquet(spark, root)
-    hit = None
-    for s, t in keys:  # literal predicates prune partitions
-        c = (F.col("symbol") == s) & (F.col("tf") == t)
-        hit = c if hit is None else hit | c
-    if hit is not None:
-        write_parquet(cut(merge_last(held.where(hit), new)), root)
+    return bar_table(spark, root).upsert(new.select("symbol", "tf", "ts", *PRICES))
 
 
 def latest(bars: DataFrame) -> DataFrame:
