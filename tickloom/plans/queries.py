@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 from tickloom.functions import windows as W
 from tickloom.operators import candles, chartpatterns, compact, features, flags, indicators, insights, longseries, metrics, renko, search, simulate, structure, tradefilter
 from tickloom.operators.asof import asof, equity_from_trades
-from tickloom.plans import spec, strategies
+from tickloom.plans import ingest, spec, strategies
 from tickloom.plans import sql as blocks
 from tickloom.sources import bars as B
-from tickloom.sources import candles as feed
 from tickloom.sources.store import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -296,6 +295,8 @@ def _strategies(spark: SparkSession, d: str) -> DataFrame:
 
 query("backtest_metrics")(lambda s, d: flagship(s, d))
 SQL |= blocks.more()
+for _name, (_run, _text) in ingest.QUERIES.items():
+    query(_name, _text)(_run)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
