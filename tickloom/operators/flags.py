@@ -1,9 +1,11 @@
 """The library of 0/1 flags over bars, by subject.
 
-Three steps. One grouped map gives what has memory (Wilder and seeded averages, a
-Kalman level, longer timeframes) together with rolling ranks and quantiles. Then
-the flags of bars and of those columns, as window expressions in a few wide
-selects. Last the flags that count other flags.
+Four steps. What has memory without bound (Wilder and seeded averages, a Kalman
+level, sessions' extremes) comes from a scan over blocks of bars, longer timeframes
+from tables of their own, joined by the start of a bar's longer bar. The rest runs
+in blocks that take along the bars they look back on: rolling ranks and quantiles,
+then the flags of bars and of those columns, as window expressions in a few wide
+selects, last the flags that count other flags.
 
 A comparison with an unknown value is 0. Relative changes from 0 are unknown.
 Known properties, kept: longer timeframes know the close of their open bar,
@@ -22,8 +24,12 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import kernels as K
 from tickloom.functions import windows as W
+from tickloom.functions.order import exact_quantile
+from tickloom.operators import scan as S
 from tickloom.operators.indicators import per_series, true_range
+from tickloom.operators.longer import HTF_FLAGS, longer_flags
 from tickloom.sources.bars import SECONDS
+from tickloom.sources.store import cut
 
 EMAS = (5, 8, 13, 21, 34, 50, 89, 100, 200)
 RSIS = (2, 9, 14, 21, 30)
@@ -37,20 +43,11 @@ QUANTILES = {
     **{f"move{n}_{int(p * 100)}": (f"move{n}", 50, p) for n in (3, 5, 10) for p in (0.75, 0.25)},
     "impulse": ("move5", 100, 0.8), "displace": ("move3", 50, 0.85), "absorb": ("move1", 20, 0.3),
 }
-HTF = {"1h": ("1h", 50, True), "4h": ("4h", 20, True), "1d": ("1D", 10, False)}
-HTF_FLAGS = [f"htf_{t}_{x}" for t in ("1h", "4h") for x in ("trend_bullish", "trend_bearish", "price_above_ema", "price_below_ema", "momentum_bullish", "momentum_bearish", "strong_trend")] + ["htf_1d_trend_bullish", "htf_1d_trend_bearish", "mtf_momentum_aligned_bull", "mtf_momentum_aligned_bear"]
-RAW = [*[f"_ema_{n}" for n in EMAS], *[f"_rsi_{n}" for n in RSIS], "_macd", "_macd_sig", "_adx", "_pdi", "_mdi", "_atr", "_kal", "_cci", *[f"_rank_{k}" for k in RANKS], *[f"_q_{k}" for k in QUANTILES], "_eff", "_eff_top", *[f"_{f}" for f in HTF_FLAGS], "_htf_1h", "_htf_4h", "_htf_1d", "_htf_s"]
-
-
-def _macd(c: np.ndarray, fast: int = 12, slow: int = 26, signal: int = 9) -> tuple[np.ndarray, np.ndarray]:
-    """Both averages begin together, each seeded by its own last values; shown from where the signal is."""
-    line, sig = np.full(len(c), np.nan), np.full(len(c), np.nan)
-    if len(c) >= slow + signal - 1:
-        quick = np.concatenate((np.full(slow - fast, np.nan), K.seeded_ema(c[slow - fast :], fast)))
-        full = quick - K.seeded_ema(c, slow)
-        sig = K.seeded_ema(full, signal)
-        line = np.where(np.isnan(sig), np.nan, full)
-    return line, sig
+FAST, SLOW, SIGNAL = 12, 26, 9
+#: Sessions: hours inside, and their length.
+SESSIONS = {"asia": (lambda h: (h >= 23) | (h < 8), 9), "london": (lambda h: (h >= 8) & (h < 16), 8), "ny": (lambda h: (h >= 13) & (h < 21), 8)}
+MEMORY = [*[f"_ema_{n}" for n in EMAS], *[f"_rsi_{n}" for n in RSIS], "_macd", "_macd_sig", "_adx", "_pdi", "_mdi", "_atr", "_kal", "_obv"]
+FRAMED = ["_cci", *[f"_rank_{k}" for k in RANKS], *[f"_q_{k}" for k in QUANTILES], "_eff"]
 
 
 def _change(x: np.ndarray, n: int) -> np.ndarray:
@@ -58,88 +55,98 @@ def _change(x: np.ndarray, n: int) -> np.ndarray:
     return K.ratio(x, prev) - 1
 
 
-def _longer(s: dict, out: dict) -> None:
-    """Flags of longer timeframes, carried to the bars from each longer bar's start on."""
-    idx = pd.DatetimeIndex(s["ts"])
-    df = pd.DataFrame({k: s[k] for k in ("open", "high", "low", "close", "volume")}, index=idx)
-    zero = np.zeros(len(idx))
-    made: dict[str, np.ndarray] = dict.fromkeys(HTF_FLAGS, zero)
-    closes = {}
-    for t, (rule, least, whole) in HTF.items():
-        c = df.resample(rule).agg({"open": "first", "high": "max", "low": "min", "close": "last", "volume": "sum"}).dropna()["close"]
-        closes[t] = c
-        out[f"_htf_{t}"] = np.full(len(idx), float(len(c) > least))
-        if len(c) <= least:
-            continue
-
-        def back(x: pd.Series) -> np.ndarray:
-            return x.astype(float).reindex(idx, method="ffill").fillna(0).to_numpy()
-
-        if not whole:
-            up = c > pd.Series(K.ewma_adjusted(c.to_numpy(), 20), c.index)
-            made |= {f"htf_{t}_trend_bullish": back(up), f"htf_{t}_trend_bearish": back(~up)}
-            continue
-        quick, slow = (pd.Series(K.ewma_adjusted(c.to_numpy(), n), c.index) for n in (21, 50))
-        d = c.diff()
-        gain, loss = d.where(d > 0, 0).rolling(14).mean(), (-d.where(d < 0, 0)).rolling(14).mean()
-        rsi = 100 - 100 / (1 + gain / loss)
-        for name, x in (("trend_bullish", quick > slow), ("trend_bearish", quick < slow), ("price_above_ema", c > quick), ("price_below_ema", c < quick), ("momentum_bullish", rsi > 50), ("momentum_bearish", rsi < 50)):
-            made[f"htf_{t}_{name}"] = back(x)
-    both = len(closes["1h"]) > 20 and len(closes["4h"]) > 10
-    out["_htf_s"] = np.full(len(idx), float(both))
-    if both:
-        side = {}
-        for t, back_n, rank_n in (("1h", 5, 10), ("4h", 3, 5)):
-            c = closes[t]
-            ema = pd.Series(K.ewma_adjusted(c.to_numpy(), 21), c.index)
-            strong = c.pct_change(back_n).abs().rolling(rank_n).rank(pct=True) > 0.7
-            for name, x in (("strong", strong), ("up", c > ema), ("down", c < ema)):
-                side[t, name] = x.astype(float).reindex(idx, method="ffill").fillna(0).to_numpy()
-            made[f"htf_{t}_strong_trend"] = side[t, "strong"]
-        made["mtf_momentum_aligned_bull"] = side["1h", "up"] * side["4h", "up"]
-        made["mtf_momentum_aligned_bear"] = side["1h", "down"] * side["4h", "down"]
-    out |= {f"_{k}": v for k, v in made.items()}
-
-
-def _memory(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    h, l, c, v = s["high"], s["low"], s["close"], s["volume"]  # noqa: E741
-    out: dict[str, np.ndarray] = {f"_ema_{n}": K.seeded_ema(c, n) for n in EMAS}
+# --- what has memory without bound: a scan over blocks ----------------------------------------------------------------
+
+
+def _averages(s: dict, own: int, _: dict) -> dict[str, S.Recurrence]:
+    h, l, c, v, at = s["high"], s["low"], s["close"], s["volume"], s["bar_seq"]  # noqa: E741
     d = np.diff(c, prepend=np.nan)
     up, down = np.where(np.isnan(d), np.nan, np.maximum(d, 0)), np.where(np.isnan(d), np.nan, np.maximum(-d, 0))
+    tr = K.true_range(h, l, c)
+    tr[:1] = np.nan
+    plus, minus = K.directional(h, l)
+    step = np.where(d > 0, v, np.where(d < 0, -v, np.where(at == 0, v, 0.0)))
+    # MACD's averages begin together, each seeded by its own last values.
+    late = np.where(at >= SLOW - FAST, c, np.nan)
+    return {
+        **{f"ema{n}": S.Seeded(c, n, 2 / (n + 1), own) for n in EMAS},
+        **{f"{x}{n}": S.Seeded(y, n, 1 / n, own) for n in RSIS for x, y in (("up", up), ("down", down))},
+        "fast": S.Seeded(late, FAST, 2 / (FAST + 1), own), "slow": S.Seeded(c, SLOW, 2 / (SLOW + 1), own),
+        "plus": S.Summed(plus, 14, own), "minus": S.Summed(minus, 14, own), "total": S.Summed(tr, 14, own), "atr": S.Seeded(tr, 14, 1 / 14, own),
+        "kal": S.Level(c[own:], own == 0), "obv": S.Total(step[own:]),
+    }
+
+
+def _averaged(s: dict, own: int, got: dict, _: dict) -> dict[str, np.ndarray]:
+    out = {f"_ema_{n}": got[f"ema{n}"] for n in EMAS}
     for n in RSIS:
-        a, b = K.wilder(up, n), K.wilder(down, n)
+        a, b = got[f"up{n}"], got[f"down{n}"]
         out[f"_rsi_{n}"] = np.where(a + b == 0, 0.0, 100 * K.ratio(a, np.where(a + b == 0, np.nan, a + b)))
-    out["_macd"], out["_macd_sig"] = _macd(c)
-    tr = K.true_range(h, l, c)
-    if len(tr):
-        tr[0] = np.nan
-    plus, minus = (K.wilder_sum(m, 14) for m in K.directional(h, l))
-    total = K.wilder_sum(tr, 14)
-    pdi, mdi = 100 * K.ratio(plus, total), 100 * K.ratio(minus, total)
-    if len(c) > 14:  # the running sums show one bar later
-        pdi[:14], mdi[:14] = np.nan, np.nan
-    out |= {"_pdi": pdi, "_mdi": mdi, "_adx": K.wilder(100 * K.ratio(np.abs(pdi - mdi), pdi + mdi), 14), "_atr": K.wilder(tr, 14), "_kal": K.kalman(c)}
-    S = pd.Series
-    tp = S((h + l + c) / 3)
+    pdi, mdi = 100 * K.ratio(got["plus"], got["total"]), 100 * K.ratio(got["minus"], got["total"])
+    early = s["bar_seq"][own:] < 14  # the running sums show one bar later
+    pdi, mdi = np.where(early, np.nan, pdi), np.where(early, np.nan, mdi)
+    return out | {"_pdi": pdi, "_mdi": mdi, "_atr": got["atr"], "_kal": got["kal"], "_obv": got["obv"], "line": got["fast"] - got["slow"]}
+
+
+def _signals(s: dict, own: int, made: dict) -> dict[str, S.Recurrence]:
+    pdi, mdi = made["_pdi"], made["_mdi"]
+    return {"signal": S.Seeded(made["line"], SIGNAL, 2 / (SIGNAL + 1)), "adx": S.Seeded(100 * K.ratio(np.abs(pdi - mdi), pdi + mdi), 14, 1 / 14)}
+
+
+def _signalled(s: dict, own: int, got: dict, made: dict) -> dict[str, np.ndarray]:
+    return {"_macd": np.where(np.isnan(got["signal"]), np.nan, made["line"]), "_macd_sig": got["signal"], "_adx": got["adx"]}
+
+
+def _per_hour(tf: str) -> int:
+    return max(1, 3600 // SECONDS[tf]) if tf in SECONDS else 4
+
+
+def _extremes(tf: str) -> S.Stage:
+    """Extremes of each session over its length in bars, carried on to where the next ones are known."""
+
+    def recur(s: dict, own: int, _: dict) -> dict[str, S.Recurrence]:
+        out = {}
+        for name, (inside, hours) in SESSIONS.items():
+            n = _per_hour(tf) * hours
+            mask = inside(s["__hour"])
+            for side, x in (("h", s["high"]), ("l", s["low"])):
+                seen = pd.Series(np.where(mask, x, np.nan)).rolling(n, min_periods=1)
+                out[f"{name}_{side}"] = S.Last((seen.max() if side == "h" else seen.min()).to_numpy()[own:])
+        return out
+
+    return recur, lambda s, own, got, made: {f"_f_{k}": v for k, v in got.items()}
+
+
+# --- what looks back a bounded number of bars -------------------------------------------------------------------------
+
+
+def _windowed(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Ranks and quantiles of frames (pandas keeps a frame's values in a sorted skip list), CCI, and the efficiency."""
+    h, l, c, v = s["high"], s["low"], s["close"], s["volume"]  # noqa: E741
+    P = pd.Series
+    tp = P((h + l + c) / 3)
     mad = tp.rolling(14).apply(lambda x: np.abs(x - x.mean()).mean(), raw=True)
-    out["_cci"] = K.ratio((tp - tp.rolling(14).mean()).to_numpy(), (0.015 * mad).to_numpy())
-    mean, sd = S(c).rolling(20).mean(), S(c).rolling(20).std(ddof=0)
-    base = {"atr_pct": K.ratio(out["_atr"], c), "atr": out["_atr"], "tr_pct": K.ratio(K.true_range(h, l, c), c), "hl_pct": K.ratio(h - l, c), "bbw": K.ratio((4 * sd).to_numpy(), mean.to_numpy()), "rsi14": out["_rsi_14"], "kal_step": np.abs(np.diff(out["_kal"], prepend=np.nan))}
+    out = {"_cci": K.ratio((tp - tp.rolling(14).mean()).to_numpy(), (0.015 * mad).to_numpy())}
+    mean, sd = P(c).rolling(20).mean(), P(c).rolling(20).std(ddof=0)
+    base = {"atr_pct": K.ratio(s["_atr"], c), "atr": s["_atr"], "tr_pct": K.ratio(K.true_range(h, l, c), c), "hl_pct": K.ratio(h - l, c), "bbw": K.ratio((4 * sd).to_numpy(), mean.to_numpy()), "rsi14": s["_rsi_14"], "kal_step": np.abs(np.diff(s["_kal"], prepend=np.nan))}
     base |= {f"move{n}": np.abs(_change(c, n)) for n in (1, 3, 5, 10)}
-    base |= {f"span{n}": K.ratio((S(h).rolling(n).max() - S(l).rolling(n).min()).to_numpy(), c) for n in (20, 50)}
-    base |= {f"far{n}": K.ratio(np.abs(c - out[f"_ema_{n}"]), c) for n in FAR}
-    base |= {f"sep{a}_{b}": K.ratio(np.abs(out[f"_ema_{a}"] - out[f"_ema_{b}"]), c) for a, b in PAIRS}
-    out |= {f"_rank_{k}": S(base[x]).rolling(n).rank(pct=True).to_numpy() for k, (x, n) in RANKS.items()}
-    out |= {f"_q_{k}": S(base[x]).rolling(n).quantile(p).to_numpy() for k, (x, n, p) in QUANTILES.items()}
+    base |= {f"span{n}": K.ratio((P(h).rolling(n).max() - P(l).rolling(n).min()).to_numpy(), c) for n in (20, 50)}
+    base |= {f"far{n}": K.ratio(np.abs(c - s[f"_ema_{n}"]), c) for n in FAR}
+    base |= {f"sep{a}_{b}": K.ratio(np.abs(s[f"_ema_{a}"] - s[f"_ema_{b}"]), c) for a, b in PAIRS}
+    out |= {f"_rank_{k}": P(base[x]).rolling(n).rank(pct=True).to_numpy() for k, (x, n) in RANKS.items()}
+    out |= {f"_q_{k}": P(base[x]).rolling(n).quantile(p).to_numpy() for k, (x, n, p) in QUANTILES.items()}
     vc = _change(v, 12)
-    eff = np.where(vc > 0, K.ratio(np.abs(_change(c, 12)), vc), 0.0)
-    eff = np.nan_to_num(eff)
-    out["_eff"] = eff
-    out["_eff_top"] = np.full(len(c), np.percentile(eff[eff > 0], 80) if (eff > 0).any() else 0.0)
-    _longer(s, out)
+    out["_eff"] = np.nan_to_num(np.where(vc > 0, K.ratio(np.abs(_change(c, 12)), vc), 0.0))
     return out
 
 
+def _threshold(bars: DataFrame, block: int) -> DataFrame:
+    """symbol, tf, the 80th percentile of the efficiencies over 0 of the whole series (_eff_top), its number of bars (_n)."""
+    rows = W.in_blocks(bars.select(*W.KEYS, "bar_seq", "close", "volume"), lambda df: df.withColumn("e", F.when(W.change("volume", 12) > 0, F.try_divide(F.abs(W.change("close", 12)), W.change("volume", 12)))), 12, block=block)
+    top = exact_quantile(rows.where("e > 0").select(*W.KEYS, "e"), W.KEYS, "e", 0.8, "_eff_top")
+    return bars.groupBy(*W.KEYS).agg(F.count("*").alias("_n")).join(top, W.KEYS, "left").withColumn("_eff_top", F.coalesce("_eff_top", F.lit(0.0)))
+
+
 def _prices() -> tuple[Column, ...]:
     return tuple(F.col(x) for x in ("close", "open", "high", "low", "volume"))
 
@@ -369,23 +376,15 @@ def _moves() -> dict[str, Column]:
 
 
 def _sessions(tf: str) -> dict[str, Column]:
-    """Extremes of earlier sessions; their lengths in bars come from the timeframe's name."""
-    C_, O_, H_, L_, V_ = _prices()
-    per_hour = max(1, 3600 // SECONDS[tf]) if tf in SECONDS else 4
-    hour = F.hour("ts")
-    masks = {"asia": ((hour >= 23) | (hour < 8), 9), "london": ((hour >= 8) & (hour < 16), 8), "ny": ((hour >= 13) & (hour < 21), 8)}
-    out = {}
-    for name, (mask, hours) in masks.items():
-        n = per_hour * hours
-        out |= {f"_s_{name}_h": F.max(F.when(mask, H_)).over(W.frame(n)), f"_s_{name}_l": F.min(F.when(mask, L_)).over(W.frame(n))}
-    n = per_hour * 24
+    """Extremes of the day before; its length in bars comes from the timeframe's name, as those of sessions do."""
+    n = _per_hour(tf) * 24
     w = W.frame(n, n)
-    return out | {"_day1_h": F.max("high").over(w), "_day1_l": F.min("low").over(w)}
+    return {"_day1_h": F.max("high").over(w), "_day1_l": F.min("low").over(w)}
 
 
 def _breaches(tf: str) -> dict[str, Column]:
     C_, O_, H_, L_, V_ = _prices()
-    per_hour = max(1, 3600 // SECONDS[tf]) if tf in SECONDS else 4
+    per_hour = _per_hour(tf)
     hour = F.hour("ts")
 
     def before(side: str) -> Column:
@@ -415,7 +414,7 @@ def _counts() -> dict[str, Column]:
     trends = {s: [f(f"_htf_{t}_trend_{s}") for t in ("1h", "4h", "1d")] for s in ("bullish", "bearish")}
     there = [f("_htf_1h"), f("_htf_4h"), f("_htf_1d")]
     own = {s: [f(f"htf_trend_{s}_{n}") for n in (60, 120, 240)] for s in ("bullish", "bearish")}
-    n_bars = F.count("*").over(W.Window.partitionBy(*W.KEYS))
+    n_bars = F.col("_n")
     has = [*[W.flag(n_bars >= n) for n in (60, 120, 240)], *there]
 
     def all_of(side: str) -> Column:
@@ -455,45 +454,75 @@ def _counts() -> dict[str, Column]:
 FAMILIES: dict[str, Callable[[], dict[str, Column]]] = {"trend": _trend, "momentum": _momentum, "volatility": _volatility, "volume": _volume, "ranges": _ranges, "candles": _candles, "bands": _bands, "time": _time, "moves": _moves}
 
 
-def base(bars: DataFrame) -> DataFrame:
-    """Bars with the columns that flags compare (their names begin with an underscore)."""
+def remembered(bars: DataFrame, tf: str, block: int = S.BLOCK) -> DataFrame:
+    """Bars with all columns whose memory has no bound (their names begin with an underscore): averages and levels by a
+    scan of two stages, sessions' extremes, longer timeframes, the threshold of the whole series."""
+    df = longer_flags(bars, block)
+    rows = df.withColumn("__hour", F.hour("ts"))
+    sides = [f"_f_{n}_{x}" for n in SESSIONS for x in "hl"]
+    (recur, finish), (more, ends) = (_averages, _averaged), _extremes(tf)
+
+    def both(s: dict, own: int, made: dict) -> dict[str, S.Recurrence]:
+        return recur(s, own, made) | more(s, own, made)
+
+    def made_of(s: dict, own: int, got: dict, made: dict) -> dict:
+        return finish(s, own, got, made) | ends(s, own, {k: v for k, v in got.items() if f"_f_{k}" in sides}, made)
+
+    halo = max(S.HALO, 9 * _per_hour(tf))
+    df = S.scan(rows, [(both, made_of), (_signals, _signalled)], [*MEMORY, *sides], max(block, halo), halo).drop("__hour")
+    # Written once: what follows reads each bar twice, and its plan is long enough without this one's.
+    return cut(df.join(_threshold(bars, block), W.KEYS))
+
+
+def base(df: DataFrame) -> DataFrame:
+    """Those bars (or a run of them) with the columns that flags compare."""
     C_, O_, H_, L_, V_ = _prices()
-    df = per_series(bars, _memory, RAW)
+    df = per_series(df, _windowed, FRAMED)
     tp = (H_ + L_ + C_) / 3
-    sign = F.when(W.diff("close") > 0, V_).when(W.diff("close") < 0, -V_).when(F.col("bar_seq") == 0, V_).otherwise(0.0)
     df = df.withColumns({
         **{f"_c{n}": W.change("close", n) for n in (1, 2, 3, 5, 10, 12, 20, 60, 120, 240)}, "_v1": W.change("volume", 1), "_vm": W.rmean("volume", 20), "_vs": W.rstd("volume", 20),
         **{f"_hh{n}": W.rmax("high", n) for n in (20, 50, 100)}, **{f"_ll{n}": W.rmin("low", n) for n in (20, 50, 100)}, "_span14": W.rmax("high", 14) - W.rmin("low", 14),
         "_day_h": W.rmax("high", 288), "_day_l": W.rmin("low", 288), "_ses_h": W.rmax("high", 72), "_ses_l": W.rmin("low", 72),
         "_bbm": W.rmean("close", 20), "_bbsd": W.rstd_pop("close", 20), "_z50": F.try_divide(C_ - W.rmean("close", 50), W.rstd("close", 50)),
         "_raw_k": F.try_divide(100 * (C_ - W.rmin("low", 14)), W.rmax("high", 14) - W.rmin("low", 14)), "_wr": F.try_divide(-100 * (W.rmax("high", 14) - C_), W.rmax("high", 14) - W.rmin("low", 14)),
-        "_atr_pct": F.try_divide(_r("atr"), C_), "_slope": F.try_divide(W.diff(_r("ema_21")), C_), "_tr": true_range(), "_step": sign, "_flow": tp * V_, "_tp_d": W.diff(tp),
+        "_atr_pct": F.try_divide(_r("atr"), C_), "_slope": F.try_divide(W.diff(_r("ema_21")), C_), "_tr": true_range(), "_flow": tp * V_, "_tp_d": W.diff(tp),
         "_up1": W.flag(C_ > W.lag("close")), "_dn1": W.flag(C_ < W.lag("close")),
     })
     pos, neg = (F.sum(F.when(c, F.col("_flow")).otherwise(0.0)).over(W.frame(14)) for c in (F.col("_tp_d") > 0, F.col("_tp_d") < 0))
     df = df.withColumns({
-        "_bbu": _r("bbm") + 2 * _r("bbsd"), "_bbd": _r("bbm") - 2 * _r("bbsd"), "_k": W.rmean(_r("raw_k"), 3), "_obv": F.sum("_step").over(W.running()),
+        "_bbu": _r("bbm") + 2 * _r("bbsd"), "_bbd": _r("bbm") - 2 * _r("bbsd"), "_k": W.rmean(_r("raw_k"), 3), 
         "_mfi": F.when(F.col("bar_seq") >= 14, 100 * F.try_divide(pos, pos + neg)), "_n3_up": W.rsum("_up1", 3), "_n3_dn": W.rsum("_dn1", 3),
     })
     return df.withColumns({"_d": W.rmean(_r("k"), 3)})
 
 
-def flag_features(bars: DataFrame, tf: str = "5m", families: list[str] | None = None) -> DataFrame:
-    """symbol, tf, ts, bar_seq and the flags, all of them or those of some families (then without flags of flags)."""
-    df = base(bars)
+#: Bars that flags look back on, but for days (48 hours): rolling ranks of 200 bars of averages, and counts of flags of them.
+BACK = 1_000
+
+
+def flag_features(bars: DataFrame, tf: str = "5m", families: list[str] | None = None, block: int = S.BLOCK) -> DataFrame:
+    """symbol, tf, ts, bar_seq and the flags, all of them or those of some families (then without flags of flags). No task
+    holds more than a block of a series and the bars before it that the block looks back on."""
     chosen = families or list(FAMILIES)
-    flags = {k: v for name in chosen for k, v in FAMILIES[name]().items()}
-    df = df.select("*", *[W.flag(v).alias(k) for k, v in flags.items()])
-    keep = list(flags)
-    if not families:
-        df = df.withColumns(_sessions(tf))
-        df = df.withColumns({f"_f_{n}_{s}": W.forward_fill(f"_s_{n}_{s}") for n in ("asia", "london", "ny") for s in ("h", "l")})
-        more = {k: W.flag(v) for k, v in _breaches(tf).items()} | _counts()
-        df = df.select("*", *[v.alias(k) for k, v in more.items()])
-        last = {"mtf_mixed_signals": F.bitwise_not(F.col("mtf_all_bullish")).bitwiseAND(F.bitwise_not(F.col("mtf_all_bearish"))), **{f"momentum_regime_persistent_{s}": W.flag(F.when(F.col("bar_seq") >= 19, F.sum(f"momentum_regime_{x}").over(W.frame(20))) >= 15) for s, x in (("bull", "bullish"), ("bear", "bearish"))}}
-        df = df.select("*", *[v.alias(k) for k, v in last.items()])
-        keep += [*more, *last]
-    return df.select("symbol", "tf", "ts", "bar_seq", *keep)
+    names: list[str] = []
+
+    def of(df: DataFrame) -> DataFrame:
+        df = base(df)
+        flags = {k: v for name in chosen for k, v in FAMILIES[name]().items()}
+        df = df.select("*", *[W.flag(v).alias(k) for k, v in flags.items()])
+        keep = list(flags)
+        if not families:
+            df = df.withColumns(_sessions(tf))
+            more = {k: W.flag(v) for k, v in _breaches(tf).items()} | _counts()
+            df = df.select("*", *[v.alias(k) for k, v in more.items()])
+            last = {"mtf_mixed_signals": F.bitwise_not(F.col("mtf_all_bullish")).bitwiseAND(F.bitwise_not(F.col("mtf_all_bearish"))), **{f"momentum_regime_persistent_{s}": W.flag(F.when(F.col("bar_seq") >= 19, F.sum(f"momentum_regime_{x}").over(W.frame(20))) >= 15) for s, x in (("bull", "bullish"), ("bear", "bearish"))}}
+            df = df.select("*", *[v.alias(k) for k, v in last.items()])
+            keep += [*more, *last]
+        names.extend(keep)
+        return df.select("symbol", "tf", "ts", "bar_seq", *keep)
+
+    back = BACK + 48 * _per_hour(tf)
+    return W.in_blocks(remembered(bars, tf, block), of, back, block=max(block, back)).select("symbol", "tf", "ts", "bar_seq", *names)
 
 
 def indicator_groups(names: list[str]) -> dict[str, list[str]]:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions import windows as W
+from tickloom.functions.order import rolling_order
 from tickloom.operators import candles, chartpatterns, compact, features, flags, indicators, insights, longseries, metrics, renko, search, simulate, structure, tradefilter
 from tickloom.operators.asof import asof, equity_from_trades
 from tickloom.plans import ingest, spec, strategies
@@ -107,8 +108,8 @@ query("vwap_day", with_bars(f"SELECT symbol, ts, round(sum((high + low + close)
 query("obv", with_bars(f"SELECT symbol, ts, round(sum(x) OVER ({_S} ROWS UNBOUNDED PRECEDING), 6) AS obv FROM (SELECT *, coalesce(sign(close - lag(close) OVER ({_S})), 0) * volume AS x FROM bars)"))(lambda s, d: _bare(indicators.compute("obv", hourly(s, d)), "obv"))
 _TR = f"greatest(high - low, abs(high - lag(close) OVER ({_S})), abs(low - lag(close) OVER ({_S})))"
 query("true_range", with_bars(f"SELECT symbol, ts, round({_TR}, 6) AS true_range FROM bars"))(lambda s, d: hourly(s, d).select("symbol", "ts", indicators.true_range().alias("true_range")))
-query("rolling_quantile", with_bars(f"SELECT symbol, ts, round(CASE WHEN count(close) OVER {_f(50)} = 50 THEN quantile_cont(close, 0.7) OVER {_f(50)} END, 6) AS q FROM bars"))(lambda s, d: hourly(s, d).select("symbol", "ts", W.rquantile("close", 50, 0.7).alias("q")))
-query("rolling_rank", with_bars(f"SELECT symbol, ts, round(CASE WHEN len(x) = 50 THEN (len(list_filter(x, lambda v: v < close)) + (len(list_filter(x, lambda v: v = close)) + 1) / 2) / 50 END, 6) AS r FROM (SELECT *, list(close) OVER {_f(50)} AS x FROM bars)"))(lambda s, d: hourly(s, d).select("symbol", "ts", W.rrank("close", 50).alias("r")))
+query("rolling_quantile", with_bars(f"SELECT symbol, ts, round(CASE WHEN count(close) OVER {_f(50)} = 50 THEN quantile_cont(close, 0.7) OVER {_f(50)} END, 6) AS q FROM bars"))(lambda s, d: rolling_order(hourly(s, d), "close", {"q": ("quantile", 50, 0.7)}).select("symbol", "ts", "q"))
+query("rolling_rank", with_bars(f"SELECT symbol, ts, round(CASE WHEN len(x) = 50 THEN (len(list_filter(x, lambda v: v < close)) + (len(list_filter(x, lambda v: v = close)) + 1) / 2) / 50 END, 6) AS r FROM (SELECT *, list(close) OVER {_f(50)} AS x FROM bars)"))(lambda s, d: rolling_order(hourly(s, d), "close", {"r": ("rank", 50)}).select("symbol", "ts", "r"))
 query("forward_fill", with_bars(f"SELECT symbol, ts, round(last_value(CASE WHEN bar_seq % 3 = 0 THEN close END IGNORE NULLS) OVER ({_S} ROWS UNBOUNDED PRECEDING), 6) AS x FROM bars"))(lambda s, d: hourly(s, d).select("symbol", "ts", W.forward_fill(F.when(F.col("bar_seq") % 3 == 0, F.col("close"))).alias("x")))
 
 _D = f", d AS MATERIALIZED (SELECT *, lag(close) OVER ({_S}) AS pc, close - lag(close) OVER ({_S}) AS dc, {_TR} AS tr, high - lag(high) OVER ({_S}) AS up, lag(low) OVER ({_S}) - low AS dn FROM bars)"
