@@ -7,10 +7,12 @@ keeps what the type has: lengths and letter classes, a card's network and check
 digit, an IBAN's country and checksum, a name's gender and script. It is written
 in the mention's own format: separators, brackets, country code, case.
 
-Each word of a person's name is an entity of its own, so "Mr John Smith", "Mrs
-Smith" and "Dr Smith" share their surname's surrogate. Names are found after
-titles and phrases of introduction; what a text names so is then found in all of
-it, alone too. A first name's gender is the one that most of its mentions in the
+Each word of a person's name is an entity of its own, and so is each half of a
+double name, so "Mr John Smith", "Mrs Smith" and "Dr Smith" share their surname's
+surrogate. Names are found after titles and phrases of introduction, with any
+number of words, initials and particles ("van der", "de la"), which stay; what a
+text names so is then found in all of it, alone too, in capitals or not. Where all
+is in capitals a name ends at the first common word. A first name's gender is the one that most of its mentions in the
 corpus have.
 
 Surrogates are checked over the whole corpus: one that two entities would share,
@@ -69,10 +71,23 @@ CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56
 
 _GENDER = {t.lower(): g for g, ts in TITLES.items() for t in ts}
 _CAP = r"[^\W\d_a-zà-ÿа-я][\w'’-]*"
-_NAME = r"(?P<x>" + _CAP + r"(?: " + _CAP + r"){0,2})"
+#: Particles inside names, and those that follow one.
+PARTICLES = ["van", "von", "vom", "zu", "zum", "zur", "ter", "ten", "de", "del", "della", "di", "da", "dos", "das", "du", "y", "bin", "ibn", "af", "av"]
+AFTER = ["der", "den", "dem", "het", "la", "las", "los", "le"]
+#: Words that end a name in a text of capitals only, where case doesn't.
+COMMON = set(
+    "a am an and are as at be been but by can did do does for from had has have he her here him his i if in into is it its me my no not now of on or our out said says she so that the their them then there they this to too "
+    "up us was we were what when where which who will with would you your aber als am an auf aus bei das dem den der des die doch ein eine er es für hat ich ihr im in ist mit nach nicht noch oder sagte sein sich sie sind über um und "
+    "uns vom von war was wenn wie wir wird zu zum zur au aux avec ce cette dans des dit du elle en est et il ils je la le les leur lui mais ne nous ou où par pas pour qui sa se ses son sont sur un une vous al como con de del dijo "
+    "el ella en era es está este fue ha la las lo los más no nos para pero por que se según si sin son su sus un una y ya".split()
+)
+_WORD = r"(?:[dD]['’])?" + _CAP
+_INITIALS = r"(?:[^\W\d_a-zà-ÿа-я]\.)+(?:-(?:[^\W\d_a-zà-ÿа-я]\.)+)?"
+_LINK = r"(?:(?:" + "|".join(PARTICLES) + r")[ \u00a0](?:(?:" + "|".join(AFTER) + r")[ \u00a0])?)*"
+_NAME = rf"(?P<x>{_LINK}(?:{_INITIALS}|{_WORD})(?:[ \u00a0]?(?<=[ .\u00a0]){_LINK}(?:{_INITIALS}|{_WORD}))*)"
 # A class first lets the search skip to the letters that titles begin with; the look behind then asks for a word's begin.
 _FIRST = "".join(sorted({t[0] for ts in TITLES.values() for t in ts}))
-_TITLED = rf"(?P<t>[{_FIRST}](?<!\w.)(?:" + "|".join(sorted({re.escape(t[1:]) for ts in TITLES.values() for t in ts}, key=len, reverse=True)) + r"))\.?[ \u00a0]"
+_TITLED = rf"(?:(?P<t>[{_FIRST}](?<!\w.)(?:" + "|".join(sorted({re.escape(x) for ts in TITLES.values() for t in ts for x in (t[1:], t[1:].upper())}, key=len, reverse=True)) + r"))\.?[ \u00a0])+"
 _PLACE = r"(?:(?:de la|de|des|du|del) |d')?" + _CAP
 _RULES = [
     ("email", re.compile(r"[\w.%+-]*[\w%+]@[\w-]+(?:\.[\w-]+)+")),
@@ -89,7 +104,9 @@ _RULES = [
     ("name", re.compile(_TITLED + _NAME)),
     ("name", re.compile(r"(?i:\b(?:" + "|".join(CUES) + r"))[: ] ?" + _NAME)),
 ]
-KINDS = list(dict.fromkeys(k for k, _ in _RULES))
+KINDS = [*dict.fromkeys(k for k, _ in _RULES), "initial"]
+#: Alphabets whose letters initials change among.
+ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя"]
 _SOME = re.compile(r"[0-9@]|::")
 _SECRET = ("token", "passw", "pwd", "secret", "api", "akia", "asia", "ghp_", "gho_", "sk-", "xox")
 _STREET = tuple(w.lower() for w in (*STREETS, *RUES, *STRASSEN))
@@ -160,17 +177,36 @@ def normal(kind: str, text: str) -> str | None:
     return text.lower() if kind in ("email", "secret") else text
 
 
-def _name_words(m: re.Match, titled: bool) -> list[tuple[int, int, str, str]]:
-    """The words of a name found: start, end, normal form, gender (of first names)."""
-    if titled and m["t"].lower() not in _GENDER or any(not w[0].isupper() for w in m["x"].split()):
+def _name_words(m: re.Match, titled: bool) -> list[tuple[int, int, str, str, str]]:
+    """The words of a name found: start, end, kind, normal form, gender (of first names). Titles and particles are no part
+    of it; the halves of a double name are words of their own; in a run of capitals a common word ends it."""
+    titles = re.findall(r"\S+", m.string[m.start() : m.start("x")]) if titled else []
+    if titled and (any(t.rstrip(".").lower() not in _GENDER for t in titles) or titles[-1] == "M"):  # without a point it is a letter
         return []
-    gender = _GENDER[m["t"].lower()] if titled else "n"
-    out, at = [], m.start("x")
-    words = m["x"].split(" ")
+    told = [g for t in titles if (g := _GENDER[t.rstrip(".").lower()]) != "n"]
+    gender, shout = told[-1] if told else "n", m["x"].isupper() and len(m["x"]) > 2
+    words, linked = [], False
+    for w in re.finditer(r"[^ \u00a0]+", m["x"]):
+        low = w[0].rstrip(".").lower()
+        if low in _GENDER and (w[0][0].isupper() and len(low) > 1):
+            gender = _GENDER[low] if not words and _GENDER[low] != "n" else gender
+            continue
+        if low in PARTICLES or low in AFTER and (linked or not w[0][0].isupper()):
+            linked = True
+            continue
+        linked = False
+        if shout and low in COMMON or not (w[0][0].isupper() or w[0][:2].lower() in ("d'", "d’")):
+            break
+        words.append(w)
+    out = []
     for i, w in enumerate(words):
-        bare = _POSSESSIVE.sub("", w)
-        out.append((at, at + len(bare), unicodedata.normalize("NFC", bare).lower(), gender if i + 1 < len(words) else "n"))
-        at += len(w) + 1
+        first = gender if i + 1 < len(words) else "n"
+        for part in re.finditer(r"[^.-]+", w[0]):
+            bare = _POSSESSIVE.sub("", part[0])
+            at = m.start("x") + w.start() + part.start()
+            if bare and any(c.isalpha() for c in bare):
+                kind = "initial" if len(bare) == 1 else "name"
+                out.append((at, at + len(bare), kind, unicodedata.normalize("NFC", bare).lower(), first if kind == "name" else "n"))
     return out
 
 
@@ -191,9 +227,9 @@ def find(text: str | None) -> list[tuple[int, int, str, str, str]]:
         if kind == "name":
             titled = "t" in rule.groupindex
             for m in rule.finditer(text) if (title if titled else cue) else ():
-                for start, end, n, gender in _name_words(m, titled):
-                    got.append((start, order, end, kind, n, gender))
-                    if len(n) > 2:
+                for start, end, what, n, gender in _name_words(m, titled):
+                    got.append((start, order, end, what, n, gender))
+                    if what == "name":
                         named.add(text[start:end])
             continue
         if not (secret if kind == "secret" and order == 2 else wanted.get(kind, some or secret)):
@@ -204,7 +240,7 @@ def find(text: str | None) -> list[tuple[int, int, str, str, str]]:
             if n is not None:
                 got.append((m.start(g), order, m.end(g), kind, n, "n"))
     if named:
-        alone = re.compile(r"(?<!\w)(?:" + "|".join(sorted((re.escape(f) for w in named for f in {w, w.upper()}), key=len, reverse=True)) + r")(?!\w)")
+        alone = re.compile(r"(?<!\w)(?:" + "|".join(sorted((re.escape(f) for w in named for f in {w, w.upper(), w.capitalize()}), key=len, reverse=True)) + r")(?!\w)")
         got += [(m.start(), len(_RULES), m.end(), "name", unicodedata.normalize("NFC", m[0]).lower(), "n") for m in alone.finditer(text)]
     out, end = [], 0
     for start, _, stop, kind, n, gender in sorted(got):
@@ -240,8 +276,19 @@ def _made_word(s: Stream, script: str, gender: str, attempt: int) -> str:
     return "".join(SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(n)) + ENDINGS[script][gender][s.below(len(ENDINGS[script][gender]))]
 
 
+def initial(key: bytes, letter: str) -> str:
+    """The next letter on a keyed round through the alphabet: another one for each, and never itself."""
+    letters = next((a for a in ALPHABETS if letter in a), None)
+    if letters is None:
+        return Stream(key, "initial", letter).like("a")
+    ring = sorted(letters, key=lambda c: hmac.new(key, f"initial\x00{c}".encode(), hashlib.sha256).digest())
+    return ring[(ring.index(letter) + 1) % len(ring)]
+
+
 def surrogate(key: bytes, kind: str, norm: str, gender: str, attempt: int) -> str:
-    """The attempt's surrogate, as a normal form."""
+    """The attempt's surrogate, as a normal form. Addresses of the net come from ranges that are nobody's."""
+    if kind == "initial":
+        return initial(key, norm)
     s = Stream(key, kind, norm, str(attempt))
     room = "0" * max(0, (attempt - WIDEN) // 8 + 1) if attempt >= WIDEN else ""
     if kind == "email":
@@ -252,8 +299,8 @@ def surrogate(key: bytes, kind: str, norm: str, gender: str, attempt: int) -> st
         return s.like(local) + s.like("a" * max(0, attempt - 9)) + "@" + d.like(host) + "." + tld
     if kind == "ip":
         if ":" in norm:
-            return str(ipaddress.IPv6Address((0x2000 + s.below(0x2000)) << 112 | s.below(1 << 112)))
-        return ".".join(str(1 + s.below(254)) for _ in range(4))
+            return str(ipaddress.IPv6Address(0x20010DB8 << 96 | s.below(1 << 96)))
+        return ".".join(str(x) for x in (240 + s.below(15), s.below(256), s.below(256), 1 + s.below(254)))
     if kind == "card":
         head = network(norm)
         body = norm[:head] + s.like(norm[head:-1])
@@ -302,8 +349,8 @@ def write(kind: str, mention: str, norm: str, new: str) -> str:
         parts = re.split(r"([./-])", mention)
         order = (y, m, d) if len(parts[0]) == 4 else (d, m, y)
         return parts[1].join(p if len(o) > 1 else str(int(p)) for p, o in zip(order, parts[::2], strict=True))
-    if kind == "name":
-        return _cased(new, mention)
+    if kind in ("name", "initial"):
+        return new.upper() if kind == "initial" else _cased(new, mention)
     if kind == "address":
         comma = re.sub(r"[^,]", "", mention)
         words = [_cased(n, o) for n, o in zip(new.split(), mention.replace(",", " ").split(), strict=True)]
@@ -361,7 +408,10 @@ def replaced(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     found = cut(mentions(docs.select(text_key(F.col(text)).alias("k"), text).where(F.col(text).isNotNull())).distinct())
     told = [F.count(F.when(F.col("tag") == g, 1)).alias(g) for g in "mf"]
     gender = F.when(F.col("m") > F.col("f"), "m").when(F.col("f") > F.col("m"), "f").otherwise("n")
-    mapping = assign(cut(found.groupBy("kind", "norm").agg(*told).select("kind", "norm", gender.alias("tag"))), key)
+    entities = cut(found.groupBy("kind", "norm").agg(*told).select("kind", "norm", gender.alias("tag")))
+    # An initial isn't anyone's: letters change places, which keeps them apart without a check.
+    letter = F.arrow_udf(lambda norms: pa.array([initial(key, n) for n in norms.to_pylist()], pa.string()), T.StringType())
+    mapping = assign(entities.where("kind <> 'initial'"), key).unionByName(entities.where("kind = 'initial'").select("kind", "norm", letter("norm").alias("surrogate")))
     # A hot entity's mentions are dealt over SALTS keys.
     salted = mapping.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     mapped = found.withColumn("salt", F.pmod(F.hash("k"), F.lit(SALTS))).join(salted, ["kind", "norm", "salt"])
