@@ -240,8 +240,8 @@ def find(text: str | None) -> list[tuple[int, int, str, str, str]]:
             if n is not None:
                 got.append((m.start(g), order, m.end(g), kind, n, "n"))
     if named:
-        alone = re.compile(r"(?<!\w)(?:" + "|".join(sorted((re.escape(f) for w in named for f in {w, w.upper(), w.capitalize()}), key=len, reverse=True)) + r")(?!\w)")
-        got += [(m.start(), len(_RULES), m.end(), "name", unicodedata.normalize("NFC", m[0]).lower(), "n") for m in alone.finditer(text)]
+        alone = re.compile(r"(?i:(?<!\w)(?:" + "|".join(sorted(map(re.escape, named), key=len, reverse=True)) + r")(?!\w))")
+        got += [(m.start(), len(_RULES), m.end(), "name", unicodedata.normalize("NFC", m[0]).lower(), "n") for m in alone.finditer(text) if m[0][0].isupper() or m[0][1] in "'’"]
     out, end = [], 0
     for start, _, stop, kind, n, gender in sorted(got):
         if start >= end:
