@@ -556,20 +556,14 @@ def test_stream_upsert_and_bars(spark, data, tmp_path):
     assert all(batch[k] == v for k, v in stream.items())
 
 
-def test_boosting_stops_at_its_best_round():
-    assert tradefilter.best_round([3.0, 2.0, 2.5, 2.5, 1.0], 2) == 2
-    assert tradefilter.best_round([3.0, 2.0, 2.5, 2.5, 1.0], 3) == 5
-    assert tradefilter.best_round([3.0], 40) == 1
-
-
 def test_boosted_filter_learns_and_falls_back(spark):
     rows = spark.range(400).select(F.col("id").alias("trade_id"), ((F.hash("id") % 100) / 100.0).alias("x"), F.lit(None).cast("double").alias("y"), (F.col("id") < 320).alias("train"), F.lit(1.0).alias("trend_strength"), *[F.lit(0).alias(c) for c in ("smc_activity_score_5", "smc_activity_score_10", "is_bos_bullish", "is_bos_bearish")])
     rows = rows.withColumn("label", (F.col("x") > 0.2).cast("int"))
     model = tradefilter.train_boosted(rows, ["x", "y"], rounds=12, patience=4)
-    got = tradefilter.boosted_scores(model, rows, ["x", "y"])
+    got = tradefilter.boosted_scores(model, rows)
     assert got.count() == 400
     assert {r.train: r.accuracy for r in tradefilter.evaluate(got).collect()}[False] >= 0.95
     assert tradefilter.train_boosted(rows.limit(20), ["x", "y"]) is None
     assert tradefilter.train_boosted(rows.withColumn("label", F.lit(1)), ["x", "y"]) is None
-    plain = tradefilter.boosted_scores(None, rows, ["x", "y"])
+    plain = tradefilter.boosted_scores(None, rows)
     assert {round(r.score, 6) for r in plain.collect()} == {round(0.5 + 1 / 12, 6)}

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import windows as W
+from tickloom.operators import boosting
 from tickloom.operators.asof import asof, equity_from_trades, with_positions
 from tickloom.operators.indicators import bollinger_bands, recursive
 from tickloom.operators.metrics import curve_metrics, trade_metrics
 from tickloom.sources.bars import numeric_features
-from tickloom.sources.store import cut
 
 DEFAULT_THRESHOLD = 0.55
 UNALIGNED = 0.5
@@ -85,70 +86,42 @@ def structure_rows(trades: DataFrame, structure: DataFrame) -> tuple[DataFrame,
     return with_positions(trades, structure, names).drop("bar_seq"), names
 
 
-def best_round(losses: list[float], patience: int) -> int:
-    """The round (from 1) of least loss before ``patience`` rounds in a row bring nothing better."""
-    best = 0
-    for k, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = k
-        elif k - best >= patience:
-            break
-    return best + 1
+def train_boosted(rows: DataFrame, features: list[str], **settings) -> boosting.Model | None:
+    """A boosted model of ``label`` on rows with ``train``: 250 rounds of step 0.03, 15 leaves, depth 6, L1 and L2 of 0.1,
+    stopped where the other rows' loss hasn't fallen for 40 rounds; None where one class or under 30 rows."""
+    return boosting.train(rows, features, boosting.Settings(**settings))
 
 
-def train_boosted(rows: DataFrame, features: list[str], rounds: int = 250, depth: int = 6, patience: int = 40, seed: int = 7):
-    """A gradient-boosted classifier of ``label`` on rows with ``train``; None where one class or under 30 rows.
-
-    Rounds are fitted, ever more of them, until the loss on the other rows has stopped falling for ``patience`` rounds;
-    those up to the best are then fitted again: with one seed, a longer fit begins with the trees of a shorter one.
-    Leaves hold a fiftieth of the training rows, 20 at least.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    n, k, train = rows.agg(F.count("*"), F.countDistinct("label"), F.count_if("train")).first()
-    if n < 30 or k < 2:
-        return None
-    data = cut(rows.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features], "train", F.col("label").cast("double").alias("label")))
-    parts = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), GBTClassifier(stepSize=0.03, maxDepth=depth, minInstancesPerNode=max(20, train // 50), subsamplingRate=0.7, featureSubsetStrategy="0.7", seed=seed)]
-    learn, held = data.where("train"), data.where(~F.col("train"))
-
-    def fit(n_rounds: int):
-        return Pipeline(stages=[parts[0], parts[1].copy({parts[1].maxIter: n_rounds})]).fit(learn)
-
-    tried = min(rounds, patience * 3 // 2)
-    while True:
-        model = fit(tried)
-        best = best_round(model.stages[1].evaluateEachIteration(parts[0].transform(held)), patience)
-        if tried == rounds or best + patience <= tried:
-            return model if best == tried else fit(best)
-        tried = min(rounds, tried * 2)
-
-
-
-def boosted_scores(model, rows: DataFrame, features: list[str]) -> DataFrame:
+def boosted_scores(model: boosting.Model | None, rows: DataFrame) -> DataFrame:
     """Rows with the model's score; without a model (too few rows) with structure_score."""
-    from pyspark.ml.functions import vector_to_array
+    return rows.withColumn("score", structure_score()) if model is None else boosting.scored(model, rows)
+
 
-    if model is None:
-        return rows.withColumn("score", structure_score())
-    return model.transform(rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+def importances(model: boosting.Model | None, features: list[str]) -> list[tuple[str, float]]:
+    """By share of the gain, largest first; without a model equal shares of the first twenty."""
+    return boosting.heuristic_importances(features) if model is None else model.importances()
 
 
-def importances(model, features: list[str]) -> list[tuple[str, float]]:
-    """By share of the gain, largest first."""
-    got = model.stages[-1].featureImportances.toArray()
-    total = float(got.sum()) or 1.0
-    return sorted(((f, float(v) / total) for f, v in zip(features, got, strict=True)), key=lambda x: (-x[1], x[0]))
+def stored_scores(spark: SparkSession, path: str, trades: DataFrame, bars: DataFrame, fill_missing: bool = False) -> DataFrame:
+    """The older filter with a stored model: the context of each trade's bar, scored by the model where one can be read and
+    applied (mode model), else by context_score (mode heuristic)."""
+    rows = trade_context(trades, bars)
+    try:
+        model = boosting.load(spark, path)
+        return boosting.scored(model, rows, fill_missing).withColumn("mode", F.lit("model"))
+    except (AnalysisException, ValueError):
+        return rows.withColumn("score", context_score()).withColumn("mode", F.lit("heuristic"))
 
 
 def evaluate(scored: DataFrame) -> DataFrame:
     """Accuracy and the area under the curve, for training rows and the rest: by ranks, ties averaged."""
-    w = Window.partitionBy("train").orderBy("score")
-    r = scored.withColumn("__r", F.rank().over(w) + (F.count("*").over(Window.partitionBy("train", "score")) - 1) / 2)
-    pos, n = F.sum("label"), F.count("*")
-    return r.groupBy("train").agg(F.avg((F.col("score") >= 0.5).cast("int").eqNullSafe(F.col("label")).cast("double")).alias("accuracy"), F.try_divide(F.sum(F.when(F.col("label") == 1, F.col("__r"))) - pos * (pos + 1) / 2, pos * (n - pos)).alias("auc"))
+    right = (F.col("score") >= 0.5).cast("int").eqNullSafe(F.col("label"))
+    # Equal scores are one row before they are ranked.
+    by = scored.groupBy("train", "score").agg(F.count("*").alias("n"), F.sum("label").alias("pos"), F.count_if(right).alias("right"))
+    below = F.sum("n").over(Window.partitionBy("train").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    r = by.withColumn("__r", below + (F.col("n") + 1) / 2)
+    pos, n = F.sum("pos"), F.sum("n")
+    return r.groupBy("train").agg((F.sum("right") / n).alias("accuracy"), F.try_divide(F.sum(F.col("pos") * F.col("__r")) - pos * (pos + 1) / 2, pos * (n - pos)).alias("auc"))
 
 
 def best_threshold(scored: DataFrame, keys: list[str]) -> DataFrame:

@@ -264,7 +264,7 @@ def _model(spark: SparkSession, d: str) -> DataFrame:
     trades = tradefilter.with_split(event_trades(spark, d), ["symbol"]).withColumn("label", tradefilter.label())
     rows, names = tradefilter.structure_rows(trades, structure.market_structure(hourly(spark, d)))
     rows = cut(rows)
-    return tradefilter.evaluate(tradefilter.boosted_scores(tradefilter.train_boosted(rows, names), rows, names))
+    return tradefilter.evaluate(tradefilter.boosted_scores(tradefilter.train_boosted(rows, names), rows))
 
 
 @query("catalog_indicators")
