@@ -11,6 +11,7 @@ from tickloom.operators import asof, candles, chartpatterns, compact, flags, ind
 from tickloom.plans import spec, strategies
 from tickloom.sources import bars as B
 from tickloom.sources import feed, store
+from tickloom.sources.records import Records
 from tickloom.streaming import live
 
 
@@ -452,7 +453,7 @@ def test_feature_store(spark, tmp_path):
 
 
 def test_records(spark, tmp_path):
-    r = store.Records(spark, str(tmp_path / "r"))
+    r = Records(spark, str(tmp_path / "r"))
     mk = lambda k, i, p, n: spark.sql(f"SELECT '{k}' kind, '{i}' id, {p} parent, timestamp'2024-01-01 00:00:00' created, '{n}' name, '{{}}' body")
     r.put(mk("conversation", "1", "cast(null as string)", "a"))
     r.put(mk("message", "2", "'1'", "m"))

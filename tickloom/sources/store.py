@@ -36,16 +36,30 @@ def aligned_features(bars: DataFrame, features: DataFrame) -> DataFrame:
     return ts.join(gaps, ["symbol", "tf"], "left_anti").join(features, ["symbol", "tf", "ts"])
 
 
-def features_for(spark: SparkSession, root: str, bars: DataFrame, compute) -> DataFrame:
-    """Stored features where they cover a series, computed (and stored) for the rest: one job over all series."""
+def features_for(spark: SparkSession, root: str, bars: DataFrame, compute, cache: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Features of these bars by a chain: those of the session (``cache``, by root and the bars' plan), those stored that
+    cover a series whole, and for the rest computed ones, which are stored. One job over all series."""
+    name = f"{root} {bars.semanticHash()}"
+    if cache is not None and name in cache:
+        return cache[name]
     held = stored_features(spark, root)
     if held is None:
-        done = compute(bars)
-        write_features(cut(done), root)
-        return stored_features(spark, root)
-    have = aligned_features(bars, held)
-    rest = bars.join(have.select("symbol", "tf").distinct(), ["symbol", "tf"], "left_anti")
-    return have.unionByName(compute(rest), allowMissingColumns=True)
+        write_features(cut(compute(bars)), root)
+        out = stored_features(spark, root)
+    else:
+        have = cut(aligned_features(bars, held))
+        rest = bars.join(have.select("symbol", "tf").distinct(), ["symbol", "tf"], "left_anti")
+        if rest.isEmpty():
+            out = have
+        else:
+            # Laid over what is stored of these series; bars that weren't asked for stay.
+            new, keys = cut(compute(rest)), ["symbol", "tf", "ts"]
+            stay = held.join(new.select("symbol", "tf").distinct(), ["symbol", "tf"], "left_semi").join(new.select(keys), keys, "left_anti")
+            write_features(cut(stay.unionByName(new, allowMissingColumns=True)), root)
+            out = have.unionByName(new, allowMissingColumns=True)
+    if cache is not None:
+        cache[name] = out
+    return out
 
 
 def append_features(spark: SparkSession, root: str, bars: DataFrame, compute, rebuild: int = 600) -> DataFrame:
@@ -64,41 +78,3 @@ def append_features(spark: SparkSession, root: str, bars: DataFrame, compute, re
     out = cut(keep.unionByName(new, allowMissingColumns=True))
     write_features(out, root)
     return stored_features(spark, root)
-
-
-class Records:
-    """Small app tables (conversations, messages, strategies) as Parquet with a JSON body: list, get, put, delete."""
-
-    KIND = "kind string, id string, parent string, created timestamp, name string, body string"
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def all(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(self.KIND).parquet(self.path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return self.spark.createDataFrame([], self.KIND)
-            raise
-
-    def list(self, kind: str, limit: int = 50) -> DataFrame:
-        return self.all().where(F.col("kind") == kind).orderBy(F.desc("created"), "id").limit(limit)
-
-    def get(self, kind: str, id_: str) -> DataFrame:
-        return self.all().where((F.col("kind") == kind) & (F.col("id") == id_))
-
-    def put(self, rows: DataFrame) -> None:
-        rest = self.all().join(rows.select("kind", "id"), ["kind", "id"], "left_anti")
-        cut(rest.unionByName(rows)).write.mode("overwrite").parquet(self.path)
-
-    def rename(self, kind: str, id_: str, name: str) -> None:
-        hit = (F.col("kind") == kind) & (F.col("id") == id_)
-        cut(self.all().withColumn("name", F.when(hit, F.lit(name)).otherwise(F.col("name")))).write.mode("overwrite").parquet(self.path)
-
-    def delete(self, kind: str, id_: str, cascade: str | None = None) -> None:
-        """Also deletes children of the cascade kind; others lose their parent."""
-        hit = (F.col("kind") == kind) & (F.col("id") == id_)
-        child = F.coalesce(F.col("parent") == id_, F.lit(False))
-        left = self.all().where(~hit & ~(child & (F.col("kind") == (cascade or ""))))
-        cut(left.withColumn("parent", F.when(child, None).otherwise(F.col("parent")))).write.mode("overwrite").parquet(self.path)
