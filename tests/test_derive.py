@@ -122,3 +122,42 @@ def test_reach():
     assert derive._reach(order, counts, {"c"}, None, 0) == {"c", "d", "e", "f"}
     assert derive._reach(order, counts | {"d": 0}, {"c", "e"}, 5, 0) == {"c", "d", "e", "f"}
     assert derive.fading(0.5) == 40
+
+
+def test_a_cycle_keeps_timeframes_apart(spark, tmp_path, monkeypatch):
+    """Bars, longer bars and features of a backfill equal a full build; a timeframe that fails leaves the others."""
+    from datetime import UTC
+
+    from tickloom.streaming import runner
+
+    now = datetime(2024, 1, 3, tzinfo=UTC)
+    at = [int(now.timestamp()) - 60 * k for k in range(2000, 0, -1)]
+    price = {t: 100 + (t // 60) % 37 / 7 for t in at}
+
+    def get(symbol, res, a, b):
+        t = [x for x in at if a <= x < b]
+        return {"s": "ok", "t": t, **{c: [price[x] for x in t] for c in "ohlc"}}
+
+    root, refresh = str(tmp_path / "i"), derive.refresh_bars
+
+    def broken(table, base, longer):
+        if longer == "15m":
+            raise OSError("disk")
+        return refresh(table, base, longer)
+
+    monkeypatch.setattr(derive, "refresh_bars", broken)
+    got = runner.cycle(spark, root, {"EURUSD": "forex"}, get, now, derived=("5m", "15m"), days=2)
+    assert got == {"EURUSD": "ok", "15m": "OSError: disk"}
+    five = B.read_parquet(spark, root, "EURUSD", "5m")
+    assert five.count() == 400
+    feats = runner.feature_table(spark, root)
+    assert key(feats.read(), 7) == key(runner.features_of(five).select(*feats.schema.names), 7)
+    monkeypatch.setattr(derive, "refresh_bars", refresh)
+    price[at[1000]] += 5  # a correction, read again by a backfill
+    assert runner.cycle(spark, root, {"EURUSD": "forex"}, get, now, derived=("5m", "15m"), days=2, skip_features=True) == {"EURUSD": "ok"}
+    fifteen = B.read_parquet(spark, root, "EURUSD", "15m")
+    assert key(fifteen.drop("bar_seq")) == key(B.resample(B.read_parquet(spark, root, "EURUSD", "1m"), "15m").drop("bar_seq"))
+    version = feats.snapshot().version
+    runner.cycle(spark, root, {"EURUSD": "forex"}, get, now, derived=("5m", "15m"), days=2)
+    assert feats.snapshot().version > version
+    assert key(feats.read().where("tf = '5m'"), 7) == key(runner.features_of(B.read_parquet(spark, root, "EURUSD", "5m")).select(*feats.schema.names), 7)

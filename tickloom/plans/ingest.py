@@ -18,7 +18,7 @@ from tickloom.session import shared_folder
 from tickloom.sources import bars as B
 from tickloom.sources import candles
 from tickloom.sources.snapshots import BarTable
-from tickloom.streaming import live, stateful
+from tickloom.streaming import derive, live, stateful
 
 PRICES = ", ".join(f"round({c}, 6) AS {c}" for c in B.PRICES)
 
@@ -112,10 +112,44 @@ SELECT l.event_id, l.event_type, l.ts, round(r.b.v, 6) AS last_value, CAST(r.b.i
 FROM (SELECT * FROM events WHERE event_id % 2 = 1) l ASOF LEFT JOIN r ON l.event_type = r.event_type AND l.ts >= r.at
 """
 
+def derived_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Longer bars that have followed a table through a correction, new bars and a deletion."""
+    t = BarTable(spark, folder(spark, "table"), unit_bars=288)
+    bars = B.event_bars(spark, d, "5m")
+    steps = [
+        lambda: t.upsert(bars.where("bar_seq % 11 <> 0 AND day(ts) < 20")),
+        lambda: t.upsert(bars.where("bar_seq % 13 = 0 AND day(ts) < 20").withColumn("close", F.col("close") + 1)),
+        lambda: t.upsert(bars.where("day(ts) >= 20")),
+        lambda: t.upsert(bars.limit(0), bars.where("day(ts) = 7")),
+    ]
+    for step in steps:
+        step()
+        for longer in ("1h", "1d"):
+            derive.refresh_bars(t, "5m", longer)
+    return t.read().where("tf <> '5m'")
+
+
+DERIVED_SQL = """
+WITH b AS (
+  SELECT event_type AS symbol, time_bucket(INTERVAL '5 minutes', ts, TIMESTAMP '1970-01-01') AS ts, first(value ORDER BY ts, event_id) AS open, max(value) AS high,
+    min(value) AS low, last(value ORDER BY ts, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2
+), n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS bar_seq FROM b),
+held AS (
+  SELECT symbol, ts, open, high, low, CASE WHEN bar_seq % 13 = 0 AND day(ts) < 20 THEN close + 1 ELSE close END AS close, volume
+  FROM n WHERE (bar_seq % 11 <> 0 OR bar_seq % 13 = 0 OR day(ts) >= 20) AND day(ts) <> 7
+), longer AS (
+  SELECT *, '1h' AS tf, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS start FROM held
+  UNION ALL SELECT *, '1d', time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') FROM held
+)
+SELECT symbol, tf, start AS ts, round(first(open ORDER BY ts), 6) AS open, round(max(high), 6) AS high, round(min(low), 6) AS low, round(last(close ORDER BY ts), 6) AS close, sum(volume) AS volume
+FROM longer GROUP BY symbol, tf, start
+"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "feed_candles": (feed_candles, FEED_SQL),
     "feed_stream": (feed_stream, STREAM_SQL),
     "table_versions": (table_versions, VERSIONS_SQL),
     "stream_indicators": (stream_indicators, _stream_sql()),
     "asof_ticks": (asof_ticks, ASOF_SQL),
+    "derived_bars": (derived_bars, DERIVED_SQL),
 }

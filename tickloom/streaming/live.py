@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tickloom.sources import bars as B
+from tickloom.sources.snapshots import bar_table
+from tickloom.streaming.derive import refresh_bars
 
 
 def tumbling_bars(ticks: DataFrame, tf: str, symbol: str, ts: str, price: str, tie: str, watermark: str = "5 minutes") -> DataFrame:
@@ -20,8 +22,8 @@ def tumbling_bars(ticks: DataFrame, tf: str, symbol: str, ts: str, price: str, t
 
 
 def upsert_stream(bars: DataFrame, root: str, checkpoint: str, derived: tuple[str, ...] = (), once: bool = True, every: str = "60 seconds") -> StreamingQuery:
-    """Lay a stream of (corrected) bars over the stored ones, newest arrival last, and rebuild longer timeframes of the
-    symbols that changed. A batch that runs again gives the same files."""
+    """Lay a stream of (corrected) bars over the stored ones, newest arrival last, and let longer timeframes follow: only
+    buckets with changed bars are made again. A batch that runs again gives the same tables."""
 
     def batch(df: DataFrame, _: int) -> None:
         spark = df.sparkSession
@@ -29,10 +31,10 @@ def upsert_stream(bars: DataFrame, root: str, checkpoint: str, derived: tuple[st
             return
         rows = df.groupBy("symbol", "tf", "ts").agg(F.max_by(F.struct(*B.PRICES), "arrival").alias("x")).select("symbol", "tf", "ts", "x.*") if "arrival" in df.columns else df
         B.upsert(spark, root, rows)
-        for s, t in [(r["symbol"], r["tf"]) for r in rows.select("symbol", "tf").distinct().collect()]:
+        for base in [r["tf"] for r in rows.select("tf").distinct().collect()]:  # a handful of timeframes
             for longer in derived:
-                if B.SECONDS[longer] > B.SECONDS[t]:
-                    B.upsert(spark, root, B.resample(B.read_parquet(spark, root, s, t), longer))
+                if B.SECONDS[longer] > B.SECONDS[base]:
+                    refresh_bars(bar_table(spark, root), base, longer)
 
     w = bars.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start()
