@@ -4,8 +4,8 @@ Fit. Labelled documents give, for each word and each word beginning of 3 to 7
 letters, the number of toxic and of clean documents that hold it. Its score is
 the log-odds ratio under an informative Dirichlet prior (the pooled counts),
 kept where the z-score (or, for what is rare on both sides, the distance of its
-count from the pooled rate) is clear and the odds are over a least value that
-cross-validation chooses; a word's score is that of its clearest feature.
+count from the pooled rate) is clear and the odds are over MIN_ODDS; a word's score
+is that of its clearest feature.
 All other words score ``-DRIFT``.
 
 Search. Ruzzo and Tompa's linear scan finds every maximal scoring segment of a
@@ -46,10 +46,10 @@ PRIOR = 0.03
 MIN_Z = 5.0
 #: A feature is held by so many toxic documents at least.
 MIN_DOCS = 4
-#: The least odds of a feature: of these, cross-validation takes the one with the least log loss.
-MIN_ODDS = (1.0, 1.5, 2.0, 2.5)
-#: The parts of the sample that teach; part 0 calibrates.
-FOLDS = (1, 2, 3)
+#: The least odds of a feature.
+MIN_ODDS = 2.5
+#: Parts of the sample; part 0 calibrates, the others teach.
+PARTS = 4
 TOP_SCORE = 8.0
 DRIFT = 0.5
 P_MAX = 0.05
@@ -128,23 +128,6 @@ class Model:
             best = min(best, ln)
         return -best / math.log(10)
 
-    @staticmethod
-    def all_places(models: list[Model], memo: dict[str, tuple], text: str | None) -> tuple[list[list[tuple[int, float]]], int]:
-        """places() of several models; each word is looked up once."""
-        words = _WORD.findall((text or "").lower())
-        out: list[list[tuple[int, float]]] = [[] for _ in models]
-        for i, w in enumerate(words):
-            scores = memo.get(w)
-            if scores is None:
-                if len(memo) > MEMO:
-                    memo.clear()
-                scores = tuple(m.fresh(w) for m in models)
-                scores = memo[w] = scores if any(scores) else ()
-            for at, s in zip(out, scores):
-                if s > 0:
-                    at.append((i, s))
-        return out, len(words)
-
     def score(self, evidence: float) -> float:
         a, b = self.curve
         z = a + b * math.log1p(evidence)
@@ -178,9 +161,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), max(float(w[1]), 1e-3)
 
 
-def _learn(by_part: DataFrame, parts: tuple[int, ...], min_odds: float) -> list[tuple[str, float, float]] | None:
-    """(feature, z, odds) that these parts teach, clearest first; None without documents of both classes."""
-    counts = by_part.select("feature", *[sum((F.col(f"{c}{p}") for p in parts), F.lit(0)).alias(c) for c in ("t", "c")])
+def _learn(counts: DataFrame) -> list[tuple[str, float, float]] | None:
+    """(feature, t, c: toxic and clean documents that hold it) -> (feature, z, odds) of those that tell, clearest first;
+    None without documents of both classes."""
     total = counts.where(F.col("feature") == "").first()
     if not total or not total["t"] or not total["c"]:
         return None
@@ -193,7 +176,7 @@ def _learn(by_part: DataFrame, parts: tuple[int, ...], min_odds: float) -> list[
     # Rare on both sides, the prior holds the odds near 0; add how far the counts are from the pooled rate.
     far = (F.col("t") - nt * rate) / F.sqrt(nt * rate * (1 - F.least(rate, F.lit(0.999))) * nc / (nt + nc))
     kept = counts.where((F.col("feature") != "") & (F.col("t") >= MIN_DOCS)).select("feature", F.least(odds, F.lit(TOP_SCORE)).alias("odds"), F.greatest(z, far).alias("z"))
-    kept = kept.where((F.col("odds") > min_odds) & (F.col("z") > MIN_Z)).orderBy(F.desc("z"), "feature").collect()
+    kept = kept.where((F.col("odds") > MIN_ODDS) & (F.col("z") > MIN_Z)).orderBy(F.desc("z"), "feature").collect()
     return [(r["feature"], r["z"], r["odds"]) for r in kept]
 
 
@@ -213,98 +196,67 @@ def _law(model: Model, hist: dict[float, float], words: int, best: list[tuple[in
     model.k = min(1.0, max(1e-4, (len(e) / max(n_clean, 1)) / (sum(e) / len(e)))) if e else 0.1
 
 
-def _measured(sample: DataFrame, panels: dict[int, list[Model]]) -> list:
-    """Each document of these parts under each model of its part: part, odds (the model's place), toxic, words, how often each
-    tenth of a score is (clean ones), the best segment, the evidence. Rows of one size, at most about 2 * MAX_ROWS * models."""
+def _calibrate(sample: DataFrame, model: Model, n: dict[int, int]) -> None:
+    """Set the law by these documents' clean ones, then the curve by all: one pass gives each document's words, how often
+    each tenth of a score is, and its segments' scores. Rows of about MAX_ROWS / 2 documents come to the driver."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memos: dict[int, dict] = {p: {} for p in panels}
         for b in batches:
             out = []
-            for text, toxic, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                models = panels[int(part)]
-                found, words = Model.all_places(models, memos[int(part)], text)
-                for i, (model, at) in enumerate(zip(models, found, strict=True)):
-                    bins = Counter(round(10 * s) for _, s in at) if not toxic else {}
-                    segs = segments(at, DRIFT)
-                    out.append((int(part), i, toxic, words, list(bins), list(bins.values()), max((s for s, _, _ in segs), default=0.0), model.evidence(segs, words)))
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["part", "odds", "toxic", "words", "bins", "ns", "best", "evidence"])
-
-    return sample.where(F.col("part").isin(*panels)).mapInArrow(look, "part int, odds int, toxic int, words long, bins array<int>, ns array<int>, best double, evidence double").collect()
-
-
-def _calibrated(sample: DataFrame, panels: dict[int, list[Model]]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-    """Set each model's law by its part's clean documents; then (part, place) -> log(1 + evidence) and labels of the part."""
-    rows: dict[tuple[int, int], list] = {}
-    for r in _measured(sample, panels):
-        rows.setdefault((r["part"], r["odds"]), []).append(r)
-    for (p, i), got in rows.items():
-        clean = [r for r in got if not r["toxic"]]
-        hist: Counter = Counter()
-        for r in clean:
-            for b, n in zip(r["bins"], r["ns"], strict=True):
-                hist[b / 10] += n
-        _law(panels[p][i], hist, sum(r["words"] for r in clean), [(r["words"], r["best"]) for r in clean])
-    out: dict[tuple[int, int], list] = {}
-    for r in _measured(sample, panels):
-        out.setdefault((r["part"], r["odds"]), []).append((math.log1p(r["evidence"]), float(r["toxic"])))
-    return {k: (np.array([x for x, _ in v]), np.array([y for _, y in v])) for k, v in out.items()}
-
-
-def _choose(sample: DataFrame, by_part: DataFrame) -> float:
-    """The least odds by cross-validation: each fold is scored by what the others teach, calibrated on itself."""
-    panels = {}
-    for p in FOLDS:
-        learned = _learn(by_part, tuple(q for q in FOLDS if q != p), MIN_ODDS[0]) or []
-        panels[p] = [Model({f: (z, o) for f, z, o in learned if o > m}) for m in MIN_ODDS]
-    loss = dict.fromkeys(range(len(MIN_ODDS)), 0.0)
-    for (_, i), (ev, y) in sorted(_calibrated(sample, panels).items()):
-        if 0 < y.sum() < len(y):
-            a, b = _logistic(ev, y)
-            z = np.clip(a + b * ev, -40, 40)
-            loss[i] += float((np.logaddexp(0, z) - y * z).sum())
-    return MIN_ODDS[min(loss, key=lambda i: (loss[i], i))]
+            for text, toxic in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                at, words = model.places(text)
+                bins = Counter(round(10 * s) for _, s in at) if not toxic else {}
+                out.append((toxic, words, list(bins), list(bins.values()), [s for s, _, _ in segments(at, DRIFT)]))
+            kinds = (pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["toxic", "words", "bins", "ns", "segs"])
+
+    rows = sample.where("part = 0").select("text", "toxic").mapInArrow(look, "toxic int, words long, bins array<int>, ns array<int>, segs array<double>").collect()
+    clean = [r for r in rows if not r["toxic"]]
+    hist: Counter = Counter()
+    for r in clean:
+        for b, k in zip(r["bins"], r["ns"], strict=True):
+            hist[b / 10] += k
+    _law(model, hist, sum(r["words"] for r in clean), [(r["words"], max(r["segs"], default=0.0)) for r in clean])
+    ev = np.array([math.log1p(model.evidence([(s, 0, 0) for s in r["segs"]], r["words"])) for r in rows])
+    y = np.array([float(r["toxic"]) for r in rows])
+    if len(y) and 0 < y.sum() < len(y):
+        a, b = _logistic(ev, y)
+        # The sample may hold the classes in other shares than the labels do.
+        model.curve = (a + math.log(n[1] / n[0]) - math.log(y.sum() / (len(y) - y.sum())), b)
+    else:
+        model.curve = (-2.0, 3.0)
+    model.memo.clear()
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model | None:
     """docs: doc_id, text; labels: doc_id, toxic; learn: which doc_ids may teach."""
-    marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learn).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learn).groupBy("doc_id").agg(F.max((F.col("toxic").cast("int") > 0).cast("int")).alias("toxic"))
     n = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return None
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, MAX_ROWS / n[1]))).otherwise(F.lit(min(1.0, MAX_ROWS / n[0])))
     h = F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id"), 11) / float(1 << 53)
-    chosen = marked.where(h < share).withColumn("part", F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(4)))
+    chosen = marked.where(h < share).withColumn("part", F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(PARTS)))
     sample = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic", "part")  # at most about 2 * MAX_ROWS ids
     # Copies of one text would pass for evidence.
     sample = cut(sample.groupBy(text_key(F.col("text")).alias("k")).agg(F.max(F.struct("toxic", "part", "text")).alias("x")).select("x.text", "x.toxic", "x.part"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got: dict[tuple[int, int], Counter] = {}
-            for text, toxic, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            got: dict[int, Counter] = {}
+            for text, toxic in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = set(_WORD.findall((text or "").lower()))
-                got.setdefault((toxic, int(part)), Counter()).update({f for w in words for f in features(w)} | {""})
-            for (toxic, part), c in got.items():
-                if part:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c)), pa.array([toxic] * len(c), pa.int32()), pa.array([part] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], ["feature", "toxic", "part", "n"])
-
-    by_part = cut(sample.mapInArrow(count, "feature string, toxic int, part int, n long").groupBy("feature").agg(*[F.sum(F.when((F.col("toxic") == k) & (F.col("part") == p), F.col("n")).otherwise(0)).alias(f"{c}{p}") for k, c in ((1, "t"), (0, "c")) for p in FOLDS]).where(" + ".join(f"t{p}" for p in FOLDS) + f" >= {MIN_DOCS}"))
-    min_odds = _choose(sample, by_part)
-    learned = _learn(by_part, FOLDS, min_odds)
+                got.setdefault(toxic, Counter()).update({f for w in words for f in features(w)} | {""})
+            for toxic, c in got.items():
+                yield pa.RecordBatch.from_arrays([pa.array(list(c)), pa.array([toxic] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], ["feature", "toxic", "n"])
+
+    by = sample.where("part <> 0").select("text", "toxic").mapInArrow(count, "feature string, toxic int, n long")
+    counts = by.groupBy("feature").agg(*[F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0)).alias(c) for k, c in ((1, "t"), (0, "c"))])
+    learned = _learn(cut(counts.where(F.col("t") >= MIN_DOCS)))
     if learned is None:
         return None
     model = Model({f: (z, o) for f, z, o in learned})
-    ev, y = _calibrated(sample, {0: [model]}).get((0, 0), (np.zeros(0), np.zeros(0)))
-    # The sample may hold the classes in other shares than the labels do.
-    if len(y) and 0 < y.sum() < len(y):
-        a, b = _logistic(ev, y)
-        a += math.log(n[1] / n[0]) - math.log(y.sum() / (len(y) - y.sum()))
-        model.curve = (a, b)
-    else:
-        model.curve = (-2.0, 3.0)
-    model.memo.clear()
+    _calibrate(sample, model, n)
     return model
 
 
