@@ -500,12 +500,14 @@ def test_parser():
     assert spec.intent("optimize", False) is None
     assert spec.intent("run backtest", False) == "confirm"
     assert spec.intent("a long text that tells of a strategy at length", True) is None
-    assert spec.indicator_hints({"rsi_14": 1.0, "adx": 3.0, "rsi_7": 2.0, "zz": 9.0}) == ["ADX", "RSI"]
-    assert spec.indicator_hints({"bb_pos": 5.0, "ema_8_21_diff_pct": 4.0, "is_fvg_bull": 3.0, "volume_ratio_20": 2.0}) == ["bollinger bands", "EMA", "zones", "volume"]
+    assert spec.indicator_hints({"rsi_14": 1.0, "adx": 3.0, "rsi_7": 2.0, "zz": 9.0}) == ["ADX (trend strength)", "RSI (momentum)"]
+    assert spec.indicator_hints({"bb_pos": 5.0, "ema_8_21_diff_pct": 4.0, "is_fvg_bull": 3.0, "volume_ratio_20": 2.0}) == ["Bollinger Bands", "EMA distance / slope", "fair-value gap (SMC)", "volume"]
     assert spec.parse_range("1, 2.5,abc") == [1, 2.5, "abc"]
     out = spec.improvements(spec.Spec(), {"total_return_pct": 1, "sharpe_ratio": 0.5, "profit_factor": 1.5, "win_rate_pct": 30, "max_drawdown_pct": -9, "n_trades": 10})
     assert len(out["pros"]) + len(out["cons"]) <= 5
     assert {f["param"] for f in out["filters"]} == {"use_adx_filter", "use_sl_tp"}
+    assert out["ranges"] == {"ema_fast": [5, 9, 12, 20], "ema_slow": [21, 26, 50, 100]}
+    assert spec.improvements(spec.Spec(template="bollinger_breakout"), {})["ranges"] == strategies.get("bollinger_breakout").ranges
 
 
 def test_rules_are_data_only(spark):

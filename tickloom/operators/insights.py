@@ -92,7 +92,7 @@ def aligned_trades(trades: DataFrame, features: DataFrame) -> DataFrame:
 
 def technical_insights(trades: DataFrame, features: DataFrame, min_trades: int = 10) -> DataFrame:
     """symbol, tf, test, label and the bucket's figures: every conditioned bucket of each series with enough aligned
-    trades. One as-of join, one aggregate for the medians, one for all buckets."""
+    trades. One as-of join, one aggregate for the medians, one for the tests that trades pass."""
     t = aligned_trades(trades, features)
     keys = ["symbol", "tf"]
     c = F.col
@@ -120,10 +120,16 @@ def technical_insights(trades: DataFrame, features: DataFrame, min_trades: int =
     preds += [("ema", "8>21>50", sided(up, down)), ("ema", "8>13>21", sided(*stack("ema_8", "ema_13", "ema_21"))), ("ema", "21>50>200", sided(*stack("ema_21", "ema_50", "ema_200"))), ("ema", "price_21", sided(c("close") > c("ema_21"), c("close") < c("ema_21"))), ("ema", "counter", sided(down, up))]
     preds += [("distance", f"{n}_{w}", (c(f"k{n}") >= 20) & p) for n in (21, 50) for w, p in (("near", c(f"d{n}") <= c(f"m{n}")), ("far", c(f"d{n}") > c(f"m{n}")))]
     preds += [("trend", "with", sided(trend, ~trend)), ("trend", "counter", sided(~trend, trend)), ("hours", "13-16", F.hour("entry_time").between(13, 16))]
-    win, n = c("pnl") > 0, F.count("*")
-    rate = F.try_divide(F.count_if(win), n)
-    rows = F.array(*[F.struct(F.lit(a).alias("test"), F.lit(b).alias("label"), _bucket(F.coalesce(p, F.lit(False)), win, rate, n).alias("x")) for a, b, p in preds])
-    return t.groupBy(*keys).agg(rows.alias("r"), n.alias("n")).where(c("n") >= min_trades).select(*keys, F.inline("r")).select(*keys, "test", "label", "x.*")
+    # Each trade gives the numbers of the tests that it passes; a pair of counts a test, and a row of none for each of them.
+    passed = F.array_compact(F.array(F.lit(-1), *[F.when(p, F.lit(i)) for i, (_, _, p) in enumerate(preds)]))
+    hits = t.select(*keys, (c("pnl") > 0).alias("won"), F.explode(passed).alias("i")).groupBy(*keys, "i").agg(F.count("*").alias("hits"), F.count_if("won").alias("wins"))
+    of = F.map_from_entries(F.collect_list(F.struct("i", F.struct("hits", "wins"))))  # as many entries as tests
+    by = hits.groupBy(*keys).agg(of.alias("of")).withColumns({"n": c("of")[-1]["hits"], "base": F.try_divide(c("of")[-1]["wins"], c("of")[-1]["hits"])}).where(c("n") >= min_trades)
+    names = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("test"), F.lit(b).alias("label")) for i, (a, b, _) in enumerate(preds)])
+    out = by.select(*keys, "of", "n", "base", F.inline(names)).withColumn("x", F.try_element_at("of", "i"))
+    k = F.coalesce(c("x.hits"), F.lit(0))
+    rate = F.coalesce(F.try_divide(c("x.wins"), k), F.lit(0.0))
+    return out.select(*keys, "test", "label", k.alias("trades"), (rate * 100).alias("win_rate_pct"), F.when(k > 0, (rate - c("base")) * 100).otherwise(0.0).alias("improvement_vs_base_pct"), F.coalesce(F.try_divide(100.0 * k, c("n")), F.lit(0.0)).alias("retention_pct"))
 
 
 def highlights(buckets: DataFrame, min_n: int = 30) -> DataFrame:

@@ -269,15 +269,38 @@ def _model(spark: SparkSession, d: str) -> DataFrame:
 
 @query("catalog_indicators")
 def _catalog(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(x["name"], x["columns"], x["returns"], str(x["defaults"])) for x in indicators.catalog()], "name string, columns array<string>, returns string, defaults string")
+    """Every indicator with its defaults, and how many of the hourly bars it has a value for."""
+    rows = hourly(spark, d)
+    found = None
+    for x in indicators.catalog():
+        got = indicators.compute(x["name"], rows).agg(F.count(x["columns"][0]).alias("n_values"))
+        got = got.select(F.lit(x["name"]).alias("name"), F.array(*map(F.lit, x["columns"])).alias("columns"), F.lit(x["returns"]).alias("returns"), F.lit(str(x["defaults"])).alias("defaults"), "n_values")
+        found = got if found is None else found.unionByName(got)
+    return found
 
 
 @query("catalog_instruments")
 def _instruments(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(k, v["name"], v["exchange"], v["asset_class"], float(v["tick_size"]), v["timeframes"]) for k, v in spec.INSTRUMENTS.items()], "symbol string, name string, exchange string, asset_class string, tick_size double, timeframes array<string>")
+    """The symbols of the bars looked up among the instruments, with their numbers of bars; unknown ones have nulls."""
+    known = spark.createDataFrame([(k, v["name"], v["exchange"], v["asset_class"], float(v["tick_size"]), v["timeframes"]) for k, v in spec.INSTRUMENTS.items()], "symbol string, name string, exchange string, asset_class string, tick_size double, timeframes array<string>")
+    bars = hourly(spark, d).groupBy(F.upper("symbol").alias("symbol")).agg(F.count("*").alias("n_bars"))
+    return bars.join(F.broadcast(known), "symbol", "left")
 
 
-query("timeframes", "SELECT s AS label, c AS tf FROM (VALUES (' 5 Min ', '5m'), ('60min', '1h'), ('1Hour', '1h'), ('4h', '4h'), ('odd', 'odd')) t(s, c)")(lambda s, d: s.createDataFrame([(" 5 Min ",), ("60min",), ("1Hour",), ("4h",), ("odd",)], "label string").withColumn("tf", B.timeframe_column(F.col("label"))))
+_ALIAS_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in B.ALIASES.items())
+_LABEL_SQL = "' ' || CAST(CAST(l_quantity AS INT) AS VARCHAR) || ' ' || CASE l_linenumber % 4 WHEN 0 THEN 'Min' WHEN 1 THEN 'M' WHEN 2 THEN 'Hour' ELSE 'hr ' END"
+
+
+@query("timeframes", f"""
+SELECT label, coalesce(a.tf, flat) AS tf, count(*) AS n
+FROM (SELECT {_LABEL_SQL} AS label, lower(replace({_LABEL_SQL}, ' ', '')) AS flat FROM lineitem) x LEFT JOIN (VALUES {_ALIAS_ROWS}) a(name, tf) ON a.name = x.flat
+GROUP BY 1, 2""")
+def _timeframes(spark: SparkSession, d: str) -> DataFrame:
+    """Labels as people write them, made of the line items' quantities, in their canonical form."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet")
+    unit = F.when(F.col("l_linenumber") % 4 == 0, "Min").when(F.col("l_linenumber") % 4 == 1, "M").when(F.col("l_linenumber") % 4 == 2, "Hour").otherwise("hr ")
+    label = F.concat(F.lit(" "), F.col("l_quantity").cast("int").cast("string"), F.lit(" "), unit)
+    return rows.select(label.alias("label")).groupBy("label", B.timeframe_column(F.col("label")).alias("tf")).agg(F.count("*").alias("n"))
 
 
 @query("feature_importances")
@@ -290,8 +313,14 @@ def _importances(spark: SparkSession, d: str) -> DataFrame:
 
 @query("catalog_strategies")
 def _strategies(spark: SparkSession, d: str) -> DataFrame:
-    rows = [s.describe() for s in strategies.REGISTRY.values()]
-    return spark.createDataFrame([(r["name"], r["entry_rules"], r["exit_rules"], r["indicators"]) for r in rows], "name string, entry_rules array<string>, exit_rules array<string>, indicators array<string>")
+    """Every strategy with its rules, and how often each of its signals fires on the hourly bars."""
+    bars, found = hourly(spark, d), None
+    for s in strategies.REGISTRY.values():
+        x = s.describe()
+        got = s.signals(bars).agg(*[F.count_if(F.col(c)).alias(c) for c in ("go_long", "go_short")])
+        got = got.select(F.lit(x["name"]).alias("name"), *[F.array(*map(F.lit, x[k])).alias(k) for k in ("entry_rules", "exit_rules", "indicators")], "go_long", "go_short")
+        found = got if found is None else found.unionByName(got)
+    return found
 
 
 query("backtest_metrics")(lambda s, d: flagship(s, d))

@@ -67,7 +67,8 @@ def resample(bars: DataFrame, tf: str) -> DataFrame:
 
 def normalise(df: DataFrame, symbol: str | None = None, tf: str | None = None, arrival: str | None = None) -> DataFrame:
     """Any table with prices as bars: names trimmed and lower-cased, ts from ``ts``, ``datetime`` or epoch seconds
-    ``timestamp``, bad ts dropped, volume 0 where missing, the last arrival of a ts kept."""
+    ``timestamp``, bad ts dropped, volume 0 where missing, of a ts the row with the greatest ``arrival`` kept (without such a
+    column, the last of the table as Spark has it)."""
     df = df.toDF(*[c.strip().lower() for c in df.columns])
     kinds = dict(df.dtypes)
     if "ts" not in kinds:
@@ -99,7 +100,9 @@ def read_parquet(spark: SparkSession, root: str, symbol: str | None = None, tf:
 
 def read_csv(spark: SparkSession, path: str, symbol: str, tf: str) -> DataFrame:
     raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
-    return normalise(raw, symbol, tf)
+    # Arrival: by file, place in the file, and row; rows of a piece of a file come in order.
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    return normalise(raw.withColumn("__arrival", at), symbol, tf, "__arrival")
 
 
 def read_bars(spark: SparkSession, root: str, symbol: str, tf: str, csv: str | None = None, start=None, end=None) -> DataFrame:
