@@ -34,7 +34,7 @@ from tickloom.llm.common import cut, key_filter, may_hold, mix64, salted_join, t
 
 WINDOW = 13
 SHINGLE = 4
-#: Windows of the benchmark that may be broadcast, at about 150 bytes each.
+#: Windows of the benchmark that may be broadcast, at about 440 bytes each with their index, in every worker.
 MAX_BROADCAST = 400_000
 #: Share of a document's words, as 1 in so many, from which it is contaminated.
 SHARE = 20
