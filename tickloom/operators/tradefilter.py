@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import windows as W
 from tickloom.operators import boosting
-from tickloom.operators.asof import asof, equity_from_trades, with_positions
+from tickloom.operators.asof import asof, with_positions
 from tickloom.operators.indicators import bollinger_bands, recursive
-from tickloom.operators.metrics import curve_metrics, trade_metrics
+from tickloom.operators.metrics import trade_metrics
 from tickloom.sources.bars import numeric_features
 
 DEFAULT_THRESHOLD = 0.55
@@ -137,16 +137,44 @@ def apply_threshold(scored: DataFrame, thresholds: DataFrame, keys: list[str]) -
     return scored.join(thresholds, keys).withColumn("kept", F.coalesce("score", F.lit(UNALIGNED)) >= F.col("threshold"))
 
 
+def exit_metrics(exits: DataFrame, curve: DataFrame, keys: list[str], group: list[str], initial_capital: float) -> DataFrame:
+    """total_return_pct, sharpe_ratio and max_drawdown_pct as curve_metrics has them of whole curves, from the bars alone on
+    which something is gained or lost (group: the keys and what else tells curves apart; bar_seq, pnl, a row a bar).
+    Bars between have the return 0: they are counted, not made."""
+    bars = curve.groupBy(*keys).agg(F.count("*").alias("__bars"))
+    w = Window.partitionBy(*group).orderBy("bar_seq")
+    e = exits.join(bars, keys).withColumn("__e", F.lit(initial_capital) + F.sum("pnl").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.lag("__e", 1, initial_capital).over(w)
+    first = F.row_number().over(w) == 1
+    # A curve that changes on its first bar begins there; else with the initial capital.
+    start = F.when(F.min("bar_seq").over(Window.partitionBy(*group)) > 0, F.lit(initial_capital))
+    peak = F.greatest(start, F.max("__e").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    still = F.coalesce(F.lead("bar_seq").over(w), F.col("__bars")) - F.col("bar_seq") - 1
+    e = e.withColumns({
+        "__r": F.when(F.col("bar_seq") > 0, F.try_divide(F.col("__e") - before, before)), "__dd": F.try_divide(F.col("__e") - peak, peak),
+        "__zeros": F.when(F.col("__e") != 0, still).otherwise(0) + F.when(first, F.greatest(F.col("bar_seq") - 1, F.lit(0))).otherwise(0),
+    })
+    a = e.groupBy(*group).agg(F.max_by("__e", "bar_seq").alias("__final"), F.min("__dd").alias("__dd"), F.sum("__zeros").alias("__zeros"), F.count("__r").alias("__k"), F.coalesce(F.sum("__r"), F.lit(0.0)).alias("__s1"), F.coalesce(F.sum(F.col("__r") * F.col("__r")), F.lit(0.0)).alias("__s2"))
+    n = F.col("__zeros") + F.col("__k")
+    mean = F.try_divide(F.col("__s1"), n)
+    deviation = F.sqrt(F.greatest(F.try_divide(F.col("__s2"), n) - mean * mean, F.lit(0.0)))
+    return a.select(
+        *group, ((F.col("__final") / initial_capital - 1) * 100).alias("total_return_pct"), (F.least(F.coalesce("__dd", F.lit(0.0)), F.lit(0.0)) * 100).alias("max_drawdown_pct"),
+        F.when((n > 1) & (deviation > 0), F.sqrt(F.lit(252.0)) * mean / deviation).otherwise(0.0).alias("sharpe_ratio"),
+    )
+
+
 def threshold_sweep(scored: DataFrame, curve: DataFrame, keys: list[str], initial_capital: float = 100_000.0) -> DataFrame:
     """keys, threshold (0.02 to 0.98 by 0.02), kept, dropped, kept_pct and the metrics of what is kept: one grouped pass
-    for all thresholds."""
-    t = scored.withColumn("threshold", F.explode(F.transform(F.sequence(F.lit(1), F.lit(49)), lambda k: F.round(k / 50.0, 2)))).withColumn("__keep", F.coalesce("score", F.lit(UNALIGNED)) >= F.col("threshold"))
+    for all thresholds. Exits find their bars once; each threshold then has the bars that something happens on."""
+    c = curve.select(*keys, "ts", "bar_seq")
+    placed = asof(scored.drop("bar_seq", "ts"), c, "exit_time", "ts", keys, ["bar_seq"]).withColumn("bar_seq", F.coalesce("bar_seq", F.lit(0)))
+    t = placed.withColumn("threshold", F.explode(F.transform(F.sequence(F.lit(1), F.lit(49)), lambda k: F.round(k / 50.0, 2)))).withColumn("__keep", F.coalesce("score", F.lit(UNALIGNED)) >= F.col("threshold"))
     sizes = t.groupBy(*keys, "threshold").agg(F.count_if("__keep").alias("kept"), F.count_if(~F.col("__keep")).alias("dropped"))
     k2 = [*keys, "threshold"]
     kept = t.where("__keep")
-    grid = curve.join(sizes.select(*k2), keys)
-    eq = equity_from_trades(kept.select(*k2, "exit_time", "pnl"), grid.select(*k2, "ts", "bar_seq"), k2, initial_capital)
-    m = curve_metrics(eq, k2, initial_capital).join(trade_metrics(kept, k2), k2, "left")
+    exits = kept.groupBy(*k2, "bar_seq").agg(F.sum("pnl").alias("pnl"))
+    m = exit_metrics(exits, c, keys, k2, initial_capital).join(trade_metrics(kept, k2), k2, "full")
     cols = ["total_return_pct", "sharpe_ratio", "win_rate_pct", "max_drawdown_pct", "profit_factor", "expectancy", "avg_trade", "total_points", "avg_points"]
     return sizes.join(m, k2, "left").select(*k2, "kept", "dropped", (100.0 * F.col("kept") / F.greatest(F.lit(1), F.col("kept") + F.col("dropped"))).alias("kept_pct"), *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cols])
 
