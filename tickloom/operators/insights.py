@@ -133,9 +133,11 @@ def technical_insights(trades: DataFrame, features: DataFrame, min_trades: int =
 
 
 def highlights(buckets: DataFrame, min_n: int = 30) -> DataFrame:
-    """The best RSI and ADX bucket of min_n trades, and how trades with the trend do against those counter to it."""
+    """The best RSI and ADX bucket of min_n trades, of equals the lowest limit, and how trades with the trend do against
+    those counter to it."""
     keys = ["symbol", "tf"]
-    best = buckets.where(F.col("test").isin("rsi_extremes", "adx_gt") & (F.col("trades") >= min_n)).groupBy(*keys, "test").agg(F.max_by(F.struct("label", "win_rate_pct", "trades"), F.struct("win_rate_pct", "trades")).alias("b")).select(*keys, "test", "b.*")
+    first = (-F.col("label").try_cast("int")).alias("first")
+    best = buckets.where(F.col("test").isin("rsi_extremes", "adx_gt") & (F.col("trades") >= min_n)).groupBy(*keys, "test").agg(F.max_by(F.struct("label", "win_rate_pct", "trades"), F.struct("win_rate_pct", "trades", first)).alias("b")).select(*keys, "test", "b.*")
     trend = buckets.where("test = 'trend'").groupBy(*keys).agg(F.max_by(F.struct("label", "win_rate_pct", "trades"), F.struct("win_rate_pct", "label")).alias("b")).select(*keys, F.lit("trend").alias("test"), "b.*")
     return best.unionByName(trend)
 
