@@ -1,13 +1,15 @@
 """Boosted trees of a binary label, grown leaf by leaf on histograms that Spark adds up.
 
 Columns are cut into at most ``BINS`` bins once, by quantiles of the training rows,
-and each row is kept as a string of bytes. A round of leaves is one job: every
+and each row is kept as a string of bytes; rows of equal bytes and label (trades that
+enter on one bar) are then kept as one with their numbers, and count as often. A round of leaves is one job: every
 partition routes its rows down the tree so far and adds up gradients, Hessians and
 counts by leaf, column and bin; partitions' histograms are added a leaf a group, and
 the driver, which gets a histogram a leaf (columns x bins x 3 numbers), chooses
 splits. The leaf with the largest gain is split first, up to ``leaves`` of them. A
-job works on all leaves that may yet be split at once, left children only (right
-ones are what is left of the parent), so a tree takes as many jobs as it is deep.
+job works on all nodes that may yet be split at once, left children only (right
+ones are what is left of the parent), so a tree takes as many jobs as it is deep,
+at most.
 
 Gains and leaf values are regularised by L1 and L2. Rows are bagged by a hash of
 their number, anew every ``bag_every`` rounds, columns by tree. The loss on the rows
@@ -29,7 +31,7 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +39,9 @@ from tickloom.sources.store import cut
 
 BINS, VERSION = 255, 1
 #: Rounds after which the rows' scores are written down, so that no job applies more trees than that.
-WRITE_EVERY = 25
+WRITE_EVERY = 10
+#: Rows that are packed at once, and packed ones that a task works on.
+ROWS, PATTERNS = 100_000, 20_000
 
 
 @dataclass
@@ -182,15 +186,33 @@ def gradients(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # --- jobs -------------------------------------------------------------------------------------------------------------
 
 
+def quantiles(typed: DataFrame, columns: list[str], bins: int) -> list[tuple[list[float], float]]:
+    """Of each column the distinct values at ranks k / bins and the median, exact, nulls left out; [0.0] and 0.0 where it has
+    none. Equal values are counted first; runs of a column's values are then summed apart and offset by those before."""
+    rows = typed.select(F.posexplode(F.array(*columns)).alias("j", "x")).where("x IS NOT NULL").groupBy("j", "x").agg(F.count("*").alias("n"))
+    rows = cut(rows.repartitionByRange("j", "x").withColumn("part", F.spark_partition_id()))
+    w = Window.partitionBy("j")
+    sums = rows.groupBy("j", "part").agg(F.sum("n").alias("s"))
+    sums = sums.select("j", "part", (F.sum("s").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("before"), F.sum("s").over(w).alias("t"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("j", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.join(F.broadcast(sums), ["j", "part"]).withColumn("c", upto)
+    # The value at rank k / bins is the first one up to which that share of the values is.
+    edge = F.expr(f"c * {bins} div t > (c - n) * {bins} div t AND (c - n) * {bins} div t < {bins} - 1").alias("edge")
+    found: list[tuple[list[float], list[float]]] = [([], []) for _ in columns]
+    for r in rows.select("j", "x", edge, F.expr("2 * c >= t AND 2 * (c - n) < t").alias("middle")).where("edge OR middle").collect():
+        for on, held in zip((r["edge"], r["middle"]), found[r["j"]], strict=True):
+            if on:
+                held.append(r["x"])
+    return [(sorted(e) or [0.0], m[0] if m else 0.0) for e, m in found]
+
+
 def prepared(rows: DataFrame, features: list[str]) -> tuple[DataFrame, Model]:
-    """Edges and medians from the training rows in one aggregate; rows as bytes of bins, label, train, number, raw score."""
+    """Edges and medians from the training rows; rows as bytes of bins, label, train, number, raw score."""
     x = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(f"x{j}") for j, c in enumerate(features)]
     typed = rows.select(*x, F.col("label").cast("double").alias("y"), F.col("train").cast("boolean").alias("train"))
-    at = [k / BINS for k in range(1, BINS)]
-    got = typed.where("train").agg(F.avg("y").alias("p"), *[F.percentile_approx(f"x{j}", [0.5, *at], 20_000).alias(f"q{j}") for j in range(len(features))]).first()
-    p = min(max(float(got["p"]), 1e-6), 1 - 1e-6)
-    found = [got[f"q{j}"] or [0.0] for j in range(len(features))]
-    model = Model(list(features), [sorted(set(q[1:])) for q in found], [float(q[0]) for q in found], math.log(p / (1 - p)))
+    p = min(max(float(typed.where("train").agg(F.avg("y")).first()[0]), 1e-6), 1 - 1e-6)
+    found = quantiles(typed.where("train"), [f"x{j}" for j in range(len(features))], BINS)
+    model = Model(list(features), [e for e, _ in found], [m for _, m in found], math.log(p / (1 - p)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,11 +224,34 @@ def prepared(rows: DataFrame, features: list[str]) -> tuple[DataFrame, Model]:
     return cut(kept), model
 
 
-def _block(b: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def packed(data: DataFrame, n: int) -> DataFrame:
+    """Rows of equal bins, label and part as one, with their numbers, found in blocks of about ROWS of the n rows that are
+    split by number too, so that no block holds more of rows that are all equal."""
+    d = data.repartitionByRange(max(1, -(-n // ROWS)), "bins", "y", "train", "number").sortWithinPartitions("bins", "y", "train", "number")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            y, train = b.column("y").to_numpy(), b.column("train").to_numpy(zero_copy_only=False)
+            bins, number = np.array(b.column("bins").to_pylist(), object), b.column("number").to_numpy()
+            new = np.flatnonzero(np.append(True, (bins[1:] != bins[:-1]) | (y[1:] != y[:-1]) | (train[1:] != train[:-1])))
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(new)) for c in ("bins", "y", "train", "raw")], pa.array([x.tobytes() for x in np.split(number, new[1:])], pa.binary())], ["bins", "y", "train", "raw", "numbers"])
+
+    out = cut(d.select("bins", "y", "train", "raw", "number").mapInArrow(run, f"{_PACKED}, numbers binary"))
+    return out.coalesce(max(1, -(-out.count() // PATTERNS), -(-n // (10 * ROWS))))
+
+
+def _block(b: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bins, label, part, raw score and how many rows each stands for; the numbers of those, in order."""
     bins = np.frombuffer(b"".join(b.column("bins").to_pylist()), np.uint8).reshape(-1, d)
-    return bins, b.column("y").to_numpy(), b.column("train").to_numpy(zero_copy_only=False), b.column("raw").to_numpy(), b.column("number").to_numpy()
+    if "number" in b.schema.names:
+        number, times = b.column("number").to_numpy(), np.ones(len(bins), np.int64)
+    else:
+        held = b.column("numbers").to_pylist()
+        number, times = np.frombuffer(b"".join(held), np.int64), np.array([len(x) // 8 for x in held], np.int64)
+    return bins, b.column("y").to_numpy(), b.column("train").to_numpy(zero_copy_only=False), b.column("raw").to_numpy(), times, number
 
 
+_PACKED = "bins binary, y double, train boolean, raw double"
 _HIST = "node long, h binary, loss double, held long"
 
 
@@ -221,20 +266,24 @@ def _histograms(data: DataFrame, model: Model, written: int, tree: Tree, wanted:
         slot = np.full(max(place) + 1, -1)
         slot[list(place)] = list(place.values())
         for b in batches:
-            bins, y, train, raw, number = _block(b, d)
+            bins, y, train, raw, times, number = _block(b, d)
+            if not len(bins):
+                continue
             raw = raw + (model.raw(bins, written) if written else model.raw(bins) - model.base)
             out = ~train
-            loss += float(np.logaddexp(0, np.where(y[out] == 1, -raw[out], raw[out])).sum())
-            held += int(out.sum())
-            use = train & bagged(number, round_, s)
-            bins, g, hess = bins[use], *gradients(raw[use], y[use])
+            loss += float((times[out] * np.logaddexp(0, np.where(y[out] == 1, -raw[out], raw[out]))).sum())
+            held += int(times[out].sum())
+            times = np.add.reduceat(bagged(number, round_, s).astype(float), np.cumsum(times) - times)
+            use = train & (times > 0)
+            bins, times, g, hess = bins[use], times[use], *gradients(raw[use], y[use])
+            g, hess = g * times, hess * times
             leaf = tree.leaf_of(bins)
             k = np.where(leaf < len(slot), slot[np.minimum(leaf, len(slot) - 1)], -1)
             on = k >= 0
-            bins, g, hess, k = bins[on], g[on], hess[on], k[on]
+            bins, g, hess, times, k = bins[on], g[on], hess[on], times[on], k[on]
             for j in range(d):
                 at = k * (BINS + 1) + bins[:, j]
-                for c, w in enumerate((g, hess, None)):
+                for c, w in enumerate((g, hess, times)):
                     h[:, j, :, c] += np.bincount(at, w, len(wanted) * (BINS + 1)).reshape(len(wanted), BINS + 1)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *wanted], pa.int64()), pa.array([None, *[x.tobytes() for x in h]], pa.binary()), pa.array([loss, *[0.0] * len(wanted)]), pa.array([int(held), *[0] * len(wanted)], pa.int64())], ["node", "h", "loss", "held"])
 
@@ -258,30 +307,37 @@ def grow(root: np.ndarray, more, allowed: np.ndarray, s: Settings, least: int) -
     """A tree from the histogram of all rows; ``more(tree, nodes)`` gives those of further nodes of a tree."""
     wide = Tree()  # with all splits that may be wanted; the final tree is part of it
     wide.add()
-    hists, depth, splits = {0: root}, {0: 0}, {0: best_split(root, allowed, s, least)}
+    hists, depth, splits, sums = {0: root}, {0: 0}, {0: best_split(root, allowed, s, least)}, {0: root[0].sum(0)}
     kept: set[int] = set()  # nodes that are split
     leaves = {0}
     while len(leaves) < s.leaves:
-        able = [n for n in leaves if splits[n][0] > 0 and depth[n] < s.depth]
+        able = [n for n in leaves if splits[n][0] > 0]
         if not able:
             break
         best = min(able, key=lambda n: (-splits[n][0], n))
         if wide.column[best] < 0:
-            # All leaves that may be split get children, and the left ones their histograms, in one job.
-            new = sorted(n for n in able if wide.column[n] < 0)
+            # All nodes that may be split get children, whether they are leaves yet or not, and the left ones that may be
+            # split again their histograms, in one job.
+            new = [n for n in range(len(wide.column)) if wide.column[n] < 0 and splits[n][0] > 0]
             for n in new:
                 gain, j, b = splits[n]
                 left, right = wide.add(), wide.add()
                 wide.column[n], wide.bin[n], wide.gain[n], wide.left[n], wide.right[n] = j, b, gain, left, right
                 depth[left] = depth[right] = depth[n] + 1
-            found = more(wide, [wide.left[n] for n in new])
+                sums[left] = hists[n][j, : b + 1].sum(0)
+                sums[right] = sums[n] - sums[left]
+            inner = [n for n in new if depth[n] + 1 < s.depth]
+            found = more(wide, [wide.left[n] for n in inner]) if inner else {}
             for n in new:
                 left, right = wide.left[n], wide.right[n]
-                hists[left] = found[left]
-                hists[right] = hists[n] - found[left]
-                hists[right][..., 2] = np.round(hists[right][..., 2])
-                for k in (left, right):
-                    splits[k] = best_split(hists[k], allowed, s, least)
+                splits[left] = splits[right] = (0.0, -1, 0)
+                if left in found:
+                    hists[left] = found[left]
+                    hists[right] = hists[n] - found[left]
+                    hists[right][..., 2] = np.round(hists[right][..., 2])
+                    for k in (left, right):
+                        splits[k] = best_split(hists[k], allowed, s, least)
+                del hists[n]
         kept.add(best)
         leaves = leaves - {best} | {wide.left[best], wide.right[best]}
     out, todo = Tree(), [(0, -1, False)]
@@ -294,7 +350,7 @@ def grow(root: np.ndarray, more, allowed: np.ndarray, s: Settings, least: int) -
             out.column[k], out.bin[k], out.gain[k] = wide.column[n], wide.bin[n], wide.gain[n]
             todo += [(wide.left[n], k, False), (wide.right[n], k, True)]
         else:
-            g, h = hists[n][0, :, 0].sum(), hists[n][0, :, 1].sum()
+            g, h = sums[n][:2]
             out.value[k] = float(-s.rate * shrunk(g, s.l1) / (h + s.l2))
     return out
 
@@ -307,7 +363,7 @@ def train(rows: DataFrame, features: list[str], settings: Settings | None = None
     if n < 30 or kinds < 2 or learn == 0:
         return None
     data, model = prepared(rows, features)
-    data = data.coalesce(max(1, -(-n // 100_000)))
+    data = packed(data, n)
     least = s.least if s.least is not None else max(20, learn // 50)
     written, best = 0, 0
     for k in range(s.rounds + 1):
@@ -336,11 +392,11 @@ def _written(data: DataFrame, model: Model, written: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bins, _, _, raw, _ = _block(b, d)
+            bins, _, _, raw, *_ = _block(b, d)
             new = raw + (model.raw(bins, written) if written else model.raw(bins) - model.base)
             yield b.set_column(b.schema.get_field_index("raw"), "raw", pa.array(new))
 
-    return cut(data.select("bins", "y", "train", "raw", "number").mapInArrow(run, "bins binary, y double, train boolean, raw double, number long"))
+    return cut(data.mapInArrow(run, f"{_PACKED}, numbers binary"))
 
 
 def scored(model: Model, rows: DataFrame, fill_missing: bool = False, name: str = "score") -> DataFrame:
