@@ -1,9 +1,10 @@
-"""The dictionaries come from the words of all training rows."""
+"""The dictionaries come from the words of all training rows; the bound's quantile takes no product of partitions."""
 
 from collections import Counter
 
 from pyspark.sql import functions as F
 
+from tickloom.functions.order import exact_quantile
 from tickloom.llm import language
 from tickloom.llm.common import small_batches
 
@@ -30,3 +31,10 @@ def test_every_training_row_teaches(spark, monkeypatch):
     assert dict(models[3])["bb"].split() == [b"z" * 4, b"z" * 32]
     assert dict(models[3])["cc"] == b" "
     assert [k for k, _ in models[3]][0] == "aa"
+
+
+def test_a_quantile_of_all_rows_is_no_product_of_partitions(spark):
+    df = spark.range(0, 1001, 1, 7).select((F.col("id") / 10).alias("x"))
+    got = exact_quantile(df, [], "x", 0.25, "q")
+    assert got.first()["q"] == 25.0
+    assert "CartesianProduct" not in got._jdf.queryExecution().toString()

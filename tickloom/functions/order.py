@@ -15,7 +15,7 @@ CLOSE = 2e-4
 
 
 def exact_quantile(df: DataFrame, keys: list[str], value: str, p: float, name: str) -> DataFrame:
-    """keys, the p-quantile of the values that aren't null, interpolated between neighbours.
+    """keys (none: one group), the p-quantile of the values that aren't null, interpolated between neighbours.
 
     An approximate quantile's rank is off by a known share at most, so two of them
     bracket the place. Values below are counted, only those inside are gathered (some
@@ -24,7 +24,8 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, p: float, name: s
     rows = df.where(F.col(value).isNotNull())
     bracket = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx(value, [max(0.0, p - CLOSE), min(1.0, p + CLOSE)], round(2 / CLOSE)).alias("__q"))
     x, lo, hi = F.col(value), F.col("__q")[0], F.col("__q")[1]
-    got = rows.join(bracket, keys).groupBy(*keys).agg(
+    # One bracket for all is broadcast: as a product of partitions it would take a task for each pair of them.
+    got = (rows.join(bracket, keys) if keys else rows.crossJoin(F.broadcast(bracket))).groupBy(*keys).agg(
         F.first("__n").alias("__n"), F.count(F.when(x < lo, 1)).alias("__below"), F.max(F.when(x < lo, x)).alias("__left"),
         F.sort_array(F.collect_list(F.when((x >= lo) & (x <= hi), x))).alias("__in"), F.min(F.when(x > hi, x)).alias("__right"),
     )

@@ -204,11 +204,11 @@ def judged(known: DataFrame, models: list[list[tuple[str, bytes]]] | None = None
 def margin_bound(known: DataFrame, models: list[list[tuple[str, bytes]]] | None = None) -> float:
     """The margin to be over: of all rows' margins (see judged), where rightly told, the one under which MAX_LOST of them lie."""
     # Written down before it is filtered: a filter that is pushed below has every text encoded twice.
-    told = cut(judged(known, models)).where("lang = told AND margin > 0").select(F.lit(1).alias("one"), "margin")
+    told = cut(judged(known, models)).where("lang = told AND margin > 0").select("margin")
     n = told.count()
     if n < CAL_LEAST:
         return 0.0
-    return 0.999 * exact_quantile(told, ["one"], "margin", int(MAX_LOST * n) / (n - 1), "bound").first()["bound"]
+    return 0.999 * exact_quantile(told, [], "margin", int(MAX_LOST * n) / (n - 1), "bound").first()["bound"]
 
 
 def identified(docs: DataFrame, min_margin: float | None = None) -> DataFrame:
