@@ -48,8 +48,8 @@ PIECE_CHARS = 32
 #: Different words that a task counts before it passes the counts on.
 HELD_WORDS = 300_000
 MAX_LANGS = 2_000
-LEVEL = 9
-BLOCK = 1_024
+LEVEL = 6
+BLOCK = 2_048
 #: The share of rightly told texts that calibration may lose, the rows that it needs, and the parts that it leaves out in turn.
 MAX_LOST = 0.005
 CAL_LEAST = 100
